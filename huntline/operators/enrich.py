@@ -125,9 +125,9 @@ def members_asof(events: DataFrame, opens: DataFrame, closes: DataFrame, keys: l
     ended = asof_next(opens, closes, [*keys, *member])
     event_rows = events.select(*keys, F.col("seq").alias("_seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
     event_rows = event_rows.withColumn("_b", F.floor(F.col("_t") / width))
-    horizon = event_rows.agg(F.max("_b").alias("_hb"))
-    spans = (ended.join(F.broadcast(horizon)).withColumn("_b0", F.floor(F.col("_lo") / width))
-             .withColumn("_b1", F.least(F.coalesce(F.floor(F.col("_hi") / width), F.col("_hb")), F.col("_hb")))
+    horizon = event_rows.agg(F.max("_b")).scalar()
+    spans = (ended.withColumn("_b0", F.floor(F.col("_lo") / width))
+             .withColumn("_b1", F.least(F.coalesce(F.floor(F.col("_hi") / width), horizon), horizon))
              .where("_b0 <= _b1").withColumn("_b", F.explode(F.sequence("_b0", "_b1"))))
     open_now = event_rows.join(spans, [*keys, "_b"]).where("_lo <= _t and (_hi is null or _t < _hi)")
     grouped = open_now.groupBy(*keys, "_seq").agg(F.array_sort(F.collect_set(F.struct(*member))).alias("members"))
