@@ -105,9 +105,9 @@ def dedup_partials(df: DataFrame, key: list[str], slot: str = "slot", ts: str =
     a group of equal events never meets in one task.
     """
     keyed = df.withColumn("_pk", partial_key())
-    first = (keyed.where("_pk is not null").groupBy(*key, slot, "_pk").agg(F.min(F.struct(ts, seq)).alias("_m"))
-             .select(F.col(f"_m.{seq}").alias(seq), F.lit(True).alias("_first")))
-    return keyed.join(first, seq, "left").where("_pk is null or _first").drop("_pk", "_first")
+    first = (keyed.where("_pk is not null").groupBy(*key, slot, "_pk")
+             .agg(F.min_by(F.struct(*df.columns), F.struct(ts, seq)).alias("r")).select("r.*"))
+    return keyed.where("_pk is null").drop("_pk").unionByName(first)
 
 
 def cap_partials(df: DataFrame, keys: list[str], n: int, ts: str = "ts", seq: str = "seq") -> DataFrame:

@@ -63,9 +63,9 @@ def dedup_rundown(df: DataFrame, key: Column | None = None, seq: str = "seq") ->
     if df.isStreaming:
         others = keyed.where("_rk is null")
         return others.unionByName(keyed.where("_rk is not null").dropDuplicatesWithinWatermark(["host", "name", "_rk"])).drop("_rk")
-    first = (keyed.where("_rk is not null").groupBy("host", "name", "_rk").agg(F.min(seq).alias(seq))
-             .select(F.col(seq), F.lit(True).alias("_first")))
-    return keyed.join(first, seq, "left").where("_rk is null or _first").drop("_rk", "_first")
+    first = (keyed.where("_rk is not null").groupBy("host", "name", "_rk")
+             .agg(F.min_by(F.struct(*df.columns), seq).alias("r")).select("r.*"))
+    return keyed.where("_rk is null").drop("_rk").unionByName(first)
 
 
 def effective_ids(df: DataFrame) -> DataFrame:

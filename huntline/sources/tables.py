@@ -69,3 +69,68 @@ def derive(events: DataFrame) -> DataFrame:
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     return derive(table(spark, folder, "events"))
+
+
+# Further event kinds the table can stand for, by event_id modulo 8.
+WIDE_EVENTS = [("CreateThread", "thread"), ("LoadModule", "module"), ("CreateHandle", "handle"), ("VirtualAlloc", "mem"),
+               ("QueryDns", "net"), ("SubmitThreadpoolWork", "threadpool"), ("OpenProcess", "process"),
+               ("OpenThread", "thread")]
+
+
+def wide_telemetry(spark: SparkSession, folder: str) -> DataFrame:
+    """The same events under the event kinds the first adapter does not use."""
+    base = derive(table(spark, folder, "events"))
+    i, u, k = F.col("seq"), F.col("pid"), F.col("k")
+    text = lambda c: c.cast("string")
+    at = (i % 8).cast("int")
+    name = F.get(F.array(*[F.lit(n) for n, _ in WIDE_EVENTS]), at)
+    category = F.get(F.array(*[F.lit(c) for _, c in WIDE_EVENTS]), at)
+    params = {
+        (0,): {"pid": text(u % 3), "tid": text(i % 64), "start_address": text(i * 4096), "base_prio": text(i % 16), "teb": text(i * 8),
+               "start_address_symbol": F.concat(F.lit("f"), text(k)), "start_address_module": F.col("path")},
+        (1,): {"pid": text(u), "file_path": F.concat(F.lit("C:\\Windows\\System32\\m"), text(i % 50), F.when(i % 3 == 0, F.lit(".sys")).otherwise(F.lit(".dll"))),
+               "base_address": text(i * 65536), "module_size": text(k * 4096), "checksum": text(i % 1000),
+               "signature_type": F.when(i % 3 == 0, F.lit("EMBEDDED")).when(i % 3 == 1, F.lit("FILE_VERIFIED")).otherwise(F.lit("NONE")),
+               "signature_level": F.when(k % 2 == 0, F.lit("WINDOWS")).otherwise(F.lit("WINDOWS_TCB")), "is_driver": F.when(i % 3 == 0, F.lit("true")).otherwise(F.lit("false")),
+               "signature_exists": F.when(k % 4 == 0, F.lit("false")).otherwise(F.lit("true")),
+               "signature_trusted": F.when(k % 5 == 0, F.lit("false")).otherwise(F.lit("true"))},
+        (2,): {"handle_id": text(k * 4), "handle_object": text(i * 16), "type_id": F.when(k % 2 == 0, F.lit("Key")).otherwise(F.lit("File")),
+               "handle_name": F.when(k % 2 == 0, F.concat(F.lit("\\REGISTRY\\USER\\S-1-5-"), text(u), F.lit("\\Env"))).otherwise(
+                   F.concat(F.lit("\\Device\\HarddiskVolume"), text(i % 3), F.lit("\\d\\f"), text(k)))},
+        (3,): {"base_address": text(i * 4096), "region_size": text(k * 4096), "alloc_type": F.lit("COMMIT"), "protection": F.when(k % 2 == 0, F.lit("64")).otherwise(F.lit("4")),
+               "protection_mask": F.when(k % 2 == 0, F.lit("RWX")).otherwise(F.lit("RW")), "page_type": F.lit("PRIVATE"), "target_pid": text(u % 7)},
+        (4,): {"name": F.concat(F.lit("n"), text(k), F.lit(".example.com")), "rr": F.lit("A"), "rcode": F.when(k % 3 == 0, F.lit("NXDOMAIN")).otherwise(F.lit("NOERROR")),
+               "answers": F.concat(F.lit("10.0.0."), text(k), F.lit(",10.0.1."), text(k))},
+        (5,): {"pool_id": text(i * 32), "task_id": text(i * 64), "callback": text(i * 128), "callback_symbol": F.concat(F.lit("cb"), text(k)),
+               "callback_module": F.col("path"), "period": text(k)},
+        (6, 7): {"pid": text(u % 7), "tid": text(i % 64), "desired_access": text(i % 16), "desired_access_names": F.when(i % 2 == 0, F.lit("READ|WRITE")).otherwise(F.lit("ALL")),
+                 "status": F.when(k % 4 == 0, F.lit("Access denied")).otherwise(F.lit("Success")), "exe": F.col("path")},
+    }
+    entries = None
+    for slots, values in params.items():
+        built = F.create_map(*[x for key, value in values.items() for x in (F.lit(key), value)])
+        hit = at.isin(list(slots))
+        entries = F.when(hit, built) if entries is None else entries.when(hit, built)
+    return base.withColumns({"name": name, "category": category, "params": entries})
+
+
+def with_stack(df: DataFrame) -> DataFrame:
+    """A derived call stack of three user frames and, on three of four events, a kernel frame."""
+    i = F.col("seq")
+    big = lambda c: c.cast("decimal(20,0)")
+    kernel = F.expr("cast('18446735277616529408' as decimal(20,0))")
+
+    def frame(addr, offset, symbol, module, base_addr):
+        return F.struct(F.col("pid").alias("pid"), big(addr).alias("addr"), offset.cast("bigint").alias("offset"),
+                        symbol.alias("symbol"), module.alias("module"), big(base_addr).alias("module_addr"))
+
+    outer = frame(i + 4096, i % 50, F.lit("main"), F.when(i % 9 == 0, F.lit("unbacked")).otherwise(F.col("path")), F.lit(4096))
+    middle = frame(i + 140000000, F.lit(0), F.lit("CreateFileW"), F.when(i % 2 == 0, F.lit("C:\\Windows\\System32\\kernelbase.dll")).otherwise(
+        F.lit("C:\\Windows\\System32\\user32.dll")), F.lit(140000000))
+    inner = frame(i % 100 + 150000000, i % 7, F.when(i % 6 == 0, F.lit("ZwOpenFile")).otherwise(F.lit("NtCreateFile")),
+                  F.when(i % 3 == 0, F.lit("C:\\Windows\\System32\\ntdll.dll")).when(i % 3 == 1, F.lit("C:\\Windows\\System32\\win32u.dll"))
+                  .otherwise(F.lit("C:\\tmp\\x.dll")), F.lit(150000000))
+    top = frame((kernel + i).cast("decimal(20,0)"), F.lit(16), F.lit("?"), F.when(i % 8 == 1, F.lit("unbacked")).otherwise(
+        F.lit("C:\\Windows\\System32\\ntoskrnl.exe")), kernel)
+    user = F.array(outer, middle, inner)
+    return df.withColumn("callstack", F.when(i % 4 == 0, user).otherwise(F.concat(user, F.array(top))))
