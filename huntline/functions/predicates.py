@@ -160,7 +160,10 @@ def imatches(col: Column, rhs, any_of: bool = False) -> Column:
 
 
 def _subsequence(col: Column, pattern: str) -> Column:
-    return col.rlike("(?s)" + ".*?".join(java_quote(ch) for ch in pattern)) if pattern else F.lit(True)
+    """Characters in order: each is taken at its first chance, so one linear pass decides."""
+    if not pattern:
+        return F.lit(True)
+    return col.rlike("^" + "".join(f"[^{java_quote(ch)}]*+{java_quote(ch)}" for ch in pattern))
 
 
 def fuzzy(col: Column, rhs, any_of: bool = False) -> Column:
