@@ -20,7 +20,7 @@ def rename(params: Column, pairs: list[tuple[str, str]]) -> Column:
         if old == new:
             continue
         value = params[old]
-        rest = F.map_filter(params, lambda k, _, old=old, new=new: ~k.isin(old, new))
+        rest = remove(params, [old, new])
         params = F.when(F.map_contains_key(params, F.lit(old)),
                         F.map_concat(rest, F.create_map(F.lit(new), value))).otherwise(params)
     return params

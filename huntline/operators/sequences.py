@@ -166,6 +166,10 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _bound_test(st: Step, x: Column, used: list[tuple[str, int]]):
+    return lambda row: true_or_false(st.bound(x, {alias: row[alias] for alias, _ in used}))
+
+
 class Fold:
     """Column expressions of the automaton over one key's sorted rows."""
 
@@ -230,7 +234,7 @@ class Fold:
                 continue
             used = [(a, order[a]) for a in st.uses]
             rows = self._aligned(s, used)
-            fits = F.exists(rows, lambda r, st=st, used=used: true_or_false(st.bound(x, {a: r[a] for a, _ in used})))
+            fits = F.exists(rows, _bound_test(st, x, used))
             ready = s["filled"] + 1 >= (1 << i)
             keep = F.when((mask.bitwiseAND(1 << i) != 0) & ready & fits, F.lit(1 << i)).otherwise(F.lit(0))
             mask = mask.bitwiseAND(~(1 << i)) + keep
@@ -283,8 +287,7 @@ class Fold:
         used = [(a, order[a]) for a in last.uses]
         chosen = {}
         if last.bound is not None:
-            row = F.get(F.filter(self._aligned(s, used),
-                                 lambda r: true_or_false(last.bound(x, {a: r[a] for a, _ in used}))), F.lit(0))
+            row = F.get(F.filter(self._aligned(s, used), _bound_test(last, x, used)), F.lit(0))
             chosen = {order[a]: row[a] for a, _ in used}
         picks = [chosen.get(i, F.get(F.get(s["pending"], F.lit(i)), F.lit(0))) for i in range(len(self.bound.steps) - 1)]
         return F.array(*picks, x)
