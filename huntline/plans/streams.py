@@ -1 +1,78 @@
-"""Queries."""
+"""Streaming forms: results must equal the batch operators'."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.transforms import transform_events
+from ..sources.sinks import file_writer, sink, transforming
+from ..sources.tables import telemetry
+from ..streaming.joins import pair_callstack_stream, windowed_counts
+from ..streaming.run import drain, event_stream
+from ..streaming.sequence import sequence_stream
+from .registry import ev_sql, query, scratch
+from .sequences import HOUR, TWO, sequence_sql, seqs, source, typed
+
+
+@query("q1_stream_sequence", sequence_sql(source("CAST(pid AS VARCHAR)", typed("error", "purchase")), 2, 12 * HOUR))
+def q1_stream(spark, sf):
+    found = sequence_stream(event_stream(spark, sf), TWO, watermark="0 seconds")
+    return seqs(drain(found, scratch(spark, "sequence")))
+
+
+@query("q12_tumbling_window", ev_sql("""
+SELECT date_trunc('hour', ts) AS interval_start, host AS key, count(*) AS n FROM ev
+ WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) GROUP BY ALL"""))
+def q12(spark, sf):
+    # A window is reported once the watermark has passed its end; the last, still open one is not.
+    counts = windowed_counts(event_stream(spark, sf), "host", "1 hour", delay="0 seconds")
+    out = drain(counts, scratch(spark, "windows"))
+    return out.select(F.col("interval_start").cast("timestamp_ntz").alias("interval_start"), "key", "n")
+
+
+@query("s12_batched_publish", ev_sql("SELECT seq, CAST(k AS VARCHAR) AS level, pid FROM ev"))
+def s12(spark, sf):
+    path = scratch(spark, "publish")
+    steps = [("rename", [("k", "level")]), ("remove", ["status"])]
+    writer = transforming(file_writer(f"{path}/out"), lambda batch: transform_events(batch, steps))
+    running = sink(event_stream(spark, sf), writer, checkpoint=f"{path}/checkpoint", available_now=True)
+    running.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("seq", F.col("params")["level"].alias("level"), "pid")
+
+
+@query("q13_micro_batch_flush", ev_sql("SELECT category, count(*) AS n FROM ev GROUP BY category"))
+def q13(spark, sf):
+    path = scratch(spark, "flush")
+    running = sink(event_stream(spark, sf), file_writer(f"{path}/out", partition_by=["category"]), trigger="250 milliseconds",
+                   checkpoint=f"{path}/checkpoint")
+    running.processAllAvailable()
+    running.stop()
+    return spark.read.parquet(f"{path}/out").groupBy("category").agg(F.count("*").alias("n"))
+
+
+def event_table_end(spark, sf):
+    """Time up to which no event can still be waiting."""
+    return telemetry(spark, sf).agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).scalar()
+
+
+@query("q14_unpaired_release", ev_sql("SELECT seq, CASE WHEN seq % 5 < 3 THEN 'stack' || seq END AS stack FROM ev WHERE ts < (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR"))
+def q14(spark, sf):
+    late = F.expr("make_dt_interval(0, 0, 0, CAST(seq % 5 AS DECIMAL(18,6)) * 0.2)")
+    events = event_stream(spark, sf).select("seq", "ts", F.col("seq").alias("stack_id"))
+    walks = event_stream(spark, sf).select(F.col("seq").alias("stack_id"), (F.col("ts") + late).alias("ts"),
+                                           F.concat(F.lit("stack"), F.col("seq").cast("string")).alias("callstack"))
+    out = drain(pair_callstack_stream(events, walks, delay="0 seconds"), scratch(spark, "stacks"))
+    # Only the newest events may still wait for their stack; they are left out on both sides.
+    newest = event_table_end(spark, sf)
+    return out.where(F.col("ts") < newest).select("seq", F.col("callstack").alias("stack"))
+
+
+@query("q15_state_ttl", ev_sql("""
+SELECT seq, n AS name FROM (SELECT seq, n, row_number() OVER (PARTITION BY host, n, k ORDER BY ts, seq) AS r FROM (
+ SELECT *, CASE event_type WHEN 'click' THEN 'ProcessRundown' ELSE name END AS n FROM ev)) WHERE r = 1"""))
+def q15(spark, sf):
+    from ..sources.events import dedup_rundown
+    name = F.when(F.col("event_type") == "click", F.lit("ProcessRundown")).otherwise(F.col("name"))
+    df = event_stream(spark, sf).withColumn("name", name).withWatermark("ts", "40 days")
+    out = dedup_rundown(df.select("seq", "ts", "host", "name", "k"), key=F.col("k").cast("string"))
+    return drain(out, scratch(spark, "rundown")).select("seq", "name")
