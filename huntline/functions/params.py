@@ -72,15 +72,15 @@ def params_text(params: Column, style: str = "snake", delimiter: str = "➜ ") -
         if style == "pascal":
             return F.replace(F.initcap(F.replace(key, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
         return key
-    entries = F.array_sort(F.map_entries(params))
+    entries = F.sort_array(F.map_entries(params))
     return F.array_join(F.transform(entries, lambda e: F.concat(spell(e["key"]), F.lit(delimiter), e["value"])), ", ")
 
 
 def env_value(envs: Column, name: str) -> Column:
     """Exact variable, else the one with the smallest name that starts with ``name``."""
-    candidates = F.filter(F.array_sort(F.map_entries(envs)), lambda e: e["key"].startswith(name))
+    candidates = F.filter(F.sort_array(F.map_entries(envs)), lambda e: e["key"].startswith(name))
     return F.coalesce(envs[name], F.get(candidates, F.lit(0))["value"], F.lit(""))
 
 
 def env_list(envs: Column) -> Column:
-    return F.transform(F.array_sort(F.map_entries(envs)), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    return F.transform(F.sort_array(F.map_entries(envs)), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))

@@ -16,13 +16,16 @@ def volume(path: Column) -> Column:
 
 
 def _base_name(path: Column) -> Column:
+    """Last element; ordinary paths take the plain split, odd shapes the exact rules."""
     rest = F.regexp_replace(path, _VOLUME, "")
     trimmed = F.regexp_replace(rest, r"[\\/]+$", "")
-    name = F.regexp_extract(trimmed, r"([^\\/]*)$", 1)
-    return (F.when(path == "", F.lit("."))
-            .when((trimmed == "") & (rest != ""), F.lit("\\"))
-            .when(trimmed == "", F.lit("."))
-            .otherwise(name))
+    exact = (F.when(path == "", F.lit("."))
+             .when((trimmed == "") & (rest != ""), F.lit("\\"))
+             .when(trimmed == "", F.lit("."))
+             .otherwise(F.regexp_extract(trimmed, r"([^\\/]*)$", 1)))
+    name = F.substring_index(path, "\\", -1)
+    plain = (name != "") & ~name.contains("/") & ~name.contains(":") & ~path.startswith("\\\\")
+    return F.when(plain, name).otherwise(exact)
 
 
 def _stem(name: Column) -> Column:

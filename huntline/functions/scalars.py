@@ -98,25 +98,19 @@ def substr(text: Column, start, end=None) -> Column:
 def entropy(text: Column) -> Column:
     """Rounded-up Shannon entropy times the byte length; shares are runes per byte.
 
-    Sorting the characters puts equal ones side by side, so one pass over the
-    runs gives all counts.
+    Each distinct character is counted by how much the text shrinks without it,
+    which stays inside native string code for the whole text.
     """
-    runes = F.array_sort(F.split(text, ""))
-    size = F.octet_length(text).cast("double")
-    start = F.struct(F.lit("").alias("ch"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).cast("double").alias("sum"))
-
-    def term(n: Column) -> Column:
-        share = n.cast("double") / size
-        return F.when(n > 0, share * F.log2(share)).otherwise(F.lit(0.0))
-
-    def step(acc: Column, ch: Column) -> Column:
-        same = acc["ch"] == ch
-        return F.struct(ch.alias("ch"), F.when(same, acc["n"] + 1).otherwise(F.lit(1).cast("bigint")).alias("n"),
-                        F.when(same, acc["sum"]).otherwise(acc["sum"] + term(acc["n"])).alias("sum"))
-
-    total = F.aggregate(runes, start, step, lambda acc: acc["sum"] + term(acc["n"]))
-    return F.when(size == 0, F.lit(0).cast("bigint")).otherwise(
-        F.ceil(-F.round(total, 12)) * F.octet_length(text))
+    size = F.octet_length(text)
+    runes = F.array_distinct(F.filter(F.split(text, ""), lambda ch: ch != ""))
+
+    def term(acc: Column, ch: Column) -> Column:
+        count = (size - F.octet_length(F.replace(text, ch, F.lit("")))) / F.octet_length(ch)
+        share = count / size
+        return acc + share * F.log2(share)
+
+    total = F.aggregate(runes, F.lit(0.0).cast("double"), term)
+    return F.when(size == 0, F.lit(0).cast("bigint")).otherwise(F.ceil(-F.round(total, 12)) * size)
 
 
 def regex(text: Column, *patterns: str) -> Column:

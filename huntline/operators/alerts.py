@@ -115,4 +115,4 @@ def unique_pids(alerts: DataFrame) -> DataFrame:
     """Distinct process ids of each match; a process start counts with the started process."""
     pid = lambda e: F.when(e["name"] == "CreateProcess", F.coalesce(
         e["params"]["pid"].try_cast("bigint"), e["pid"])).otherwise(e["pid"])
-    return alerts.withColumn("pids", F.array_sort(F.array_distinct(F.transform("events", pid))))
+    return alerts.withColumn("pids", F.sort_array(F.array_distinct(F.transform("events", pid))))

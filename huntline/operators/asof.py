@@ -1,10 +1,14 @@
 """Latest-row joins: as-of, range, nearest-below and one-to-one pairing.
 
 All of them ask for the last right row at or before a position (time, address,
-offset) within the same key. Rows of both sides are brought together once, by
-key *and* slice of the position axis, so a key that owns a large part of the
-data is spread over many tasks. What a slice inherits from earlier slices
-comes from one summary row per key and slice; no pair of rows is ever built.
+offset) within the same key. Rows of both sides are brought together once and
+a running ``last`` answers; no pair of rows is ever built.
+
+A key that owns a large part of the data is cut into slices of the position
+axis, so that it spreads over many tasks; what a slice inherits from earlier
+slices comes from one summary row per key and slice. Which keys are hot is
+found by one count over the key columns (partial aggregation); with a given
+``slice_width`` every key is cut and nothing is counted.
 """
 
 from __future__ import annotations
@@ -13,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durations import micros
+from ..session import durable
 
-DEFAULT_SLICE = "10m"
+ROWS_PER_SLICE = 2_000_000
+BROADCAST_ROWS = 100_000
 
 
 def _micros_of(df: DataFrame, column: str) -> Column:
@@ -23,9 +29,9 @@ def _micros_of(df: DataFrame, column: str) -> Column:
 
 
 def last_at_or_before(left: DataFrame, right: DataFrame, keys: list[str], left_at: Column, right_at: Column,
-                      columns: list[str], width: int, tie: str | None = None,
+                      columns: list[str], width: int | None = None, tie: str | None = None,
                       ends: DataFrame | None = None, ends_at: Column | None = None,
-                      ends_shown_at: Column | None = None) -> DataFrame:
+                      ends_shown_at: Column | None = None, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``left`` plus ``_st`` (position and columns of the last right row) and ``_end`` (position of the last end row).
 
     ``width`` is the slice length on the position axis; every width gives the
@@ -47,27 +53,56 @@ def last_at_or_before(left: DataFrame, right: DataFrame, keys: list[str], left_a
         together = together.unionByName(part, allowMissingColumns=True)
     if ends is None:
         together = together.withColumn("_over", F.lit(None).cast("bigint"))
-    together = together.withColumn("_slice", F.floor(F.col("_pos") / F.lit(width)))
 
-    within = (Window.partitionBy(*keys, "_slice").orderBy("_pos", "_tag", "_tie")
+    if width is not None:
+        together = together.withColumn("_slice", F.floor(F.col("_pos") / F.lit(width)))
+    else:
+        hot = _hot_keys(together, keys, rows_per_slice)
+        if hot is None:
+            near = _running(together, keys)
+            return near.select(*left.columns, F.col("_near").alias("_st"), F.col("_near_over").alias("_end"))
+        together = together.join(hot, keys, "left").withColumn(
+            "_slice", F.when(F.col("_w").isNotNull(), F.floor(F.col("_pos") / F.col("_w"))).otherwise(F.lit(0)))
+
+    near = _running(together, [*keys, "_slice"])
+    sliced = together if width is not None else together.where("_w is not null")
+    joined = near.join(_inherited(sliced.where(_present(keys)), keys), [*keys, "_slice"], "left")
+    return joined.select(
+        *[F.col(c) for c in left.columns],
+        F.coalesce("_near", "_far").alias("_st"), F.coalesce("_near_over", "_far_over").alias("_end"))
+
+
+def _running(together: DataFrame, group: list[str]) -> DataFrame:
+    """Left rows with the last state and end row before them in their group."""
+    before = (Window.partitionBy(*group).orderBy("_pos", "_tag", "_tie")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    here = together.select("*", F.last("_state", True).over(within).alias("_near"),
-                           F.last("_over", True).over(within).alias("_near_over")).where("_tag = 1")
+    return together.select("*", F.last("_state", True).over(before).alias("_near"),
+                           F.last("_over", True).over(before).alias("_near_over")).where("_tag = 1")
+
 
+def _inherited(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and slice with left rows: the last state and end row of all earlier slices."""
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     newest = F.when(F.col("_tag") == 0, F.struct("_pos", "_tie"))
-    inherited = (
-        together.where(_present(keys)).groupBy(*keys, "_slice")
-        .agg(F.max_by("_state", newest).alias("_s"), F.max("_over").alias("_o"), F.max("_tag").alias("_t"),
-             F.count_if(F.col("_tag") == 1).alias("_n"))
+    return (
+        rows.groupBy(*keys, "_slice")
+        .agg(F.max_by("_state", newest).alias("_s"), F.max("_over").alias("_o"), F.count_if(F.col("_tag") == 1).alias("_n"))
         .select(*keys, "_slice", "_n", F.last("_s", True).over(earlier).alias("_far"),
                 F.max("_o").over(earlier).alias("_far_over"))
         .where("_n > 0 and (_far is not null or _far_over is not null)").drop("_n")
     )
-    joined = here.join(inherited, [*keys, "_slice"], "left")
-    return joined.select(
-        *[F.col(c) for c in left.columns],
-        F.coalesce("_near", "_far").alias("_st"), F.coalesce("_near_over", "_far_over").alias("_end"))
+
+
+def _hot_keys(together: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """Keys with more than ``limit`` rows and their slice length ``_w``; at most rows / limit of them, None if there are none."""
+    counted = together.where(_present(keys)).groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min("_pos").alias("_a"), F.max("_pos").alias("_b")).where(F.col("_n") > limit)
+    pieces = F.ceil(F.col("_n") / limit)
+    hot = durable(counted.select(*keys, F.greatest(F.floor((F.col("_b") - F.col("_a")) / pieces), F.lit(1)).alias("_w")))
+    found = hot.count()
+    if found == 0:
+        return None
+    return F.broadcast(hot) if found <= BROADCAST_ROWS else hot
 
 
 def _present(keys: list[str]) -> Column:
@@ -77,20 +112,24 @@ def _present(keys: list[str]) -> Column:
     return out
 
 
+def _width(value: str | int | None) -> int | None:
+    return None if value is None else micros(value)
+
+
 def _spread(df: DataFrame, left_columns: list[str], columns: list[str], ok: Column, extra: list[Column] = ()) -> DataFrame:
     return df.select(*left_columns, *[F.when(ok, F.col("_st")[c]).alias(c) for c in columns], *extra)
 
 
 def asof_join(left: DataFrame, state: DataFrame, keys: list[str], ts: str, columns: list[str], state_ts: str | None = None,
               close: DataFrame | None = None, close_ts: str | None = None, grace: str | int = 0,
-              slice_width: str | int = DEFAULT_SLICE, tie: str | None = None) -> DataFrame:
+              slice_width: str | int | None = None, tie: str | None = None) -> DataFrame:
     """Columns of the latest state row of the same key with ``state_ts <= ts``.
 
     ``close`` rows end the state; it stays visible for ``grace`` after the end.
     """
     state_ts, close_ts = state_ts or ts, close_ts or ts
     found = last_at_or_before(
-        left, state, keys, _micros_of(left, ts), _micros_of(state, state_ts), columns, micros(slice_width), tie,
+        left, state, keys, _micros_of(left, ts), _micros_of(state, state_ts), columns, _width(slice_width), tie,
         ends=close, ends_at=None if close is None else _micros_of(close, close_ts),
         ends_shown_at=None if close is None else _micros_of(close, close_ts) + F.lit(micros(grace)))
     alive = F.col("_end").isNull() | (F.col("_end") < F.col("_st")["_from"])
@@ -98,7 +137,7 @@ def asof_join(left: DataFrame, state: DataFrame, keys: list[str], ts: str, colum
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, lo: str, size: str, columns: list[str],
-               slice_width: int = 1 << 24) -> DataFrame:
+               slice_width: int | None = None) -> DataFrame:
     """Columns of the right interval ``[lo, lo + size)`` that holds ``point``; intervals of a key do not overlap."""
     needed = list(dict.fromkeys([*columns, size]))
     right = right.withColumn("_lo", F.col(lo))
@@ -108,7 +147,7 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, l
 
 
 def nearest_below_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, at: str, columns: list[str],
-                       slice_width: int = 1 << 24) -> DataFrame:
+                       slice_width: int | None = None) -> DataFrame:
     """Columns of the right row with the largest ``at <= point``."""
     right = right.withColumn("_at", F.col(at))
     found = last_at_or_before(left, right, keys, F.col(point), F.col("_at"), columns, slice_width)
@@ -117,7 +156,7 @@ def nearest_below_join(left: DataFrame, right: DataFrame, keys: list[str], point
 
 def pair_latest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, within: str | int, columns: list[str],
                 right_ts: str | None = None, left_id: str = "seq", right_id: str = "seq", same: list[str] = (),
-                one_to_one: bool = True, slice_width: str | int = DEFAULT_SLICE) -> DataFrame:
+                one_to_one: bool = True, slice_width: str | int | None = None) -> DataFrame:
     """Pair each left row with the newest earlier right row of its key, at most ``within`` old.
 
     ``same`` names columns that must agree as well. With ``one_to_one`` a right
@@ -128,7 +167,7 @@ def pair_latest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, wit
     carried = right.withColumnsRenamed({c: f"_r_{c}" for c in same})
     carried = carried.withColumn("_rid", F.col(right_id))
     found = last_at_or_before(left, carried, keys, _micros_of(left, ts), _micros_of(carried, right_ts),
-                              list(dict.fromkeys([*columns, "_rid", *[f"_r_{c}" for c in same]])), micros(slice_width),
+                              list(dict.fromkeys([*columns, "_rid", *[f"_r_{c}" for c in same]])), _width(slice_width),
                               tie="_rid")
     fits = _micros_of(left, ts) - F.col("_st")["_from"] <= F.lit(micros(within))
     for c in same:

@@ -130,7 +130,7 @@ def members_asof(events: DataFrame, opens: DataFrame, closes: DataFrame, keys: l
              .withColumn("_b1", F.least(F.coalesce(F.floor(F.col("_hi") / width), horizon), horizon))
              .where("_b0 <= _b1").withColumn("_b", F.explode(F.sequence("_b0", "_b1"))))
     open_now = event_rows.join(spans, [*keys, "_b"]).where("_lo <= _t and (_hi is null or _t < _hi)")
-    grouped = open_now.groupBy(*keys, "_seq").agg(F.array_sort(F.collect_set(F.struct(*member))).alias("members"))
+    grouped = open_now.groupBy(*keys, "_seq").agg(F.sort_array(F.collect_set(F.struct(*member))).alias("members"))
     return events.join(grouped.withColumnRenamed("_seq", "seq"), [*keys, "seq"], "left").withColumn(
         "members", F.coalesce("members", F.array()))
 
@@ -143,7 +143,7 @@ def asof_next(opens: DataFrame, closes: DataFrame, keys: list[str]) -> DataFrame
     # Time runs backwards so that "next" becomes "latest before", with slices for hot members.
     back = rows.where("_k = 0").withColumn("_p", -F.col("_lo"))
     nexts = rows.withColumn("_q", -F.col("_lo") + 1)
-    found = last_at_or_before(back, nexts, keys, F.col("_p"), F.col("_q"), ["_lo"], micros("10m"))
+    found = last_at_or_before(back, nexts, keys, F.col("_p"), F.col("_q"), ["_lo"])
     return found.select(*keys, "_lo", F.col("_st._lo").alias("_hi"))
 
 
@@ -197,7 +197,7 @@ def enrich_registry_path(events: DataFrame, kcbs: DataFrame, freed: DataFrame, h
     return out.withColumn("key_path", F.coalesce(registry_key(F.col("key_path"), sid), relative))
 
 
-def pair_set_value(events: DataFrame, internal: DataFrame, slice_width: str = "10m") -> DataFrame:
+def pair_set_value(events: DataFrame, internal: DataFrame, slice_width: str | None = None) -> DataFrame:
     """value_type and data of the newest pending internal write of the process, if it is the same value and fresh."""
     return pair_latest(events, internal, ["host", "pid"], "ts", SET_VALUE_TTL, ["value_type", "data"], same=["value_name"],
                        slice_width=slice_width)
@@ -225,7 +225,7 @@ def pair_callstack(events: DataFrame, walks: DataFrame, surrogates: bool = False
 
 
 def symbolize(frames: DataFrame, modules: DataFrame, exports: DataFrame, parent_key: str | None = None,
-              slice_width: int = 1 << 24) -> DataFrame:
+              slice_width: int | None = None) -> DataFrame:
     """``module``, ``module_addr``, ``symbol`` and ``offset`` per frame address.
 
     The module of the process holds the address, else one of the parent

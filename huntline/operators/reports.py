@@ -58,7 +58,7 @@ def top(df: DataFrame, by: str, n: int, ties: list[str] = ()) -> DataFrame:
 
 def sort_events(col: Column) -> Column:
     """Events of a match in time order."""
-    return F.array_sort(col)
+    return F.sort_array(col)
 
 
 def with_delta(df: DataFrame, ts: str = "ts", seq: str = "seq", host: str = "host", slice_width: str = "10m") -> DataFrame:

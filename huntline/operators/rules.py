@@ -14,7 +14,7 @@ from ..functions.logic import and_, or_, true_or_false
 from .sequences import SequenceSpec, sequence_match
 
 Predicate = Callable[[DataFrame], Column]
-SEVERITIES = ["low", "medium", "high", "critical"]
+SEPARATOR = "\x1f"
 
 
 @dataclass(frozen=True)
@@ -93,11 +93,10 @@ def match_rules(df: DataFrame, rules: list[Rule], match_all: bool = True) -> Dat
     all conditions are evaluated in one pass without a shuffle.
     """
     usable = [r for r in active(rules) if r.sequence is None and (r.names or r.categories)]
-    hits = F.filter(F.array(*[F.when(full_condition(df, r), F.lit(r.id)) for r in usable]), lambda i: i.isNotNull())
-    scoped = df.where(scope_filter(usable)).withColumn("_hits", hits).where(F.size("_hits") > 0)
-    if match_all:
-        return scoped.withColumn("rule_id", F.explode("_hits")).drop("_hits")
-    return scoped.withColumn("rule_id", F.element_at("_hits", 1)).drop("_hits")
+    # Joined text rather than a filtered array: the conditions stay in generated code.
+    hits = F.split(F.concat_ws(SEPARATOR, *[F.when(full_condition(df, r), F.lit(r.id)) for r in usable]), SEPARATOR)
+    scoped = df.where(scope_filter(usable))
+    return scoped.withColumn("rule_id", F.explode(hits if match_all else F.slice(hits, 1, 1))).where("rule_id != ''")
 
 
 def scope_filter(rules: list[Rule]) -> Column:

@@ -138,23 +138,24 @@ def tag_rows(df: DataFrame, specs: list[SequenceSpec], ts: str, seq: str, keep:
             candidates += [_candidate(index, key_column(df, s.by), m, F.lit(False)) for s, m in zip(spec.steps, masks)]
             if spec.expire_when:
                 candidates.append(_candidate(index, key_column(df, _names(spec.expire_by or spec.steps[0].by)), F.lit(0), expires))
-    live = F.filter(F.array(*candidates), lambda c: (c["mask"] != 0) | c["ends"])
     time = F.unix_micros(F.col(ts).cast("timestamp"))
-    return (df.where(or_(*wanted))
-            .select(time.alias("ts"), F.col(seq).cast("bigint").alias("seq"), *[_sortable(df, c) for c in keep],
-                    F.explode(live).alias("c"))
-            .select("c.rule", "c.key", F.struct("ts", "seq", F.col("c.mask").alias("mask"), F.col("c.ends").alias("ends"),
-                                                *[c for c in keep if c not in ("ts", "seq")]).alias("item")))
+    kept = [c for c in keep if c not in ("ts", "seq")]
+    rows = df.where(or_(*wanted)).select(
+        time.alias("ts"), F.col(seq).cast("bigint").alias("seq"), *[_sortable(df, c) for c in kept],
+        F.stack(F.lit(len(candidates)), *[part for c in candidates for part in c]).alias("_rule", "_key", "_mask", "_ends"))
+    return rows.where("_mask != 0 or _ends").select(
+        F.col("_rule").alias("rule"), F.col("_key").alias("key"),
+        F.struct("ts", "seq", F.col("_mask").alias("mask"), F.col("_ends").alias("ends"), *kept).alias("item"))
 
 
-def _candidate(index: int, key: Column, mask: Column, ends: Column) -> Column:
-    return F.struct(F.lit(index).alias("rule"), key.alias("key"), mask.cast("int").alias("mask"), ends.alias("ends"))
+def _candidate(index: int, key: Column, mask: Column, ends: Column) -> tuple[Column, ...]:
+    return F.lit(index), key, mask.cast("int"), ends
 
 
 def _sortable(df: DataFrame, name: str) -> Column:
     """Maps cannot be part of a sort; they travel as entries."""
     if isinstance(df.schema[name].dataType, T.MapType):
-        return F.array_sort(F.map_entries(name)).alias(name)
+        return F.sort_array(F.map_entries(name)).alias(name)
     return F.col(name)
 
 
@@ -333,7 +334,7 @@ def _match_group(df: DataFrame, specs: list[SequenceSpec], ts: str, seq: str, ke
 
 
 def _sorted_items() -> Column:
-    return F.array_sort(F.collect_list("item")).alias("items")
+    return F.sort_array(F.collect_list("item")).alias("items")
 
 
 def _fold_whole(tagged: DataFrame, fold: Fold) -> DataFrame:
@@ -383,6 +384,6 @@ def _report(found: DataFrame, fold: Fold, df: DataFrame, keep: list[str]) -> Dat
 
     return (found.select("rule", "key", F.explode("matches").alias("m"))
             .select(F.get(names, F.col("rule")).alias("rule"), "key",
-                    F.transform(F.array_sort("m"), event).alias("events"))
+                    F.transform(F.sort_array("m"), event).alias("events"))
             .select("rule", "key", F.get("events", F.lit(0))["ts"].alias("start_ts"),
                     F.try_element_at("events", F.lit(-1))["ts"].alias("end_ts"), "events"))

@@ -79,7 +79,7 @@ def t6(spark, sf):
 @query("u3_array_intersection", "SELECT p_partkey, array_to_string(list_sort(list_intersect(string_split(p_name, ' '), ['red', 'ring', 'bolt'])), ',') AS common FROM part")
 def u3(spark, sf):
     hit = F.array_intersect(F.split("p_name", " "), F.array(F.lit("red"), F.lit("ring"), F.lit("bolt")))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(hit), ",").alias("common"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.sort_array(hit), ",").alias("common"))
 
 
 @query("m1_report", ev_sql("""

@@ -120,7 +120,7 @@ TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def _sorted_map(col: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(col)))
+    return F.map_from_entries(F.sort_array(F.map_entries(col)))
 
 
 def event_struct(df: DataFrame) -> Column:
@@ -148,7 +148,7 @@ def to_event_json(df: DataFrame, out: str = "json") -> DataFrame:
 def to_batch_json(df: DataFrame, batch_id: Column) -> DataFrame:
     """``[e1\\n,e2\\n,…]`` per batch; the caller's batch id bounds the batch."""
     rows = df.select(batch_id.alias("batch_id"), F.struct("seq", F.to_json(event_struct(df)).alias("j")).alias("r"))
-    listed = F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(r["j"], F.lit("\n")))
+    listed = F.transform(F.sort_array(F.collect_list("r")), lambda r: F.concat(r["j"], F.lit("\n")))
     return rows.groupBy("batch_id").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("json"))
 
 

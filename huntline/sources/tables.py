@@ -106,11 +106,13 @@ def wide_telemetry(spark: SparkSession, folder: str) -> DataFrame:
         (6, 7): {"pid": text(u % 7), "tid": text(i % 64), "desired_access": text(i % 16), "desired_access_names": F.when(i % 2 == 0, F.lit("READ|WRITE")).otherwise(F.lit("ALL")),
                  "status": F.when(k % 4 == 0, F.lit("Access denied")).otherwise(F.lit("Success")), "exe": F.col("path")},
     }
-    entries = None
+    # One flat map with literal keys: a lookup by key reduces to that key's value alone.
+    cases: dict[str, Column] = {}
     for slots, values in params.items():
-        built = F.create_map(*[x for key, value in values.items() for x in (F.lit(key), value)])
-        hit = at.isin(list(slots))
-        entries = F.when(hit, built) if entries is None else entries.when(hit, built)
+        for key, value in values.items():
+            hit = at.isin(list(slots))
+            cases[key] = cases[key].when(hit, value) if key in cases else F.when(hit, value)
+    entries = F.create_map(*[x for key, value in cases.items() for x in (F.lit(key), value)])
     return base.withColumns({"name": name, "category": category, "params": entries})
 
 
