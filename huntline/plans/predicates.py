@@ -8,7 +8,7 @@ from ..functions import predicates as P
 from ..functions.fields import field
 from ..functions.macros import macro
 from ..operators.rules import Rule, Test, derive_prefilter, scope
-from ..sources.tables import table, telemetry, wide_telemetry
+from ..sources.tables import spread, table, telemetry, wide_telemetry
 from .registry import ev_sql, query
 
 FLAG_NAMES = [("NONE", 0), ("READ", 1), ("WRITE", 2), ("MODIFY", 3), ("EXECUTE", 4), ("DELETE", 8)]
@@ -114,7 +114,7 @@ def f12(spark, sf):
 @query("f13_fuzzynorm", """
 SELECT doc_id, strip_accents(text) LIKE '%e%u%x%l%e%' AS f, lower(strip_accents(text)) LIKE '%f%u%r%s%c%h%' AS i FROM documents""")
 def f13(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return each(docs, "doc_id", f=P.fuzzynorm(F.col("text"), "éuxle"), i=P.ifuzzynorm(F.col("text"), "FÜRSCH"))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import paths, scalars as X
 from ..functions.predicates import and_
 from ..operators.alerts import alert_text
-from ..sources.tables import table, telemetry, wide_telemetry, with_stack
+from ..sources.tables import spread, table, telemetry, wide_telemetry, with_stack
 from .registry import ev_sql, query, st_sql
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 _IPNUM = "(CAST(string_split(dip, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(dip, '.')[2] AS BIGINT) * 65536 + CAST(string_split(dip, '.')[3] AS BIGINT) * 256 + CAST(string_split(dip, '.')[4] AS BIGINT))"
