@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..durations import micros
 from ..functions.callstack import UNBACKED
 from ..functions.paths import base, map_device_path, registry_key
+from ..session import durable
 from .asof import asof_join, last_at_or_before, nearest_below_join, pair_latest, range_join
 
 PROCESS_GRACE = "5s"
@@ -95,23 +96,33 @@ def ancestors(edges: DataFrame, child: str = "uuid", parent: str = "parent_uuid"
     """child and ``ancestors`` (names, nearest first).
 
     Pointer doubling: after k joins every row knows 2^k ancestors, so depth 32
-    takes five joins on the process table, each keyed by the process id, and no
-    chain is walked row by row. A cycle ends at ``max_depth``.
+    takes at most five joins on the process table and no chain is walked row by
+    row. Each round is checkpointed (the next one needs it on both sides) and
+    the rounds stop once all chains are complete. A cycle ends at ``max_depth``.
     """
+    nobody = F.expr("cast(array() as array<string>)")
     names = edges.select(F.col(child).alias("id"), F.col(parent).alias("up"), F.col(name).alias("name"))
-    walk = names.alias("c").join(names.alias("p"), F.col("c.up") == F.col("p.id"), "left").select(
-        F.col("c.id").alias("id"), F.when(F.col("p.id").isNotNull(), F.col("p.id")).alias("top"),
-        F.when(F.col("p.id").isNotNull(), F.array(F.col("p.name"))).otherwise(F.expr("cast(array() as array<string>)")).alias("chain"))
+    known = names.select(F.col("id").alias("top"), F.lit(0).alias("salt"), F.col("name").alias("up_name"), F.lit(True).alias("found"))
+    walk = names.withColumnRenamed("up", "top").withColumn("salt", _spread_nulls("top")).join(known, ["top", "salt"], "left").select(
+        "id", F.when(F.col("found"), F.col("top")).alias("top"),
+        F.when(F.col("found"), F.array("up_name")).otherwise(nobody).alias("chain"))
     reach = 1
-    while reach < max_depth:
-        nxt = walk.select(F.col("id").alias("id2"), F.col("top").alias("top2"), F.col("chain").alias("chain2"))
-        walk = walk.join(nxt, walk["top"] == nxt["id2"], "left").select(
-            "id", F.col("top2").alias("top"),
-            F.concat("chain", F.coalesce("chain2", F.expr("cast(array() as array<string>)"))).alias("chain"))
+    while True:
+        walk = durable(walk)
+        if reach >= max_depth or walk.where("top is not null").isEmpty():
+            break
+        further = walk.select(F.col("id").alias("top"), F.lit(0).alias("salt"), F.col("top").alias("top2"), F.col("chain").alias("chain2"))
+        walk = walk.withColumn("salt", _spread_nulls("top")).join(further, ["top", "salt"], "left").select(
+            "id", F.col("top2").alias("top"), F.concat("chain", F.coalesce("chain2", nobody)).alias("chain"))
         reach *= 2
     return walk.select(F.col("id").alias(child), F.slice("chain", 1, max_depth).alias("ancestors"))
 
 
+def _spread_nulls(key: str) -> Column:
+    """Second join key that keeps rows without a key from meeting in one partition."""
+    return F.when(F.col(key).isNull(), F.pmod(F.hash("id"), F.lit(4096)) + 1).otherwise(F.lit(0))
+
+
 def members_asof(events: DataFrame, opens: DataFrame, closes: DataFrame, keys: list[str], member: list[str],
                  bucket: str | int = "1h") -> DataFrame:
     """``members``: the collection elements open at event time.

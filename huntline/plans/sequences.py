@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequences as S
-from ..operators.reports import cap_partials, dedup_partials
+from ..operators.reports import cap_partials, dedup_partials, sort_events
 from ..operators.sequences import SequenceSpec, sequence_match, step
-from ..sources.tables import telemetry
+from ..sources.tables import table, telemetry
 from .registry import ev_sql, query
 
 
@@ -200,13 +200,13 @@ def q_many(spark, sf):
     return seqs(sequence_match(telemetry(spark, sf), MANY).withColumn("key", F.concat_ws("|", "rule", "key")))
 
 
-@query("t3_events_in_time_order", ev_sql("""
-SELECT host, CAST(ts AS DATE)::VARCHAR AS day, md5(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY ts, seq)) AS h, count(*) AS n FROM ev GROUP BY host, CAST(ts AS DATE)"""))
+@query("t3_events_in_time_order", """
+SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_shipdate, l_linenumber) AS ordered, count(*) AS n FROM lineitem GROUP BY l_orderkey""")
 def t3(spark, sf):
-    from ..operators.reports import sort_events
-    df = telemetry(spark, sf).groupBy("host", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_list(F.struct("ts", "seq")).alias("e"))
-    return df.select("host", "day", F.md5(F.array_join(F.transform(sort_events(F.col("e")), lambda e: e["seq"].cast("string")), ",")).alias("h"),
-                     F.size("e").cast("bigint").alias("n"))
+    # A match holds a handful of events, as an order holds a handful of lines.
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_shipdate", "l_linenumber")).alias("e"))
+    return lines.select("l_orderkey", F.array_join(F.transform(sort_events(F.col("e")), lambda e: e["l_linenumber"].cast("string")), ",").alias("ordered"),
+                        F.size("e").cast("bigint").alias("n"))
 
 
 @query("t4_partial_dedup", ev_sql("""

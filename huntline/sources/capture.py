@@ -37,7 +37,8 @@ def write_capture(df: DataFrame, snapshot: DataFrame | None, path: str, max_byte
         F.sum(F.when(fits, F.col("_bytes"))).alias("bytes"),
         F.count_if(fits & (F.col("name") == "CreateProcess")).alias("processes"),
         F.count_if(fits & (F.col("name") == "CreateHandle")).alias("handles"))
-    observed.where(fits).drop("_bytes").write.mode("overwrite").partitionBy("date", "category").parquet(f"{path}/events")
+    # Rebalancing merges small and splits large (date, category) groups before the write.
+    observed.where(fits).drop("_bytes").hint("rebalance", "date", "category").write.mode("overwrite").partitionBy("date", "category").parquet(f"{path}/events")
     return seen.get
 
 
