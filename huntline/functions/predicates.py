@@ -28,11 +28,11 @@ def _number(value) -> Column:
     if isinstance(value, Column):
         return value
     if isinstance(value, str):
-        return F.expr(f"try_cast({_quoted(value)} as double)")
+        return F.expr(f"try_cast({sql_text(value)} as double)")
     return F.lit(value)
 
 
-def _quoted(text: str) -> str:
+def sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 

@@ -29,7 +29,7 @@ from ..session import durable
 
 MAX_SPAN = micros("4h")
 MAX_STEPS = 5
-ROWS_PER_SLICE = 200_000
+ROWS_PER_SLICE = 50_000
 BINS_PER_SLICE = 16
 BROADCAST_ROWS = 100_000
 
@@ -199,19 +199,30 @@ class Fold:
         return (state["filled"] != 0) & (now - since > span)
 
     def run(self, items: Column, entry: Column, rule: Column) -> Column:
-        """struct(state, matches) after all rows, starting from ``entry``."""
+        """struct(state, matches) after all rows, starting from ``entry``.
+
+        A row's outcome (state and, when a sequence is done, its events) is
+        bound once; the list of matches takes in the previous row's outcome, so
+        it is never copied along with the bound values.
+        """
         full = self.option(rule, [(1 << len(s.steps)) - 1 for s in self.specs])
         ordered = self.option(rule, [s.ordered for s in self.specs])
         none = F.expr(f"cast(array() as array<array<{self.item_type.simpleString()}>>)")
+        nothing = F.expr(f"cast(array() as array<{self.item_type.simpleString()}>)")
+
+        def outcome(state: Column, x: Column) -> Column:
+            dead = self.expired(state, x["ts"], rule) | x["ends"]
+            return _let(F.when(dead, self.idle()).otherwise(state), lambda s: _let(
+                self._take(s, x, ordered), lambda take: self._after(s, x, take, full, nothing)))
 
-        def advance(acc: Column, x: Column) -> Column:
-            dead = self.expired(acc["state"], x["ts"], rule) | x["ends"]
-            return _let(F.when(dead, self.idle()).otherwise(acc["state"]), lambda s: _let(
-                self._take(s, x, ordered), lambda take: _let(
-                    self._after(s, x, take, full, acc["matches"]), lambda out: out)))
+        def matches(acc: Column) -> Column:
+            return F.when(acc["now"]["done"], F.array_append(acc["matches"], acc["now"]["events"])).otherwise(acc["matches"])
 
-        start = F.struct(entry.alias("state"), none.alias("matches"))
-        return F.aggregate(items, start, advance)
+        begin = F.struct(entry.alias("state"), F.lit(False).alias("done"), nothing.alias("events"))
+        return F.aggregate(
+            items, F.struct(begin.alias("now"), none.alias("matches")),
+            lambda acc, x: F.struct(outcome(acc["now"]["state"], x).alias("now"), matches(acc).alias("matches")),
+            lambda acc: F.struct(acc["now"]["state"].alias("state"), matches(acc).alias("matches")))
 
     def _take(self, s: Column, x: Column, ordered: Column) -> Column:
         """New bits, whether the row is a further candidate, and the slot it goes to."""
@@ -253,7 +264,7 @@ class Fold:
         return F.transform(spots, lambda n: F.struct(
             *[F.get(slot(i), F.least(n, F.size(slot(i)) - 1)).alias(a) for a, i in used]))
 
-    def _after(self, s: Column, x: Column, take: Column, full: Column, matches: Column) -> Column:
+    def _after(self, s: Column, x: Column, take: Column, full: Column, nothing: Column) -> Column:
         filled = s["filled"].bitwiseOR(take["new"])
         slots = F.when(take["new"] != 0, F.array_append(s["slots"], x)).otherwise(s["slots"])
         done = filled == full
@@ -269,8 +280,7 @@ class Fold:
             parts.append(self._pend(s, x, take).alias("pending"))
             report = self._representatives(s, x)
         state = F.when(done, self.idle()).otherwise(F.struct(*parts))
-        return F.struct(state.alias("state"),
-                        F.when(done, F.array_append(matches, report)).otherwise(matches).alias("matches"))
+        return F.struct(state.alias("state"), done.alias("done"), F.when(done, report).otherwise(nothing).alias("events"))
 
     def _pend(self, s: Column, x: Column, take: Column) -> Column:
         n = len(self.bound.steps)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..durations import micros
 from ..functions import callstack as cs
 from ..functions import params as fn
+from ..functions.predicates import sql_text
 from ..functions.template import compile_line
 from ..schema import EVENT, STATE_NAMES
 
@@ -228,25 +229,26 @@ SUMMARIES = {
 SET_VALUE_SUMMARIES = ("set <code>{value}</code> payload in <code>{key_path}</code> value", "set <code>{key_path}</code> value")
 
 
-def _sentence(template: str) -> Column:
+def _sentence(template: str) -> str:
+    """SQL text of one sentence."""
     import re
     parts = []
     for i, piece in enumerate(re.split(r"\{([a-z_:]+)\}", template)):
         if i % 2:
             name, _, how = piece.partition(":")
-            value = F.coalesce(F.col("params")[name], F.lit(""))
-            parts.append(F.lower(value) if how else value)
+            value = f"coalesce(params['{name}'], '')"
+            parts.append(f"lower({value})" if how else value)
         elif piece:
-            parts.append(F.lit(piece))
-    return F.concat(*parts)
+            parts.append(sql_text(piece))
+    return f"concat({', '.join(parts)})"
 
 
 def event_summary(df: DataFrame, out: str = "summary") -> DataFrame:
     """One sentence per event, led by the process name or, without a process, by its pid."""
     with_value, without = (_sentence(t) for t in SET_VALUE_SUMMARIES)
-    text = F.when(F.col("name") == "RegSetValue", F.when(F.col("params")["value"].isNotNull(), with_value).otherwise(without))
-    for name, template in SUMMARIES.items():
-        text = text.when(F.col("name") == name, _sentence(template))
+    cases = [f"WHEN 'RegSetValue' THEN IF(params['value'] IS NOT NULL, {with_value}, {without})"]
+    cases += [f"WHEN '{name}' THEN {_sentence(template)}" for name, template in SUMMARIES.items()]
+    text = F.expr(f"CASE name {' '.join(cases)} END")
     lead = F.concat(F.lit("process with <code>"), F.col("pid").cast("string"), F.lit("</code> id "))
     if "ps" in df.columns:
         lead = F.when(F.col("ps").isNotNull(), F.concat(F.lit("<code>"), F.coalesce(F.col("ps.name"), F.lit("")),
