@@ -29,7 +29,10 @@ from ..session import durable
 
 MAX_SPAN = micros("4h")
 MAX_STEPS = 5
-ROWS_PER_SLICE = 50_000
+# A fold copies its finished matches with every row, so long arrays cost more than their length: slices stay short,
+# and a key is cut once it has several slices' worth of rows.
+ROWS_PER_SLICE = 2_000
+SLICES_BEFORE_CUT = 5
 BINS_PER_SLICE = 16
 BROADCAST_ROWS = 100_000
 
@@ -329,8 +332,8 @@ def _match_group(df: DataFrame, specs: list[SequenceSpec], ts: str, seq: str, ke
     fold = Fold(specs, tagged.schema["item"].dataType)
     by_key = tagged.groupBy("rule", "key")
     hot = (by_key.agg(F.count("*").alias("n"), F.min("item.ts").alias("t0"), F.max("item.ts").alias("t1"))
-           .where(F.col("n") > limit))
-    # One small job; a key is hot only with more than ``limit`` rows, so the list has at most rows / limit entries.
+           .where(F.col("n") > limit * SLICES_BEFORE_CUT))
+    # One small job; a hot key has more than 5 * ``limit`` rows, which bounds the list by rows / (5 * limit).
     hot = durable(hot)
     n_hot = hot.count()
     if n_hot == 0:

@@ -87,7 +87,7 @@ def q1c(spark, sf):
 def q1d(spark, sf):
     # Few keys hold all rows; a low row bound makes every key a hot one.
     spec = SequenceSpec("hot", [step(kind(n)) for n in ("error", "purchase", "view")], by="host", maxspan="1h")
-    return seqs(sequence_match(telemetry(spark, sf), spec, rows_per_slice=500))
+    return seqs(sequence_match(telemetry(spark, sf), spec, rows_per_slice=40))
 
 
 @query("q2_by_text_without_case", sequence_sql(source("lower(host)", typed("signup", "error")), 2, 4 * HOUR))
