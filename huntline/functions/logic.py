@@ -24,20 +24,36 @@ def or_zero(col: Column, kind: str) -> Column:
     return F.coalesce(col, zero(kind)) if kind in ZERO_LITERALS else col
 
 
+def never_null(col: Column) -> Column:
+    """Mark a Boolean column that cannot be NULL, so that it is not wrapped again (a wrapper would block pushdown)."""
+    col.__dict__["_never_null"] = True
+    return col
+
+
 def true_or_false(col: Column) -> Column:
-    return F.coalesce(col, F.lit(False))
+    return col if col.__dict__.get("_never_null") else never_null(F.coalesce(col, F.lit(False)))
+
+
+def present_and(col: Column, test: Column) -> Column:
+    """A test of a column against literals, false when the column is missing; both parts can be pushed to a scan."""
+    return never_null(test & col.isNotNull())
 
 
 def and_(*cols: Column) -> Column:
-    return reduce(lambda a, b: a & b, [true_or_false(c) for c in cols], F.lit(True)) if cols else F.lit(True)
+    return never_null(reduce(lambda a, b: a & b, [true_or_false(c) for c in cols], F.lit(True)) if cols else F.lit(True))
 
 
 def or_(*cols: Column) -> Column:
-    return reduce(lambda a, b: a | b, [true_or_false(c) for c in cols]) if cols else F.lit(False)
+    return never_null(reduce(lambda a, b: a | b, [true_or_false(c) for c in cols]) if cols else F.lit(False))
 
 
 def not_(col: Column) -> Column:
-    return ~true_or_false(col)
+    return never_null(~true_or_false(col))
+
+
+def keep_where(*cols: Column) -> Column:
+    """Disjunction for a filter, where NULL drops the row anyway."""
+    return reduce(lambda a, b: a | b, cols) if cols else F.lit(False)
 
 
 def as_column(value) -> Column:

@@ -13,7 +13,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .logic import and_, as_column, as_list, not_, or_, true_or_false
+from .logic import and_, as_column, as_list, keep_where, not_, or_, present_and, true_or_false
 
 __all__ = [
     "and_", "or_", "not_", "eq", "ne", "lt", "le", "gt", "ge", "ieq", "in_", "iin", "contains", "icontains",
@@ -37,7 +37,7 @@ def sql_text(text: str) -> str:
 
 
 def eq(col: Column, rhs) -> Column:
-    return true_or_false(col == as_column(rhs))
+    return _compare(col, rhs, lambda a, b: a == b)
 
 
 def ne(col: Column, rhs) -> Column:
@@ -53,20 +53,30 @@ def num_ne(col: Column, rhs) -> Column:
     return true_or_false(col != _number(rhs))
 
 
+def _compare(col: Column, rhs, test) -> Column:
+    if isinstance(rhs, (Column, type(None))):
+        return true_or_false(test(col, as_column(rhs)))
+    return present_and(col, test(col, F.lit(rhs)))
+
+
+def _order(col: Column, rhs, test) -> Column:
+    return true_or_false(test(col, _number(rhs))) if isinstance(rhs, str) else _compare(col, rhs, test)
+
+
 def lt(col: Column, rhs) -> Column:
-    return true_or_false(col < _number(rhs))
+    return _order(col, rhs, lambda a, b: a < b)
 
 
 def le(col: Column, rhs) -> Column:
-    return true_or_false(col <= _number(rhs))
+    return _order(col, rhs, lambda a, b: a <= b)
 
 
 def gt(col: Column, rhs) -> Column:
-    return true_or_false(col > _number(rhs))
+    return _order(col, rhs, lambda a, b: a > b)
 
 
 def ge(col: Column, rhs) -> Column:
-    return true_or_false(col >= _number(rhs))
+    return _order(col, rhs, lambda a, b: a >= b)
 
 
 def ieq(col: Column, rhs) -> Column:
@@ -77,7 +87,7 @@ def in_(col: Column, values, any_of: bool = False) -> Column:
     values = as_list(values)
     if any_of:
         return true_or_false(F.arrays_overlap(col, F.array(*[as_column(v) for v in values])))
-    return true_or_false(col.isin(values))
+    return present_and(col, col.isin(values))
 
 
 def iin(col: Column, values, any_of: bool = False) -> Column:
@@ -93,8 +103,11 @@ def _any(col: Column, rhs, test, fold: bool, any_of: bool) -> Column:
         operands = [F.lower(o) if isinstance(o, Column) else o.lower() for o in operands]
 
     def one(item: Column) -> Column:
-        item = F.lower(item) if fold else item
-        return or_(*[test(item, o) for o in operands])
+        text = F.lower(item) if fold else item
+        tests = [test(text, o) for o in operands]
+        if any(isinstance(o, Column) for o in operands):
+            return or_(*tests)
+        return present_and(item, keep_where(*tests))
 
     return true_or_false(F.exists(col, one)) if any_of else one(col)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.fields import FIELDS, field
-from ..functions.logic import and_, or_, true_or_false
+from ..functions.logic import and_, keep_where, or_, true_or_false
 from .sequences import SequenceSpec, sequence_match
 
 Predicate = Callable[[DataFrame], Column]
@@ -104,7 +104,7 @@ def scope_filter(rules: list[Rule]) -> Column:
     names = sorted({n for r in rules for n in r.names})
     categories = sorted({c for r in rules for c in r.categories})
     parts = ([F.col("name").isin(names)] if names else []) + ([F.col("category").isin(categories)] if categories else [])
-    return or_(*parts) if parts else F.lit(False)
+    return keep_where(*parts)
 
 
 def match_sequences(df: DataFrame, rules: list[Rule], seq: str = "seq", ts: str = "ts", keep: list[str] = ()) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..durations import micros
-from ..functions.logic import or_, true_or_false
+from ..functions.logic import keep_where, true_or_false
 from ..session import durable
 
 MAX_SPAN = micros("4h")
@@ -124,9 +124,10 @@ def tag_rows(df: DataFrame, specs: list[SequenceSpec], ts: str, seq: str, keep:
     """
     candidates, wanted = [], []
     for index, spec in enumerate(specs):
-        bits = [true_or_false(s.pred(df)) for s in spec.steps]
+        tests = [s.pred(df) for s in spec.steps]
+        wanted += tests + ([spec.expire_when(df)] if spec.expire_when else [])
+        bits = [true_or_false(t) for t in tests]
         expires = true_or_false(spec.expire_when(df)) if spec.expire_when else F.lit(False)
-        wanted += bits + ([expires] if spec.expire_when else [])
         masks = [F.when(b, F.lit(1 << i)).otherwise(F.lit(0)) for i, b in enumerate(bits)]
         if spec.steps[0].by is None:
             by = _names(spec.by)
@@ -143,7 +144,7 @@ def tag_rows(df: DataFrame, specs: list[SequenceSpec], ts: str, seq: str, keep:
                 candidates.append(_candidate(index, key_column(df, _names(spec.expire_by or spec.steps[0].by)), F.lit(0), expires))
     time = F.unix_micros(F.col(ts).cast("timestamp"))
     kept = [c for c in keep if c not in ("ts", "seq")]
-    rows = df.where(or_(*wanted)).select(
+    rows = df.where(keep_where(*wanted)).select(
         time.alias("ts"), F.col(seq).cast("bigint").alias("seq"), *[_sortable(df, c) for c in kept],
         F.stack(F.lit(len(candidates)), *[part for c in candidates for part in c]).alias("_rule", "_key", "_mask", "_ends"))
     return rows.where("_mask != 0 or _ends").select(

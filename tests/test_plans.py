@@ -48,3 +48,11 @@ def test_asof_has_one_exchange_per_lookup(spark, stored):
     states = events.where("event_type = 'signup'").withColumn("sid", F.col("seq"))
     text = plan(asof_join(events, states, ["pid"], "ts", ["sid"], tie="sid"))
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_sequence_steps_reach_the_scan(spark, stored):
+    from huntline.operators.sequences import tag_rows
+    from huntline.plans.sequences import TWO
+    text = plan(tag_rows(spark.read.parquet(stored), [TWO], "ts", "seq", []))
+    pushed = text[text.index("PushedFilters"):]
+    assert "event_type" in pushed[:pushed.index("ReadSchema")]
