@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, simhash, sql
+from . import decontamination, mixing, quality_rules, sharding, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +55,9 @@ def op9(spark, folder):
 def op1(spark, folder):
     found = simhash.classes(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_benchmark_decontamination", sql.DECONTAMINATION)
+def op3(spark, folder):
+    told = decontamination.verdicts(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return told.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
