@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, simhash, sql
+from . import decontamination, mixing, quality_rules, sharding, simhash, sql, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,15 @@ def op1(spark, folder):
 def op3(spark, folder):
     told = decontamination.verdicts(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return told.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op8_token_files")
+def op8(spark, folder):
+    manifest = token_files.write(table(spark, folder, "documents"), tokenizer_path(), end_id=2)
+    return token_files.read(manifest).withColumnRenamed("key", "doc_id")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
