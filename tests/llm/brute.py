@@ -46,3 +46,23 @@ def near_components(rows, distance=4):
     for (key, _), t in zip(rows, tops, strict=True):
         least[t] = min(key, least.get(t, key))
     return {key: (fp, least[t]) for (key, _), fp, t in zip(rows, fps, tops, strict=True)}
+
+
+def without_repeats(rows, window):
+    """rows: (key, text) -> per row (n_words, kept words): words covered by a window that starts in a row with a smaller key go."""
+    first = {}
+    split = [words(t) for _, t in rows]
+    for (key, _), ws in zip(rows, split, strict=True):
+        if key is not None:
+            for i in range(len(ws) - window + 1):
+                g = tuple(ws[i : i + window])
+                first[g] = min(key, first.get(g, key))
+    out = []
+    for (key, _), ws in zip(rows, split, strict=True):
+        gone = set()
+        if key is not None:
+            for i in range(len(ws) - window + 1):
+                if first[tuple(ws[i : i + window])] < key:
+                    gone.update(range(i, i + window))
+        out.append((len(ws), " ".join(w for i, w in enumerate(ws) if i not in gone)))
+    return out
