@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .columns import n_words
+from .columns import n_words, saved
 
 CELLS = 64
+TURNS = 32
 MAX_COPIES = 3
 
 
@@ -35,13 +36,14 @@ def _code_points(source: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_COPIES) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), one row per source.
+    """sizes (source, source_size, one row per source) with ``target``.
 
     Weights repeat along the order of the sources. A target stops at cap times
     the source's size; what is above goes to the others by weight. The end of
     that process has a closed form: sources reach their stop in the order of
-    stop / weight, and the level at which the rest shares what is left is the
-    first one below the next source's ratio.
+    stop / weight. If the first k stop, the others share what is left at a level
+    (words per unit of weight) that is never above the true one and is the true
+    one for the right k: the largest level is the one sought.
     """
     line = W.orderBy(_code_points("source"))
     ranked = sizes.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(line) - 1) % len(weights) + 1).cast("int")))
@@ -52,39 +54,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = M
         ranked.withColumn("_ratio", stop / F.col("_w"))
         .withColumn("_level", (F.sum("source_size").over(everything) - F.coalesce(F.sum(stop).over(by_ratio), F.lit(0.0))) / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(by_ratio), F.lit(0))))
     )
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)
-    return levels.withColumn("target", F.coalesce(F.least(stop, F.col("_w") * level), stop)).select("source", "source_size", "target")
+    level = F.max("_level").over(everything)
+    return levels.withColumn("target", F.coalesce(F.least(stop, F.col("_w") * level), stop)).drop("_w", "_ratio", "_level")
 
 
-def plan(docs: DataFrame, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_COPIES, cells: int = CELLS) -> DataFrame:
+def _crossed(offset: Column) -> Column:
+    """Whole numbers that the running sum passes at a row."""
+    place = F.col("before") + F.col("at")
+    return F.floor(offset + place * F.col("rate")) - F.floor(offset + (place - 1) * F.col("rate"))
+
+
+def plan(docs: DataFrame, seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = MAX_COPIES, cells: int = CELLS, turns: int = TURNS) -> DataFrame:
     """docs with ``size``, ``source_size``, ``target`` and ``copies``.
 
     A rerun gives the same copies: places in the line depend on key, size and
-    seed alone, and rows equal in these are interchangeable.
+    seed alone, and rows equal in these are interchangeable. A source's random
+    offset is one of `turns` rotations of a seeded number, the one whose words
+    come closest to the target (for a small source with a few very long
+    documents rotations differ by a document's length).
     """
     new = ["size", "source_size", "target", "copies"]
     half = F.greatest(F.length(F.bin("size")) - 4, F.lit(0))  # sizes in a class differ by an eighth at most
     sized = (
         docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+        # Never null, so that windows and joins share one partitioning.
+        .withColumn("of", F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))))
         .withColumn("hash", F.xxhash64(F.lit(seed), "key", "size"))
         .withColumns({"class": (half * 16 + F.floor(F.col("size") / F.pow(F.lit(2.0), half))).cast("int"), "cell": F.pmod("hash", F.lit(cells)).cast("int")})
     )
-    counted = sized.groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    shares = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
-    before = W.partitionBy("source").orderBy("class", "cell").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), F.col("c.source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    starts = (
-        counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("c")
-        .join(shares.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
-        .select("c.source", "c.class", "c.cell", "before", "source_size", "target", offset.alias("offset"))
-    )
-    placed = sized.withColumn("at", F.row_number().over(W.partitionBy("source", "class", "cell").orderBy("size", "hash", "key")))
-    joined = placed.alias("p").join(starts.alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.class") == F.col("s.class")) & (F.col("p.cell") == F.col("s.cell")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    place = F.col("before") + F.col("at")
-    crossed = F.floor(F.col("offset") + place * rate) - F.floor(F.col("offset") + (place - 1) * rate)
+    counted = saved(sized.groupBy("of", "source", "class", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "cells")
+    shares = targets(counted.groupBy("of", "source").agg(F.sum("words").alias("source_size")), weights, cap)
+    shares = shares.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    before = W.partitionBy("of").orderBy("class", "cell").rowsBetween(W.unboundedPreceding, -1)
+    starts = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("of", "class", "cell", "before").join(shares.drop("source"), "of")
+    line = W.partitionBy("of", "class", "cell").orderBy("size", "hash", "key")
+    placed = sized.withColumn("at", F.row_number().over(line))
+
+    def rotated(turn: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.col("of")) + F.lit((turn << 30) // turns), F.lit(1 << 30))) / F.lit(float(1 << 30))
+
+    tried = placed.join(starts, ["of", "class", "cell"]).groupBy("of").agg(F.first("target").alias("goal"), *[F.sum(_crossed(rotated(t)) * F.col("size")).alias(f"t{t}") for t in range(turns)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{t}") - F.col("goal")).alias("off"), F.lit(t).alias("turn"), rotated(t).alias("offset")) for t in range(turns)]))
+    offsets = tried.select("of", best["offset"].alias("offset"))
+    joined = placed.join(starts.join(offsets, "of"), ["of", "class", "cell"])
     own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in new]
-    return joined.select(*own, "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return joined.select(*own, "size", "source_size", "target", _crossed(F.col("offset")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
