@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, simhash, sql, substring_dedup, token_files
+from . import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash, sql, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,11 @@ def op4(spark, folder):
     cut = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
     return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_quality_classifier")
+def op2(spark, folder):
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality_classifier.fit(docs, labels.filter(~held_out).select("doc_id", F.col("quality").alias("label")))
+    return quality_classifier.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
