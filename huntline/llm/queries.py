@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_classifier, quality_rules, sharding, simhash, sql, substring_dedup, token_files
+from . import decontamination, katz, mixing, quality_classifier, quality_rules, sharding, simhash, sql, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,10 @@ def op2(spark, folder):
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     model = quality_classifier.fit(docs, labels.filter(~held_out).select("doc_id", F.col("quality").alias("label")))
     return quality_classifier.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_katz_backoff")
+def op10(spark, folder):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    told = katz.scored(table(spark, folder, "documents"), ~held_out)
+    return told.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
