@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, katz, mixing, quality_classifier, quality_rules, sharding, simhash, sql, substring_dedup, token_files
+from . import decontamination, katz, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, sql, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,8 @@ def op10(spark, folder):
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     told = katz.scored(table(spark, folder, "documents"), ~held_out)
     return told.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op5_license_scans")
+def op5(spark, folder):
+    return license_scan.scan(table(spark, folder, "documents"))
