@@ -28,10 +28,12 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -50,7 +52,7 @@ MAGIC = b"HLTK"
 HEADER = struct.Struct("<4sHH")
 LENGTH, CRC, KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q")
 FILE_BYTES = 32 << 20
-CACHED_WORDS = 150_000
+CACHED_WORDS = 500_000
 MANIFEST = "part int, file string, index string, records long, ids long, width int"
 
 
@@ -63,61 +65,109 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-class WordEncoder:
-    """Encodes texts word by word, remembering the ids of recent words.
+class TextEncoder:
+    """Encodes whole texts to packed little-endian ids, with any tokenizer."""
 
-    For tokenizers that drop white space and never merge across it: the ids of
-    a text are then those of its words, one after the other. Two generations of
-    the memory bound it and keep frequent words.
-    """
-
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.new, self.old = Tokenizer.from_file(path), cached, {}, {}
-        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.dtype = np.dtype(f"<u{self.width}")
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        found, missing = {}, []
-        for w in words:
-            ids = self.new.get(w) or self.old.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
-                found[w] = ids
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            found[w] = tuple(e.ids)
-        self.new.update(found)
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        for ids in self.ids([t.decode() for t in texts]):
+            yield self.pack(ids)
+
+
+class WordEncoder(TextEncoder):
+    """Encodes texts word by word, remembering the packed ids of recent words.
+
+    For tokenizers that lower-case, drop white space, split letters from
+    punctuation and never merge across these: the ids of a text are then those
+    of its words, one after the other. Two generations of the memory bound it
+    and keep frequent words.
+
+    Words not in memory: plain lower-case letters with a tail of punctuation go
+    straight to the tokenizer's model, letters and tail each by itself; all
+    others go through the whole tokenizer, a few dozen in one text, kept apart
+    by a control character that is a token of its own.
+    """
+
+    PLAIN = re.compile(rb"([a-z]+)([.,;:!?|]*)")
+    APART = "\x01"
+    TOGETHER = 50
+
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
+        super().__init__(path)
+        self.cached, self.new, self.old = cached, {}, {}
+        (self.apart,) = self.ids([self.APART])[0]
+
+    def _plain(self, word: bytes) -> bytes:
+        ids = self.new.get(word)
+        if ids is None:
+            ids = self.new[word] = self.pack([t.id for t in self.tokenizer.model.tokenize(word.decode())])
+        return ids
+
+    def _tail(self, tail: bytes) -> bytes:
+        ids = self.new.get(tail)
+        if ids is None:
+            ids = self.new[tail] = self.pack(self.ids([tail.decode()])[0])
+        return ids
+
+    def _learn(self, words: set[bytes]) -> None:
         if len(self.new) > self.cached:
             self.old, self.new = self.new, {}
-        return found
-
-    def encode(self, texts: list[bytes]) -> Iterator[list[int]]:
+        others = []
+        for w in words - self.new.keys():
+            ids = self.old.get(w)
+            if ids is not None:
+                self.new[w] = ids
+            elif b"<|" not in w and (m := self.PLAIN.fullmatch(w.lower())):
+                self.new[w] = self._plain(m[1]) + self._tail(m[2]) if m[2] else self._plain(m[1])
+            else:
+                others.append(w)
+        # A special token or the control character inside a word: by itself.
+        alone = [w for w in others if b"<|" in w or b"\x01" in w]
+        for w, ids in zip(alone, self.ids([w.decode() for w in alone]), strict=True):
+            self.new[w] = self.pack(ids)
+        rest = [w for w in others if w not in self.new]
+        lots = [rest[i : i + self.TOGETHER] for i in range(0, len(rest), self.TOGETHER)]
+        for lot, ids in zip(lots, self.ids([f" {self.APART} ".join(w.decode() for w in lot) for lot in lots]), strict=True):
+            packed = np.array(ids, self.dtype)
+            for w, part in zip(lot, np.split(packed, np.flatnonzero(packed == self.apart)), strict=True):
+                self.new[w] = (part if w is lot[0] else part[1:]).tobytes()
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [t.split() for t in texts]
-        ids = self._learn(set(chain.from_iterable(split)))
+        self._learn(set(chain.from_iterable(split)))
+        known = self.new.__getitem__
         for ws in split:
-            yield list(chain.from_iterable(map(ids.__getitem__, ws)))
-
+            yield b"".join(map(known, ws))
 
-class TextEncoder(WordEncoder):
-    """Encodes whole texts, for any other tokenizer."""
 
-    def encode(self, texts: list[bytes]) -> Iterator[list[int]]:
-        for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
-            yield e.ids
+@lru_cache(maxsize=1)
+def encoder(path: str, word_level: bool) -> TextEncoder:
+    """One encoder per Python worker, so that tasks share its memory."""
+    return WordEncoder(path) if word_level else TextEncoder(path)
 
 
-def frame(key: int | None, ids: np.ndarray) -> bytes:
-    payload = KEY.pack(key is None, key or 0) + ids.tobytes()
+def frame(key: int | None, ids: bytes) -> bytes:
+    payload = KEY.pack(key is None, key or 0) + ids
     length = LENGTH.pack(len(payload))
     return b"".join((length, CRC.pack(masked_crc(length)), payload, CRC.pack(masked_crc(payload))))
 
 
 def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, word_level: bool) -> Iterator[pa.RecordBatch]:
-    encoder = (WordEncoder if word_level else TextEncoder)(tokenizer)
-    width = 2 if encoder.vocabulary <= 1 << 16 and end_id < 1 << 16 else 4
-    dtype, offsets, total, at = np.dtype(f"<u{width}"), [], 0, HEADER.size
+    tool = encoder(tokenizer, word_level)
+    width, end, offsets, total, at = tool.width, tool.pack([end_id]), [], 0, HEADER.size
     store, root = open_folder(folder)
     store.create_dir(root, recursive=True)
     name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
@@ -128,12 +178,11 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
             out.write(HEADER.pack(MAGIC, 1, width))
         raw = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
         frames = []
-        for k, ids in zip(batch.column("key").to_pylist(), encoder.encode(raw), strict=True):
-            ids.append(end_id)
-            frames.append(frame(k, np.array(ids, dtype)))
+        for k, ids in zip(batch.column("key").to_pylist(), tool.encode(raw), strict=True):
+            frames.append(frame(k, ids + end))
             offsets.append(at)
             at += len(frames[-1])
-            total += len(ids)
+            total += len(ids) // width + 1
         out.write(b"".join(frames))
     if out is None:
         return

@@ -25,14 +25,18 @@ def test_query_against_the_library(spark, small):
     assert got == list(expected([(r.doc_id, r.text) for r in rows]))
 
 
-ODD = ["It's we'll DON'T  a b c", "<|endoftext|>x <|startoftext|> y<|endoftext|>", "é ́x café\ńz", "a\x1cb\x1db\x85c d", "한국어 中文字 \U0001f600\U0001f468‍\U0001f469", "İΣ ΣΣ Éàß 12345 ٤٥", "x\x00y \x0b\x0c\r\n\t z", "﻿#!/usr ²½"]
+ODD = ["It's we'll DON'T  a b c", "<|endoftext|>x <|startoftext|> y<|endoftext|>", "é ́x café\ńz", "a\x1cb\x1db\x85c d", "한국어 中文字 \U0001f600\U0001f468‍\U0001f469", "İΣ ΣΣ Éàß 12345 ٤٥", "A,B c.d e?! f|g \x01 a\x01b \x01\x01", "<|ENDOFTEXT|>. THE, the; THE. don't's I'd! won'T", "x\x00y \x0b\x0c\r\n\t z", "﻿#!/usr ²½"]
 
 
-def test_words_encode_like_whole_texts():
+def test_words_encode_like_whole_texts(small):
+    import pyarrow.parquet as pq
+
     tok, enc = Tokenizer.from_file(tokenizer_path()), token_files.WordEncoder(tokenizer_path(), cached=3)
-    texts = ODD + [" ".join(ODD), "", " "]
+    texts = [*ODD, " ".join(ODD), "", " ", *pq.read_table(f"{small}/documents.parquet").column("text").to_pylist()[:60]]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
     for _ in range(2):
-        assert list(enc.encode([t.encode() for t in texts])) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert list(enc.encode([t.encode() for t in texts])) == want
+    assert list(token_files.TextEncoder(tokenizer_path()).encode([t.encode() for t in texts])) == want
 
 
 def test_odd_rows_and_single_records(spark):
