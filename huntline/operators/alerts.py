@@ -51,15 +51,20 @@ def build_alerts(matches: DataFrame, rules: list[Rule], value_of=None) -> DataFr
     """
     spark = matches.sparkSession
     from .rules import rules_frame
-    texts = F.lit("")
+    # One flat chain: its depth does not grow with the number of rules.
+    texts = F
     for rule in rules:
-        texts = F.when(F.col("rule_id") == rule.id, alert_text(rule.output, F.col("events"), value_of)).otherwise(texts)
+        texts = texts.when(F.col("rule_id") == rule.id, alert_text(rule.output, F.col("events"), value_of))
+    texts = F.lit("") if texts is F else texts.otherwise("")
     dim = rules_frame(spark, rules).select(F.col("id").alias("rule_id"), F.col("name").alias("title"), "severity", "tags",
                                            "labels", "description")
     first = F.get("events", F.lit(0))
-    host = first["host"] if "host" in matches.schema["events"].dataType.elementType.names else F.lit("")
+    has_host = "host" in matches.schema["events"].dataType.elementType.names
+    host = first["host"] if has_host else F.lit("")
+    # Hosts number their events themselves, so the host is part of the id.
+    parts = F.transform("events", lambda e: F.concat_ws(":", *([e["host"]] if has_host else []), e["seq"].cast("string")))
     return matches.join(dim, "rule_id").select(
-        F.xxhash64("rule_id", F.transform("events", lambda e: e["seq"])).alias("alert_id"), "rule_id", "title",
+        F.sha2(F.concat_ws("|", F.array("rule_id"), parts), 256).alias("alert_id"), "rule_id", "title",
         texts.alias("text"), severity_from_text(F.col("severity")).alias("severity"), "tags", "labels", "description",
         host.alias("host"), "events")
 

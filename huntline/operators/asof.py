@@ -36,7 +36,14 @@ def last_at_or_before(left: DataFrame, right: DataFrame, keys: list[str], left_a
 
     ``width`` is the slice length on the position axis; every width gives the
     same result. End rows take effect after left rows at their shown position.
+    Left rows without a key can meet nothing: they bypass the exchange.
     """
+    loose = left.where(~_present(keys))
+    found = _last_of_keyed(left.where(_present(keys)), right, keys, left_at, right_at, columns, width, tie, ends, ends_at, ends_shown_at, rows_per_slice)
+    return found.unionByName(loose, allowMissingColumns=True)
+
+
+def _last_of_keyed(left, right, keys, left_at, right_at, columns, width, tie, ends, ends_at, ends_shown_at, rows_per_slice) -> DataFrame:
     order_tie = F.col(tie) if tie else F.lit(0)
     state = F.struct(right_at.alias("_from"), *[F.col(c) for c in columns])
     parts = [
@@ -177,8 +184,9 @@ def pair_latest(left: DataFrame, right: DataFrame, keys: list[str], ts: str, wit
     if not one_to_one:
         return _spread(paired, left.columns, columns, F.col("_fits"))
     # The consumer of a right row is the first fitting left row; one row per right row, found by partial aggregation.
-    first = (paired.where("_fits").groupBy(F.col("_st._rid").alias("_used"))
+    # Ids are unique within a key only (hosts number their events themselves), so the key is part of both.
+    first = (paired.where("_fits").groupBy(*keys, F.col("_st._rid").alias("_used"))
              .agg(F.min(F.struct(F.col(ts).alias("t"), F.col(left_id).alias("i"))).alias("_first"))
-             .select(F.col("_first.i").alias(left_id), F.lit(True).alias("_mine")))
-    marked = paired.join(first, left_id, "left")
+             .select(*keys, F.col("_first.i").alias(left_id), F.lit(True).alias("_mine")))
+    marked = paired.join(first, [*keys, left_id], "left").select(*paired.columns, "_mine")
     return _spread(marked, left.columns, columns, F.coalesce("_mine", F.lit(False)))

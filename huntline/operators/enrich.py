@@ -7,7 +7,7 @@ is below the session threshold and splits skewed partitions otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durations import micros
@@ -91,31 +91,32 @@ def merge_process_state(a: DataFrame, b: DataFrame, keys: list[str] = ("host", "
     return merged.select(*keys, F.when(same, F.col("_longest")).otherwise(F.col("_first")).alias("exe"), *facts)
 
 
-def ancestors(edges: DataFrame, child: str = "uuid", parent: str = "parent_uuid", name: str = "name",
-              max_depth: int = 32) -> DataFrame:
-    """child and ``ancestors`` (names, nearest first).
+def ancestors(edges: DataFrame, child: str = "uuid", parent: str = "parent_uuid", name: str = "name") -> DataFrame:
+    """child and ``ancestors`` (names, nearest first, up to the root).
 
-    Pointer doubling: after k joins every row knows 2^k ancestors, so depth 32
-    takes at most five joins on the process table and no chain is walked row by
+    Pointer doubling: after k joins every row knows 2^k ancestors, so the rounds
+    grow with the logarithm of the deepest chain and no chain is walked row by
     row. Each round is checkpointed (the next one needs it on both sides) and
-    the rounds stop once all chains are complete. A cycle ends at ``max_depth``.
+    the rounds stop once all chains are complete. A chain that enters a cycle
+    ends before its first repetition.
     """
-    nobody = F.expr("cast(array() as array<string>)")
+    kind = edges.select(F.struct(F.col(child).alias("id"), F.col(name).alias("name")).alias("x")).schema["x"].dataType.simpleString()
+    nobody = F.array().cast(f"array<{kind}>")
     names = edges.select(F.col(child).alias("id"), F.col(parent).alias("up"), F.col(name).alias("name"))
-    known = names.select(F.col("id").alias("top"), F.lit(0).alias("salt"), F.col("name").alias("up_name"), F.lit(True).alias("found"))
+    known = names.select(F.col("id").alias("top"), F.lit(0).alias("salt"), F.struct("id", "name").alias("who"))
+    first = F.col("who").isNotNull() & (F.col("top") != F.col("id"))
     walk = names.withColumnRenamed("up", "top").withColumn("salt", _spread_nulls("top")).join(known, ["top", "salt"], "left").select(
-        "id", F.when(F.col("found"), F.col("top")).alias("top"),
-        F.when(F.col("found"), F.array("up_name")).otherwise(nobody).alias("chain"))
-    reach = 1
+        "id", F.when(first, F.col("top")).alias("top"), F.when(first, F.array("who")).otherwise(nobody).alias("chain"))
     while True:
         walk = durable(walk)
-        if reach >= max_depth or walk.where("top is not null").isEmpty():
+        if walk.where("top is not null").isEmpty():
             break
         further = walk.select(F.col("id").alias("top"), F.lit(0).alias("salt"), F.col("top").alias("top2"), F.col("chain").alias("chain2"))
-        walk = walk.withColumn("salt", _spread_nulls("top")).join(further, ["top", "salt"], "left").select(
-            "id", F.col("top2").alias("top"), F.concat("chain", F.coalesce("chain2", nobody)).alias("chain"))
-        reach *= 2
-    return walk.select(F.col("id").alias(child), F.slice("chain", 1, max_depth).alias("ancestors"))
+        longer = F.concat("chain", F.coalesce("chain2", nobody))
+        once = F.filter(F.array_distinct("longer"), lambda x: x["id"] != F.col("id"))
+        walk = walk.withColumn("salt", _spread_nulls("top")).join(further, ["top", "salt"], "left").select("id", "top2", longer.alias("longer")).select(
+            "id", F.when(F.size(once) == F.size("longer"), F.col("top2")).alias("top"), once.alias("chain"))
+    return walk.select(F.col("id").alias(child), F.transform("chain", lambda x: x["name"]).alias("ancestors"))
 
 
 def _spread_nulls(key: str) -> Column:
@@ -203,8 +204,8 @@ def enrich_registry_path(events: DataFrame, kcbs: DataFrame, freed: DataFrame, h
                                                                                   leaf.alias("_leaf"))
         best = (open_rows.join(names, ["host", "pid", "_leaf"])
                 .where(F.lower("handle_name").endswith(F.lower("_rel")))
-                .groupBy("seq").agg(F.min("handle_name").alias("_by_handle")))
-        out = out.join(best, "seq", "left").withColumn("key_path", F.coalesce("key_path", "_by_handle")).drop("_by_handle")
+                .groupBy("host", "seq").agg(F.min("handle_name").alias("_by_handle")))
+        out = out.join(best, ["host", "seq"], "left").withColumn("key_path", F.coalesce("key_path", "_by_handle")).drop("_by_handle")
     return out.withColumn("key_path", F.coalesce(registry_key(F.col("key_path"), sid), relative))
 
 
@@ -215,16 +216,22 @@ def pair_set_value(events: DataFrame, internal: DataFrame, slice_width: str | No
 
 
 def pair_callstack(events: DataFrame, walks: DataFrame, surrogates: bool = False, within: str = STACK_TTL) -> DataFrame:
-    """Stack of the walk with the same raw time mark and thread, if it arrives within the bound.
+    """Stack of the walk with the same host and raw time mark, if it arrives within the bound; one walk per event and one event per walk.
 
     With ``surrogates`` a process start that got no stack takes the one of the
     latest remote thread creation into its parent (``real_ppid``).
     """
     limit = micros(within)
-    w = walks.select(F.col("stack_id"), F.col("ts").alias("_wts"), "callstack")
-    near = (F.abs(F.unix_micros("ts") - F.unix_micros("_wts")) <= limit)
-    matched = events.join(w, (events["stack_id"] == w["stack_id"]) & near, "left").drop(w["stack_id"])
-    out = matched.drop("_wts")
+    # Per host and mark both sides are numbered by time; equal numbers pair, so a walk serves one event and an event takes one walk.
+    turn = lambda at, also: F.row_number().over(Window.partitionBy("host", "stack_id").orderBy(at, also))
+    marked = events.where("host is not null and stack_id is not null")
+    numbered = marked.withColumn("_turn", turn("ts", "seq"))
+    w = walks.where("host is not null and stack_id is not null").select("host", "stack_id", F.col("ts").alias("_wts"), "callstack")
+    w = w.withColumn("_turn", turn("_wts", "callstack"))
+    found = numbered.join(w, ["host", "stack_id", "_turn"], "left")
+    fits = F.abs(F.unix_micros("ts") - F.unix_micros("_wts")) <= limit
+    found = found.select(*events.columns, F.when(fits, F.col("callstack")).alias("callstack"))
+    out = found.unionByName(events.where("host is null or stack_id is null"), allowMissingColumns=True)
     if not surrogates:
         return out
     donors = out.where((F.col("name") == "CreateThread") & F.col("callstack").isNotNull()).select(

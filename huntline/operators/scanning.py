@@ -48,11 +48,11 @@ def scan_candidates(df: DataFrame, skip_processes: list[str] = (), skip_files: l
 
 
 def once_per_process(hits: DataFrame) -> DataFrame:
-    """Allocation and mapping hits count once per process and trigger; the others all count."""
+    """Allocation and mapping hits count once per host, process and trigger; the others all count."""
     limited = F.col("trigger").isin("alloc", "mmap")
-    first = (hits.where(limited).groupBy("pid", "trigger").agg(F.min("seq").alias("seq"))
+    first = (hits.where(limited).groupBy("host", "pid", "trigger").agg(F.min("seq").alias("seq"))
              .withColumn("_first", F.lit(True)))
-    return hits.join(first, ["pid", "trigger", "seq"], "left").where(~limited | F.col("_first")).drop("_first")
+    return hits.join(first, ["host", "pid", "trigger", "seq"], "left").where(~limited | F.col("_first")).drop("_first")
 
 
 def scan_content(files: DataFrame, signatures: list[dict], content: str = "content", keep: list[str] = ("path",)) -> DataFrame:

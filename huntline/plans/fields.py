@@ -89,7 +89,7 @@ def p4(spark, sf):
 @query("p5_ps_ancestor", """
 WITH RECURSIVE t AS (SELECT DISTINCT user_id AS id FROM events),
  c AS (SELECT id, id // 2 AS up, 1 AS d FROM t WHERE id // 2 IN (SELECT id FROM t) AND id <> 0
-  UNION ALL SELECT c.id, up // 2, d + 1 FROM c WHERE up <> 0 AND up // 2 IN (SELECT id FROM t) AND d < 32)
+  UNION ALL SELECT c.id, up // 2, d + 1 FROM c WHERE up <> 0 AND up // 2 IN (SELECT id FROM t))
 SELECT e.event_id AS seq, coalesce(max('u' || up) FILTER (d = 1), '') AS ps_ancestor_0, coalesce(max('u' || up) FILTER (d = 3), '') AS ps_ancestor_2
 FROM events e LEFT JOIN c ON e.user_id = c.id GROUP BY e.event_id""")
 def p5(spark, sf):

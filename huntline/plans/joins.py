@@ -64,7 +64,7 @@ def j3(spark, sf):
 @query("j4_ancestry", """
 WITH RECURSIVE t AS (SELECT DISTINCT user_id AS id FROM events),
  c AS (SELECT id, id // 2 AS up, 1 AS d FROM t WHERE id <> 0 AND id // 2 IN (SELECT id FROM t)
-  UNION ALL SELECT id, up // 2, d + 1 FROM c WHERE up <> 0 AND up // 2 IN (SELECT id FROM t) AND d < 32)
+  UNION ALL SELECT id, up // 2, d + 1 FROM c WHERE up <> 0 AND up // 2 IN (SELECT id FROM t))
 SELECT t.id AS pid, coalesce(string_agg('u' || up, '<' ORDER BY d), '') AS chain FROM t LEFT JOIN c ON t.id = c.id GROUP BY t.id""")
 def j4(spark, sf):
     tree = telemetry(spark, sf).select("pid").distinct().select(
@@ -127,8 +127,8 @@ SELECT e.seq, CASE WHEN e.seq % 5 < 3 THEN 'stack' || e.seq END AS stack FROM ev
 def j8(spark, sf):
     df = telemetry(spark, sf)
     late = F.expr("make_dt_interval(0, 0, 0, CAST(seq % 5 AS DECIMAL(18,6)) * 0.2)")
-    walks = df.select(F.col("seq").alias("stack_id"), (F.col("ts") + late).alias("ts"), F.concat(F.lit("stack"), F.col("seq").cast("string")).alias("callstack"))
-    events = df.select("seq", "ts", "name", F.col("seq").alias("stack_id"))
+    walks = df.select("host", F.col("seq").alias("stack_id"), (F.col("ts") + late).alias("ts"), F.concat(F.lit("stack"), F.col("seq").cast("string")).alias("callstack"))
+    events = df.select("host", "seq", "ts", "name", F.col("seq").alias("stack_id"))
     return enrich.pair_callstack(events, walks).select("seq", F.col("callstack").alias("stack"))
 
 

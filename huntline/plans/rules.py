@@ -169,7 +169,7 @@ def k5b(spark, sf):
 
 
 @query("k5_once_per_process", ev_sql(f"""
-SELECT min(seq) AS seq, trigger FROM (SELECT *, {_CAND} AS trigger FROM ev) WHERE trigger = 'alloc' GROUP BY pid, trigger
+SELECT min(seq) AS seq, trigger FROM (SELECT *, {_CAND} AS trigger FROM ev) WHERE trigger = 'alloc' GROUP BY host, pid, trigger
 UNION ALL SELECT seq, {_CAND} FROM ev WHERE {_CAND} = 'module'"""))
 def k5c(spark, sf):
     found = scanning.scan_candidates(wide_telemetry(spark, sf), skip_files=["*\\M7.dll", "*\\m7.SYS"])

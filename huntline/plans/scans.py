@@ -68,11 +68,11 @@ _JSON = r"""'{"seq":' || seq || ',"pid":' || pid || ',"tid":' || tid || ',"cpu":
 
 
 @query("s5_capture_write", ev_sql(f"""
-SELECT category, count(*) AS n, CAST(sum(length({_JSON})) AS BIGINT) AS bytes FROM ev WHERE length({_JSON}) <= 250 GROUP BY category"""))
+SELECT category, count(*) AS n, CAST(sum(length({_JSON})) AS BIGINT) AS bytes FROM ev GROUP BY category"""))
 def s5(spark, sf):
     path = scratch(spark, "capture")
     df = _plain(spark, sf)
-    capture.write_capture(df, None, path, max_bytes=250)
+    capture.write_capture(df, None, path)
     back = spark.read.parquet(f"{path}/events")
     return back.groupBy("category").agg(F.count("*").alias("n"), F.sum(capture.event_size(back)).alias("bytes"))
 

@@ -9,36 +9,28 @@ from pyspark.sql import functions as F
 
 from .events import drop_state_events, event_struct
 
-MAX_EVENT_BYTES = 1 << 20
-
-
 def event_size(df: DataFrame) -> Column:
     return F.octet_length(F.to_json(event_struct(df)))
 
 
-def write_capture(df: DataFrame, snapshot: DataFrame | None, path: str, max_bytes: int = MAX_EVENT_BYTES,
-                  checkpoint: str | None = None):
-    """Write events by date and category, plus the initial handle snapshot.
+def write_capture(df: DataFrame, snapshot: DataFrame | None, path: str, checkpoint: str | None = None):
+    """Write every event by date and category, plus the initial handle snapshot.
 
-    Oversized events are left out and counted. Returns the statistics of the
-    written events (batch) or the running query (stream).
+    Returns the statistics of the written events (batch) or the running query
+    (stream). Sizes are those of the events' JSON.
     """
-    sized = df.withColumn("_bytes", event_size(df)).withColumn("date", F.to_date("ts"))
+    dated = df.withColumn("date", F.to_date("ts"))
     if snapshot is not None:
         snapshot.write.mode("overwrite").parquet(f"{path}/handles")
     if df.isStreaming:
-        return (sized.where(F.col("_bytes") <= max_bytes).drop("_bytes").writeStream.format("parquet")
-                .partitionBy("date", "category").option("path", f"{path}/events")
+        return (dated.writeStream.format("parquet").partitionBy("date", "category").option("path", f"{path}/events")
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     seen = Observation("capture")
-    fits = F.col("_bytes") <= max_bytes
-    observed = sized.observe(
-        seen, F.count_if(fits).alias("events"), F.count_if(~fits).alias("rejected"),
-        F.sum(F.when(fits, F.col("_bytes"))).alias("bytes"),
-        F.count_if(fits & (F.col("name") == "CreateProcess")).alias("processes"),
-        F.count_if(fits & (F.col("name") == "CreateHandle")).alias("handles"))
+    observed = dated.observe(
+        seen, F.count(F.lit(1)).alias("events"), F.sum(event_size(df)).alias("bytes"),
+        F.count_if(F.col("name") == "CreateProcess").alias("processes"), F.count_if(F.col("name") == "CreateHandle").alias("handles"))
     # Rebalancing merges small and splits large (date, category) groups before the write.
-    observed.where(fits).drop("_bytes").hint("rebalance", "date", "category").write.mode("overwrite").partitionBy("date", "category").parquet(f"{path}/events")
+    observed.hint("rebalance", "date", "category").write.mode("overwrite").partitionBy("date", "category").parquet(f"{path}/events")
     return seen.get
 
 
