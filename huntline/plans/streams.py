@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.transforms import transform_events
 from ..sources.sinks import file_writer, sink, transforming
-from ..sources.tables import telemetry
 from ..streaming.joins import pair_callstack_stream, windowed_counts
-from ..streaming.run import drain, event_stream
+from ..streaming.run import END_SEQ, WHOLE_TABLE, drain, event_stream
 from ..streaming.sequence import sequence_stream
 from .registry import ev_sql, query, scratch
 from .sequences import HOUR, TWO, sequence_sql, seqs, source, typed
@@ -16,17 +15,18 @@ from .sequences import HOUR, TWO, sequence_sql, seqs, source, typed
 
 @query("q1_stream_sequence", sequence_sql(source("CAST(pid AS VARCHAR)", typed("error", "purchase")), 2, 12 * HOUR))
 def q1_stream(spark, sf):
-    found = sequence_stream(event_stream(spark, sf), TWO, watermark="0 seconds")
-    return seqs(drain(found, scratch(spark, "sequence")))
+    end = scratch(spark, "end")
+    found = sequence_stream(event_stream(spark, sf, end=end), TWO, watermark=WHOLE_TABLE)
+    return seqs(drain(found, scratch(spark, "sequence"), source=sf, end=end))
 
 
 @query("q12_tumbling_window", ev_sql("""
-SELECT date_trunc('hour', ts) AS interval_start, host AS key, count(*) AS n FROM ev
- WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) GROUP BY ALL"""))
+SELECT date_trunc('hour', ts) AS interval_start, host AS key, count(*) AS n FROM ev GROUP BY ALL"""))
 def q12(spark, sf):
-    # A window is reported once the watermark has passed its end; the last, still open one is not.
-    counts = windowed_counts(event_stream(spark, sf), "host", "1 hour", delay="0 seconds")
-    out = drain(counts, scratch(spark, "windows"))
+    # A window is reported once the watermark has passed its end; the marker closes all but its own.
+    end = scratch(spark, "end")
+    counts = windowed_counts(event_stream(spark, sf, end=end), "host", "1 hour", delay=WHOLE_TABLE)
+    out = drain(counts, scratch(spark, "windows"), source=sf, end=end)
     return out.select(F.col("interval_start").cast("timestamp_ntz").alias("interval_start"), "key", "n")
 
 
@@ -50,21 +50,15 @@ def q13(spark, sf):
     return spark.read.parquet(f"{path}/out").groupBy("category").agg(F.count("*").alias("n"))
 
 
-def event_table_end(spark, sf):
-    """Time up to which no event can still be waiting."""
-    return telemetry(spark, sf).agg(F.max("ts") - F.expr("INTERVAL 1 HOUR")).scalar()
-
-
-@query("q14_unpaired_release", ev_sql("SELECT seq, CASE WHEN seq % 5 < 3 THEN 'stack' || seq END AS stack FROM ev WHERE ts < (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR"))
+@query("q14_unpaired_release", ev_sql("SELECT seq, CASE WHEN seq % 5 < 3 THEN 'stack' || seq END AS stack FROM ev"))
 def q14(spark, sf):
-    late = F.expr("make_dt_interval(0, 0, 0, CAST(seq % 5 AS DECIMAL(18,6)) * 0.2)")
-    events = event_stream(spark, sf).select("seq", "ts", F.col("seq").alias("stack_id"))
-    walks = event_stream(spark, sf).select(F.col("seq").alias("stack_id"), (F.col("ts") + late).alias("ts"),
-                                           F.concat(F.lit("stack"), F.col("seq").cast("string")).alias("callstack"))
-    out = drain(pair_callstack_stream(events, walks, delay="0 seconds"), scratch(spark, "stacks"))
-    # Only the newest events may still wait for their stack; they are left out on both sides.
-    newest = event_table_end(spark, sf)
-    return out.where(F.col("ts") < newest).select("seq", F.col("callstack").alias("stack"))
+    late = F.expr("make_dt_interval(0, 0, 0, CAST(pmod(seq, 5) AS DECIMAL(18,6)) * 0.2)")
+    end = scratch(spark, "end")
+    events = event_stream(spark, sf, end=end).select("seq", "ts", F.col("seq").alias("stack_id"))
+    walks = event_stream(spark, sf, end=end).select(F.col("seq").alias("stack_id"), (F.col("ts") + late).alias("ts"),
+                                                    F.concat(F.lit("stack"), F.col("seq").cast("string")).alias("callstack"))
+    out = drain(pair_callstack_stream(events, walks, delay=WHOLE_TABLE), scratch(spark, "stacks"), source=sf, end=end)
+    return out.where(F.col("seq") != END_SEQ).select("seq", F.col("callstack").alias("stack"))
 
 
 @query("q15_state_ttl", ev_sql("""
