@@ -110,16 +110,9 @@ def dedup_partials(df: DataFrame, key: list[str], slot: str = "slot", ts: str =
     return keyed.where("_pk is null").drop("_pk").unionByName(first)
 
 
-def cap_partials(df: DataFrame, keys: list[str], n: int, ts: str = "ts", seq: str = "seq") -> DataFrame:
-    """At most ``n`` oldest pending events per key and slot.
-
-    Each task keeps its own n oldest first (pre-aggregated on a hash salt), then
-    the survivors of a key meet: at most salt * n rows.
-    """
-    salt = Window.partitionBy(*keys, "_salt").orderBy(ts, seq)
-    rank = Window.partitionBy(*keys).orderBy(ts, seq)
-    some = df.withColumn("_salt", F.pmod(F.xxhash64(seq), F.lit(64))).withColumn("_r", F.row_number().over(salt)).where(F.col("_r") <= n)
-    return some.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= n).drop("_salt", "_r")
+def partial_breaches(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Keys and slots with more than ``n`` pending events: how many there are, and how many above the bound. Nothing is dropped."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("pending")).where(F.col("pending") > n).withColumn("above", F.col("pending") - n)
 
 
 def merge_sources(*frames: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def durable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not sc.master.startswith("local"):
+            if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             configured = tempfile.mkdtemp(prefix="huntline-ckpt-")
         sc.setCheckpointDir(configured)
