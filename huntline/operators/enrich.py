@@ -209,6 +209,12 @@ def enrich_registry_path(events: DataFrame, kcbs: DataFrame, freed: DataFrame, h
     return out.withColumn("key_path", F.coalesce(registry_key(F.col("key_path"), sid), relative))
 
 
+def registry_value(asked: DataFrame, written: DataFrame) -> DataFrame:
+    """``data`` that the host's key_path held at event time, "" if none was written; ``written``: host, key_path, ts, seq, data."""
+    found = asof_join(asked, written, ["host", "key_path"], "ts", ["data"], tie="seq")
+    return found.withColumn("data", F.coalesce("data", F.lit("")))
+
+
 def pair_set_value(events: DataFrame, internal: DataFrame, slice_width: str | None = None) -> DataFrame:
     """value_type and data of the newest pending internal write of the process, if it is the same value and fresh."""
     return pair_latest(events, internal, ["host", "pid"], "ts", SET_VALUE_TTL, ["value_type", "data"], same=["value_name"],

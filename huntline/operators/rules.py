@@ -209,3 +209,22 @@ def rules_by_tactic(rules: DataFrame) -> DataFrame:
 
 def rule_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+def candidate_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``candidates``: ids of the enabled rules whose scope holds the event's name or its category, each once, sorted.
+
+    The scopes are two maps of the plan, built once from the catalogue.
+    """
+    def scoped(part: Callable[[Rule], tuple[str, ...]]) -> Column:
+        ids: dict[str, list[str]] = {}
+        for rule in rules:
+            for value in part(rule) if rule.enabled else ():
+                ids.setdefault(value, []).append(rule.id)
+        pairs = [x for value, own in ids.items() for x in (F.lit(value), F.array(*map(F.lit, own)))]
+        return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
+
+    none = F.array().cast("array<string>")
+    by_name = F.coalesce(F.try_element_at(scoped(lambda r: r.names), F.col("name")), none)
+    by_category = F.coalesce(F.try_element_at(scoped(lambda r: r.categories), F.col("category")), none)
+    return df.withColumn("candidates", F.sort_array(F.array_union(by_name, by_category)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
-from ..operators.rules import rule_counts
 from ..schema import EVENT_NAMES
 from ..sources.tables import table, telemetry, wide_telemetry
 from .registry import ev_sql, query
@@ -51,11 +50,6 @@ def a7(spark, sf):
     return R.distinct_modules(mods)
 
 
-@query("a2_rule_match_counts", ev_sql("SELECT name AS rule_id, count(*) AS n FROM ev GROUP BY name"))
-def a2(spark, sf):
-    return rule_counts(telemetry(spark, sf).select(F.col("name").alias("rule_id")))
-
-
 @query("w1_delta", ev_sql("SELECT seq, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY host ORDER BY ts, seq)) AS delta_us FROM ev"))
 def w1(spark, sf):
     return R.with_delta(telemetry(spark, sf).select("seq", "ts", "host")).select("seq", "delta_us")

@@ -53,14 +53,24 @@ def k1b(spark, sf):
     return K.match_rules(telemetry(spark, sf), RULES, match_all=False).select("seq", "rule_id")
 
 
-@query("u2_union_of_rule_candidates", ev_sql("SELECT name, category, CASE WHEN category = 'file' THEN 'cat,' || name ELSE name END AS candidates, count(*) AS n FROM ev GROUP BY ALL"))
+_SCOPES = "scopes AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{r.id}', '{what}', '{value}')" for r in RULES if r.enabled for what, values in (("name", r.names), ("category", r.categories)) for value in values) + ") AS v(id, what, value))"
+
+
+@query("u2_union_of_rule_candidates", ev_sql("""
+SELECT name, category, coalesce(c.ids, '') AS candidates, count(*) AS n FROM ev LEFT JOIN (
+  SELECT n.name, n.category, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT name, category FROM ev) n
+  JOIN scopes s ON (what = 'name' AND value = n.name) OR (what = 'category' AND value = n.category) GROUP BY ALL) c USING (name, category) GROUP BY ALL""", _SCOPES))
 def u2(spark, sf):
-    by_name = F.array(F.col("name"))
-    by_category = F.when(F.col("category") == "file", F.array(F.lit("cat"))).otherwise(F.expr("cast(array() as array<string>)"))
-    df = telemetry(spark, sf).withColumn("candidates", F.array_join(F.array_union(by_category, by_name), ","))
+    df = K.candidate_rules(telemetry(spark, sf), RULES).withColumn("candidates", F.array_join("candidates", ","))
     return df.groupBy("name", "category", "candidates").agg(F.count("*").alias("n"))
 
 
+@query("a2_rule_match_counts", ev_sql("SELECT rule_id, count(*) AS n FROM hits GROUP BY rule_id", _HITS))
+def a2(spark, sf):
+    return K.rule_counts(K.match_rules(telemetry(spark, sf), RULES))
+
+
 SEQ_RULES = [
     Rule("s1", "error then purchase", lambda d: F.lit(True), sequence=TWO, severity="high", tags=("chain",),
          labels={"tactic.name": "Impact"}, output="%1.evt.event_type of %1.evt.pid then %2.evt.event_type worth %2.evt.arg[k], see %3.evt.pid", actions=("kill", "isolate")),

@@ -263,13 +263,12 @@ def x24(spark, sf):
 
 
 @query("x22_get_reg_value", ev_sql("""
-SELECT e.seq, coalesce(r.data, '') AS data FROM ev e ASOF LEFT JOIN (SELECT key_path, ts, 'd' || k AS data FROM ev WHERE category = 'registry') r
- ON e.key_path = r.key_path AND e.ts >= r.ts"""))
+SELECT e.seq, coalesce(r.data, '') AS data FROM ev e ASOF LEFT JOIN (SELECT host, key_path, ts, 'd' || k AS data FROM ev WHERE category = 'registry') r
+ ON e.host = r.host AND e.key_path = r.key_path AND e.ts >= r.ts"""))
 def x22(spark, sf):
-    from ..operators.asof import asof_join
+    from ..operators.enrich import registry_value
     df = telemetry(spark, sf)
-    asked = df.select("seq", "ts", F.concat(F.lit("\\REGISTRY\\MACHINE\\Software\\App"), (F.col("seq") % 6).cast("string"), F.lit("\\Run\\v"),
-                                            (F.col("pid") % 4).cast("string")).alias("key_path"))
-    written = df.where("name = 'RegSetValue'").select("ts", "seq", F.col("params")["key_path"].alias("key_path"), F.col("params")["data"].alias("data"))
-    found = asof_join(asked, written, ["key_path"], "ts", ["data"], tie="seq")
-    return found.select("seq", F.coalesce("data", F.lit("")).alias("data"))
+    asked = df.select("host", "seq", "ts", F.concat(F.lit("\\REGISTRY\\MACHINE\\Software\\App"), (F.col("seq") % 6).cast("string"), F.lit("\\Run\\v"),
+                                                    (F.col("pid") % 4).cast("string")).alias("key_path"))
+    written = df.where("name = 'RegSetValue'").select("host", "ts", "seq", F.col("params")["key_path"].alias("key_path"), F.col("params")["data"].alias("data"))
+    return registry_value(asked, written).select("seq", "data")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -43,3 +44,10 @@ def sink(df: DataFrame, writer: Writer | str, trigger: str | None = "250 millise
         out = out.option("checkpointLocation", checkpoint)
     out = out.trigger(availableNow=True) if available_now else out.trigger(processingTime=trigger)
     return out.start()
+
+
+def sink_counted(df: DataFrame, writer: Writer | str) -> int:
+    """Publish a batch and return how many rows the sink itself was given."""
+    seen = Observation("sink")
+    sink(df.observe(seen, F.count(F.lit(1)).alias("n")), writer)
+    return seen.get["n"]
