@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.transforms import transform_events
 from ..sources.sinks import file_writer, sink, transforming
+from ..streaming.asof import asof_stream
 from ..streaming.joins import pair_callstack_stream, windowed_counts
 from ..streaming.run import END_SEQ, WHOLE_TABLE, drain, event_stream
 from ..streaming.sequence import sequence_stream
@@ -70,3 +71,16 @@ def q15(spark, sf):
     df = event_stream(spark, sf).withColumn("name", name).withWatermark("ts", "40 days")
     out = dedup_rundown(df.select("seq", "ts", "host", "name", "k"), key=F.col("k").cast("string"))
     return drain(out, scratch(spark, "rundown")).select("seq", "name")
+
+
+@query("j1_process_stream", ev_sql("""
+SELECT e.seq, CASE WHEN epoch_us(e.ts) - epoch_us(p.ts) <= 21600000000 THEN p.k END AS started_k FROM ev e
+ ASOF LEFT JOIN (SELECT pid, host, max(ts) AS ts, arg_max(k, seq) AS k FROM ev WHERE name = 'CreateProcess' GROUP BY pid, host, epoch_us(ts)) p
+ ON e.host = p.host AND e.pid = p.pid AND e.ts >= p.ts"""))
+def j1_stream(spark, sf):
+    """Process state on a stream, six hours to live."""
+    end = scratch(spark, "end")
+    events = event_stream(spark, sf, end=end).select("host", "pid", "seq", "ts")
+    starts = event_stream(spark, sf, end=end).where("name = 'CreateProcess'").select("host", "pid", "seq", "ts", F.col("k").alias("started_k"))
+    out = drain(asof_stream(events, starts, ["host", "pid"], ["started_k"], "6h", watermark=WHOLE_TABLE), scratch(spark, "process"), source=sf, end=end)
+    return out.where(F.col("seq") != END_SEQ).select("seq", "started_k")
