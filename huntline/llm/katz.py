@@ -33,7 +33,7 @@ an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -80,18 +80,27 @@ def unpack(block: bytes) -> np.ndarray:
     return np.cumsum(unplanes(block, np.uint64), dtype=np.uint64)
 
 
+def short(x: np.ndarray) -> bytes:
+    """Numbers to nine digits: the five upper bytes."""
+    return planes(x)[3 * len(x) :]
+
+
+def unshort(block: bytes) -> np.ndarray:
+    return unplanes(bytes(3 * (len(block) // 5)) + block, np.float64)
+
+
 # Cells
 
 
 def make_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     zip_, number = zstandard.ZstdCompressor(), TaskContext.get().partitionId() << 32
     for batch in pieces(batches, "text", size):
-        ws = split(batch.column("text"), lower=True)
-        n = ws.counts()
-        hashes = np.empty(len(ws) + 2 * len(n), np.uint64)
-        begins = ws.first[:-1] + 2 * np.arange(len(n))
+        parts = [(ws.counts(), ws.hashes()) for ws in (split(b.column("text"), lower=True) for b in pieces(iter([batch]), "text"))]
+        n, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        hashes = np.empty(len(own) + 2 * len(n), np.uint64)
+        begins = np.cumsum(n + 2) - n - 2
         hashes[begins], hashes[begins + n + 1] = BEGIN, END
-        hashes[np.arange(len(ws)) + 2 * ws.doc() + 1] = ws.hashes()
+        hashes[np.arange(len(own)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = own
         words, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         order = np.lexsort((words, -counts))  # frequent words get small numbers
         rank = np.empty(len(order), np.uint32)
@@ -114,6 +123,10 @@ class Gram:
     owner: np.ndarray | None = None
     weight: np.ndarray | None = None  # backoff weight as a history; negative if its total counts one more
 
+    def asked(self, least: int) -> np.ndarray:
+        """Those that can have a weight other than one: a rarer history has no n-gram that counts."""
+        return np.flatnonzero(self.count >= least)
+
 
 @dataclass
 class Cell:
@@ -146,19 +159,19 @@ class Cell:
     def in_training(self) -> np.ndarray:
         return np.repeat(self.train, self.sizes + 2)
 
-    def learn(self, answers: pa.Table, bits: int) -> None:
+    def learn(self, answers: pa.Table, bits: int, least: int) -> None:
         """Fills in counts, owners and weights from the answers of the buckets (kind k: counts; -k: weights of histories)."""
         for k, g in self.grams.items():
             g.count, g.owner, g.weight = np.zeros(len(g.hashes)), np.zeros(len(g.hashes), bool), np.ones(len(g.hashes))
-        cuts = {k: bucket_cuts(g.hashes, bits) for k, g in self.grams.items()}
-        for row in answers.to_pylist():
-            g, cut = self.grams[abs(row["kind"])], cuts[abs(row["kind"])]
-            a, b = cut[row["bucket"]], cut[row["bucket"] + 1]
-            if row["kind"] > 0:
+            cut = bucket_cuts(g.hashes, bits)
+            for row in answers.filter(pc.equal(answers.column("kind"), k)).to_pylist():
+                a, b = cut[row["bucket"]], cut[row["bucket"] + 1]
                 g.count[a:b] = unplanes(row["numbers"], np.uint64)
                 g.owner[a:b] = np.unpackbits(np.frombuffer(row["owner"], np.uint8), count=b - a)
-            else:
-                g.weight[a:b] = unplanes(row["numbers"], np.float64)
+            asked = g.asked(least)
+            cut = bucket_cuts(g.hashes[asked], bits)
+            for row in answers.filter(pc.equal(answers.column("kind"), -k)).to_pylist():
+                g.weight[asked[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = unshort(row["numbers"])
 
     def probabilities(self, model: Model, upto: int) -> np.ndarray:
         """Of each n-gram of length `upto`, P(last word | the words before), by recursion over the lengths."""
@@ -221,7 +234,7 @@ def bucket_cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(hashes, tops), [len(hashes)]])
 
 
-def _blocks(kind: int, cell: int, hashes: np.ndarray, numbers: list[np.ndarray], bits: int) -> pa.Table:
+def _blocks(kind: int, cell: int, hashes: np.ndarray, numbers: Callable[[int, int], bytes], bits: int) -> pa.Table:
     cut = bucket_cuts(hashes, bits)
     some = np.flatnonzero(np.diff(cut))
     spans = [(cut[b], cut[b + 1]) for b in some]
@@ -229,7 +242,7 @@ def _blocks(kind: int, cell: int, hashes: np.ndarray, numbers: list[np.ndarray],
     return pa.table({
         "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array(some, pa.int32()), "cell": pa.array([cell] * n, pa.int64()),
         "hashes": pa.array([pack(hashes[a:b]) for a, b in spans], pa.binary()),
-        "numbers": pa.array([b"".join(planes(x[a:b]) for x in numbers) for a, b in spans], pa.binary()),
+        "numbers": pa.array([numbers(a, b) for a, b in spans], pa.binary()),
     })
 
 
@@ -241,7 +254,7 @@ def send_counts(batches: Iterator[pa.RecordBatch], order: int, bits: int) -> Ite
             for k, g in cell.grams.items():
                 use = train & (g.entry >= 0)
                 count = np.bincount(g.entry[use], minlength=len(g.hashes)).astype(np.uint64)
-                yield from _blocks(k, row["cell"], g.hashes, [count], bits).to_batches()
+                yield from _blocks(k, row["cell"], g.hashes, lambda a, b, c=count: planes(c[a:b]), bits).to_batches()
 
 
 def _grouped(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -253,18 +266,23 @@ def _grouped(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndar
     return table, np.array([len(x) for x in hashes]), order, np.cumsum(np.concatenate([[False], h[1:] != h[:-1]])), h
 
 
-def add_counts(table: pa.Table, cut: int) -> pa.Table:
-    """Total counts for each block of a bucket, owners, and one row of counts of counts (cell -1)."""
+def add_counts(table: pa.Table, cut: int, least: int) -> pa.Table:
+    """Total counts for each block of a bucket, owners, and one row of counts of counts (cell -1).
+
+    n-grams of two words or more with fewer than `least` occurrences are answered with 0: nothing is done with them.
+    """
     table, sizes, order, group, h = _grouped(table)
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
     count = np.concatenate([unplanes(b, np.uint64) for b in table.column("numbers").to_pylist()]).astype(np.int64)[order]
     total = np.zeros(group[-1] + 1, np.int64)
     np.add.at(total, group, count)
     answer, owner = np.empty(len(order), np.uint64), np.zeros(len(order), bool)
-    answer[order] = total[group]
-    owner[order] = np.concatenate([[True], group[1:] != group[:-1]])
+    told = np.where(total >= (least if kind > 1 else 0), total, 0)
+    head = np.concatenate([[True], group[1:] != group[:-1]])
+    answer[order] = told[group]
+    owner[order] = head & (told[group] > 0)
     ends = np.cumsum(sizes)
-    counted = total[h[np.concatenate([[True], group[1:] != group[:-1]])] != BEGIN]
+    counted = total[h[head] != BEGIN]
     stats = [*np.bincount(np.minimum(counted, cut + 2), minlength=cut + 2)[1 : cut + 2].tolist(), int(counted.sum()), int((counted > 0).sum())]
     n = len(sizes)
     return pa.table({
@@ -279,9 +297,9 @@ def add_counts(table: pa.Table, cut: int) -> pa.Table:
 def send_shares(row: pa.Table, answers: pa.Table, k: int, model: Model, order: int, bits: int) -> pa.Table:
     """What the n-grams of length k that this cell owns take from each history: discounted counts, and probabilities after the shorter history."""
     if not row.num_rows:
-        return _blocks(-1, 0, np.zeros(0, np.uint64), [], 0)
+        return _blocks(-1, 0, np.zeros(0, np.uint64), lambda a, b: b"", 0)
     cell = Cell.read(row.to_pylist()[0], order)
-    cell.learn(answers, bits)
+    cell.learn(answers, bits, model.least)
     g, histories = cell.grams[k], cell.grams[k - 1]
     mine = np.flatnonzero(g.owner & (g.count >= model.least))
     at = g.first[mine]
@@ -289,19 +307,30 @@ def send_shares(row: pa.Table, answers: pa.Table, k: int, model: Model, order: i
     taken, lower = np.zeros(len(histories.hashes)), np.zeros(len(histories.hashes))
     np.add.at(taken, h, model.discounted(k, g.count[mine]))
     np.add.at(lower, h, cell.probabilities(model, k - 1)[shorter])
-    return _blocks(-(k - 1), row.column("cell")[0].as_py(), histories.hashes, [taken, lower, histories.count], bits)
+    asked = histories.asked(model.least)
+    sums = np.stack([taken, lower, histories.count])[:, asked]
+
+    def some(a: int, b: int) -> bytes:
+        """Which of the histories get something from here, and for these the three numbers."""
+        at = np.flatnonzero(sums[0, a:b])
+        return b"".join([np.packbits(sums[0, a:b] != 0).tobytes(), *[planes(x[a:b][at]) for x in sums]])
+
+    return _blocks(-(k - 1), row.column("cell")[0].as_py(), histories.hashes[asked], some, bits)
 
 
 def add_shares(table: pa.Table) -> pa.Table:
     """Backoff weights of the histories of a bucket, for each block."""
     table, sizes, order, group, _ = _grouped(table)
-    thirds = [[b[i * len(b) // 3 : (i + 1) * len(b) // 3] for i in range(3)] for b in table.column("numbers").to_pylist()]
-    taken, lower, count = (np.concatenate([unplanes(t[i], np.float64) for t in thirds])[order] for i in range(3))
-    sums = np.zeros((2, group[-1] + 1))
-    np.add.at(sums[0], group, taken)
-    np.add.at(sums[1], group, lower)
-    total = np.zeros(group[-1] + 1)
-    total[group] = count
+    place = np.empty(len(order), np.int64)
+    place[order] = group
+    sums, total, at = np.zeros((2, group[-1] + 1)), np.zeros(group[-1] + 1), 0
+    for block, n in zip(table.column("numbers").to_pylist(), sizes.tolist(), strict=True):
+        mask = np.unpackbits(np.frombuffer(block, np.uint8, -(-n // 8)), count=n).astype(bool)
+        rest, size, to = block[-(-n // 8) :], 8 * int(mask.sum()), place[at : at + n][mask]
+        at += n
+        for i in (0, 1):  # a cell has a history once
+            sums[i, to] += unplanes(rest[i * size : (i + 1) * size], np.float64)
+        total[to] = unplanes(rest[2 * size :], np.float64)
     left = 1 - sums[0] / np.maximum(total, 1)
     tight = (sums[0] > 0) & (left < 1e-9)  # nothing discounted: the total counts one more
     left = np.where(tight, 1 - sums[0] / (total + 1), left)
@@ -312,7 +341,7 @@ def add_shares(table: pa.Table) -> pa.Table:
     ends, n = np.cumsum(sizes), len(sizes)
     return pa.table({
         "cell": table.column("cell"), "kind": table.column("kind"), "bucket": table.column("bucket"),
-        "numbers": pa.array([planes(answer[e - s : e]) for e, s in zip(ends, sizes, strict=True)], pa.binary()),
+        "numbers": pa.array([short(answer[e - s : e]) for e, s in zip(ends, sizes, strict=True)], pa.binary()),
         "owner": pa.array([b""] * n, pa.binary()), "stats": pa.array([[]] * n, pa.list_(pa.int64())),
     })
 
@@ -323,7 +352,7 @@ def evaluate(row: pa.Table, answers: pa.Table, model: Model, order: int, bits: i
     if not row.num_rows:
         return schema.empty_table()
     cell = Cell.read(row.to_pylist()[0], order)
-    cell.learn(answers, bits)
+    cell.learn(answers, bits, model.least)
     n = len(cell.sizes)
     doc = np.repeat(np.arange(n), cell.sizes + 2)
     begins = np.cumsum(cell.sizes + 2) - cell.sizes - 2
@@ -350,7 +379,7 @@ def scored(docs: DataFrame, train, order: int = ORDER, key: str = "doc_id", text
     bits = max(0, min(MOST_BUCKETS, -(-volume // bucket_bytes)) - 1).bit_length()
     cells = saved(texts.mapInArrow(lambda b: make_cells(b, cell_bytes), CELLS), "katz-cells")
     blocks = cells.mapInArrow(lambda b: send_counts(b, order, bits), BLOCKS)
-    counts = saved(blocks.groupBy("kind", "bucket").applyInArrow(lambda t: add_counts(t, cut), ANSWERS), "katz-counts")
+    counts = saved(blocks.groupBy("kind", "bucket").applyInArrow(lambda t: add_counts(t, cut, least), ANSWERS), "katz-counts")
     stats = counts.filter("cell = -1").groupBy("kind").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(cut + 3)]).collect()
     model = Model({k: next(([int(v or 0) for v in r[1:]] for r in stats if r.kind == k), [0] * (cut + 3)) for k in range(1, order + 1)}, cut, least)
     answers = counts.filter("cell >= 0").drop("stats")
