@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -44,9 +44,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 def saved(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts the lineage, outlives executors."""
-    folder = shared_folder(df.sparkSession, what)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return saved_with(df, what)[0]
+
+
+def saved_with(df: DataFrame, what: str, *figures: Column) -> tuple[DataFrame, dict]:
+    """Like saved, with figures (named aggregates) that are taken while the rows are written."""
+    folder, seen = shared_folder(df.sparkSession, what), Observation(what)
+    (df.observe(seen, *figures) if figures else df).write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), seen.get if figures else {}
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import saved
+from .columns import saved_with
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,12 +16,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     join side, which Spark splits, and never a list. The number of rounds grows
     with the logarithm of the longest path. Each round is a written table.
     """
-    edges = saved(_pairs(links.filter(F.col(a) != F.col(b)), a, b), "edges")
+    edges, sign = _written(_pairs(links.filter(F.col(a) != F.col(b)), a, b).distinct())
     seen = None
-    while True:
-        sign = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if sign == seen or not sign[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", F.col("v").alias("label")).distinct())
+    while sign["n"] and sign != seen:
         seen = sign
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
@@ -29,9 +26,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.select("u", "m").union(joined.filter(F.col("v") != F.col("m")).select("v", "m"))
-        edges = saved(_pairs(small, "u", "m"), "edges")
+        edges, sign = _written(_pairs(small, "u", "m").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", F.col("v").alias("label")).distinct())
+
+
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges as a table, and figures that tell whether a round changed them."""
+    return saved_with(edges, "edges", F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x"))
 
 
 def _pairs(links: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct links as (u, v) with u > v."""
-    return links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    """Links as (u, v) with u > v."""
+    return links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))

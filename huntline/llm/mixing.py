@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .columns import n_words, saved
 
 CELLS = 64
-TURNS = 32
+TURNS = 8
 LARGE = 100
 MAX_COPIES = 3
 

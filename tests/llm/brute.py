@@ -137,7 +137,7 @@ def spark_hash(*values):
     return h - (1 << 64) if h >> 63 else h
 
 
-def mixture(rows, seed=17, cells=64, turns=32, large=100, cap=3):
+def mixture(rows, turns, seed=17, cells=64, large=100, cap=3):
     """rows: (key, text, source) -> copies: large documents first, then the others, each by one walk along a line."""
     sizes = [len(words(t)) for _, t, _ in rows]
     total = {}

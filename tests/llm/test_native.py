@@ -56,7 +56,7 @@ def test_mixing_against_brute_force(spark):
     rows = mix_rows()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, target string, before int")
     got = mixing.plan(docs).collect()
-    copies = brute.mixture(rows)
+    copies = brute.mixture(rows, mixing.TURNS)
     want = Counter((k, s, len(brute.words(t)), c) for (k, t, s), c in zip(rows, copies, strict=True))
     assert Counter((r.doc_id, r.source, r["size"], r.copies) for r in got) == want
     sizes = Counter()
