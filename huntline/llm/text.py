@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text is worked on in pieces of about so many bytes (one document at least), which bounds a task's memory.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,18 +31,24 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(n + 1, _BASE), np.full(n + 1, _INVERSE)
         up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        return up, down
+
+
+_largest = 1 << 12
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base of the rolling hashes and of its inverse, modulo 2^64."""
-    size = 1 << max(12, int(n).bit_length())
-    up, down = _powers(size)
+    """Powers 0..n of the base of the rolling hashes and of its inverse, modulo 2^64; the longest asked for so far is kept."""
+    global _largest
+    _largest = max(_largest, 1 << int(n).bit_length())
+    up, down = _powers(_largest)
     return up[: n + 1], down[: n + 1]
 
 
