@@ -40,6 +40,8 @@ RATE = 0.1
 #: A feature has a small share of its document, so its vector takes larger steps than the weights.
 BOOST = 30
 KINDS = 3
+#: Bytes of text that training turns into features at once.
+FIT_PIECE = 1 << 18
 SIZE = 2 * (1 << BITS) + 2
 
 
@@ -72,24 +74,29 @@ def features(ws: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     return [words, grams, (word_doc[first], again + 2 * (1 << BITS))] if n_docs else []
 
 
+def _shares(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Per text its features and their shares of the average; None without words."""
+    docs: list[list] = [[] for _ in range(len(texts))]
+    for doc_of, feature in features(split(texts)):
+        pairs, counts = np.unique(doc_of * SIZE + feature, return_counts=True)
+        cuts = np.searchsorted(pairs // SIZE, np.arange(len(docs) + 1))
+        for d, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if b > a:
+                docs[d].append(((pairs[a:b] % SIZE).astype(np.int32), (counts[a:b] / counts[a:b].sum() / KINDS).astype(np.float32)))
+    return [(np.concatenate([i for i, _ in d]), np.concatenate([c for _, c in d])) if d else None for d in docs]
+
+
 def train(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> np.ndarray:
     """The folded model: one number per feature, and the bias at the end."""
     if not len(labels):
         return np.zeros(SIZE + 1, np.float32)
-    docs: list[list] = [[] for _ in labels]
-    for kind in features(split(texts)):
-        pairs, counts = np.unique(kind[0] * SIZE + kind[1], return_counts=True)
-        doc = pairs // SIZE
-        cuts = np.searchsorted(doc, np.arange(len(docs) + 1))
-        for d in np.unique(doc):
-            a, b = cuts[d], cuts[d + 1]
-            docs[d].append((pairs[a:b] % SIZE, (counts[a:b] / counts[a:b].sum() / KINDS).astype(np.float32)))
+    shares = [d for piece in pieces(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", FIT_PIECE) for d in _shares(piece.column("text"))]
     rng = np.random.default_rng(seed)
     e = rng.uniform(-1 / dim, 1 / dim, (SIZE, dim)).astype(np.float32)
     w = rng.uniform(-0.1, 0.1, (dim, 2)).astype(np.float32)
     prior = (labels.sum() + 0.5) / (len(labels) + 1)
     b = np.array([np.log(1 - prior), np.log(prior)], np.float32)
-    ready = [(np.concatenate([i for i, _ in d]), np.concatenate([c for _, c in d]), int(y)) for d, y in zip(docs, labels, strict=True) if d]
+    ready = [(*d, int(y)) for d, y in zip(shares, labels, strict=True) if d]
     step, steps = 0, epochs * len(ready)
     for _ in range(epochs):
         for at in rng.permutation(len(ready)):
