@@ -126,7 +126,7 @@ class WordEncoder(TextEncoder):
         if len(self.new) > self.cached:
             self.old, self.new = self.new, {}
         others = []
-        for w in words - self.new.keys():
+        for w in [w for w in words if w not in self.new]:
             ids = self.old.get(w)
             if ids is not None:
                 self.new[w] = ids
