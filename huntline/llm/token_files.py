@@ -146,7 +146,8 @@ class WordEncoder(TextEncoder):
                 self.new[w] = (part if w is lot[0] else part[1:]).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
+        # The tokenizer lower-cases anyway; special tokens are matched before it does.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         self._learn(set(chain.from_iterable(split)))
         known = self.new.__getitem__
         for ws in split:
