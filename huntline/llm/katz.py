@@ -95,7 +95,7 @@ def unshort(block: bytes) -> np.ndarray:
 def make_cells(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     zip_, number = zstandard.ZstdCompressor(), TaskContext.get().partitionId() << 32
     for batch in pieces(batches, "text", size):
-        parts = [(ws.counts(), ws.hashes()) for ws in (split(b.column("text"), lower=True) for b in pieces(iter([batch]), "text"))]
+        parts = [(ws.counts(), ws.hashes()) for ws in (split(b.column("text"), lower=True) for b in pieces(iter([batch]), "text", 1 << 18))]
         n, own = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         hashes = np.empty(len(own) + 2 * len(n), np.uint64)
         begins = np.cumsum(n + 2) - n - 2
