@@ -49,7 +49,7 @@ from .text import mix64, pieces, split
 
 ORDER = 2
 CUT = 5  # counts up to this one are discounted
-LEAST = 2  # n-grams of two words or more need so many occurrences
+LEAST = 1  # n-grams of two words or more need so many occurrences; 1: all that are seen
 CELL_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 1 << 16
@@ -89,6 +89,14 @@ def unshort(block: bytes) -> np.ndarray:
     return unplanes(bytes(3 * (len(block) // 5)) + block, np.float64)
 
 
+def zipped(block: bytes) -> bytes:
+    return zstandard.ZstdCompressor().compress(block)
+
+
+def unzipped(block: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(block)
+
+
 # Cells
 
 
@@ -166,12 +174,12 @@ class Cell:
             cut = bucket_cuts(g.hashes, bits)
             for row in answers.filter(pc.equal(answers.column("kind"), k)).to_pylist():
                 a, b = cut[row["bucket"]], cut[row["bucket"] + 1]
-                g.count[a:b] = unplanes(row["numbers"], np.uint64)
+                g.count[a:b] = unplanes(unzipped(row["numbers"]), np.uint64)
                 g.owner[a:b] = np.unpackbits(np.frombuffer(row["owner"], np.uint8), count=b - a)
             asked = g.asked(least)
             cut = bucket_cuts(g.hashes[asked], bits)
             for row in answers.filter(pc.equal(answers.column("kind"), -k)).to_pylist():
-                g.weight[asked[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = unshort(row["numbers"])
+                g.weight[asked[cut[row["bucket"]] : cut[row["bucket"] + 1]]] = unshort(unzipped(row["numbers"]))
 
     def probabilities(self, model: Model, upto: int) -> np.ndarray:
         """Of each n-gram of length `upto`, P(last word | the words before), by recursion over the lengths."""
@@ -242,7 +250,7 @@ def _blocks(kind: int, cell: int, hashes: np.ndarray, numbers: Callable[[int, in
     return pa.table({
         "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array(some, pa.int32()), "cell": pa.array([cell] * n, pa.int64()),
         "hashes": pa.array([pack(hashes[a:b]) for a, b in spans], pa.binary()),
-        "numbers": pa.array([numbers(a, b) for a, b in spans], pa.binary()),
+        "numbers": pa.array([zipped(numbers(a, b)) for a, b in spans], pa.binary()),
     })
 
 
@@ -273,7 +281,7 @@ def add_counts(table: pa.Table, cut: int, least: int) -> pa.Table:
     """
     table, sizes, order, group, h = _grouped(table)
     kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    count = np.concatenate([unplanes(b, np.uint64) for b in table.column("numbers").to_pylist()]).astype(np.int64)[order]
+    count = np.concatenate([unplanes(unzipped(b), np.uint64) for b in table.column("numbers").to_pylist()]).astype(np.int64)[order]
     total = np.zeros(group[-1] + 1, np.int64)
     np.add.at(total, group, count)
     answer, owner = np.empty(len(order), np.uint64), np.zeros(len(order), bool)
@@ -288,7 +296,7 @@ def add_counts(table: pa.Table, cut: int, least: int) -> pa.Table:
     return pa.table({
         "cell": pa.concat_arrays([table.column("cell").combine_chunks(), pa.array([-1], pa.int64())]),
         "kind": pa.array([kind] * (n + 1), pa.int32()), "bucket": pa.array([bucket] * (n + 1), pa.int32()),
-        "numbers": pa.array([planes(answer[e - s : e]) for e, s in zip(ends, sizes, strict=True)] + [b""], pa.binary()),
+        "numbers": pa.array([zipped(planes(answer[e - s : e])) for e, s in zip(ends, sizes, strict=True)] + [b""], pa.binary()),
         "owner": pa.array([np.packbits(owner[e - s : e]).tobytes() for e, s in zip(ends, sizes, strict=True)] + [b""], pa.binary()),
         "stats": pa.array([[]] * n + [stats], pa.list_(pa.int64())),
     })
@@ -313,7 +321,7 @@ def send_shares(row: pa.Table, answers: pa.Table, k: int, model: Model, order: i
     def some(a: int, b: int) -> bytes:
         """Which of the histories get something from here, and for these the three numbers."""
         at = np.flatnonzero(sums[0, a:b])
-        return b"".join([np.packbits(sums[0, a:b] != 0).tobytes(), *[planes(x[a:b][at]) for x in sums]])
+        return b"".join([np.packbits(sums[0, a:b] != 0).tobytes(), *[planes(x[a:b][at]) for x in sums[:2]], planes(sums[2, a:b][at].astype(np.uint64))])
 
     return _blocks(-(k - 1), row.column("cell")[0].as_py(), histories.hashes[asked], some, bits)
 
@@ -324,13 +332,13 @@ def add_shares(table: pa.Table) -> pa.Table:
     place = np.empty(len(order), np.int64)
     place[order] = group
     sums, total, at = np.zeros((2, group[-1] + 1)), np.zeros(group[-1] + 1), 0
-    for block, n in zip(table.column("numbers").to_pylist(), sizes.tolist(), strict=True):
+    for block, n in zip(map(unzipped, table.column("numbers").to_pylist()), sizes.tolist(), strict=True):
         mask = np.unpackbits(np.frombuffer(block, np.uint8, -(-n // 8)), count=n).astype(bool)
         rest, size, to = block[-(-n // 8) :], 8 * int(mask.sum()), place[at : at + n][mask]
         at += n
         for i in (0, 1):  # a cell has a history once
             sums[i, to] += unplanes(rest[i * size : (i + 1) * size], np.float64)
-        total[to] = unplanes(rest[2 * size :], np.float64)
+        total[to] = unplanes(rest[2 * size :], np.uint64)
     left = 1 - sums[0] / np.maximum(total, 1)
     tight = (sums[0] > 0) & (left < 1e-9)  # nothing discounted: the total counts one more
     left = np.where(tight, 1 - sums[0] / (total + 1), left)
@@ -341,7 +349,7 @@ def add_shares(table: pa.Table) -> pa.Table:
     ends, n = np.cumsum(sizes), len(sizes)
     return pa.table({
         "cell": table.column("cell"), "kind": table.column("kind"), "bucket": table.column("bucket"),
-        "numbers": pa.array([short(answer[e - s : e]) for e, s in zip(ends, sizes, strict=True)], pa.binary()),
+        "numbers": pa.array([zipped(short(answer[e - s : e])) for e, s in zip(ends, sizes, strict=True)], pa.binary()),
         "owner": pa.array([b""] * n, pa.binary()), "stats": pa.array([[]] * n, pa.list_(pa.int64())),
     })
 

@@ -117,3 +117,22 @@ def test_empty_and_untrained(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert katz.scored(docs.limit(0), F.lit(True)).count() == 0
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in katz.scored(docs, F.lit(False)).collect()} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
+
+
+def test_bigrams_that_occur_once_count(spark, small):
+    assert katz.LEAST == 1
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    texts = [r.text for r in docs if not held(r.doc_id)]
+    ref, cut = Reference(texts, 2, katz.CUT, 1), Reference(texts, 2, katz.CUT, 2)
+    got = {r.doc_id: r.score for r in QUERIES["op10_katz_backoff"](spark, small).collect()}
+    assert all(math.isclose(got[r.doc_id], ref.score(r.text), rel_tol=1e-9) for r in docs)
+    assert any(not math.isclose(ref.score(r.text), cut.score(r.text), rel_tol=1e-3) for r in docs)
+
+
+def test_discount_of_count_one(spark):
+    rows = [(1, "a b a b a b"), (2, "c d"), (3, "a b"), (4, "c d e")]  # "c d" twice, "d e" once
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ref = Reference([t for _, t in rows], 2, katz.CUT, 1)
+    got = {r.doc_id: r.score for r in katz.scored(docs, F.lit(True)).collect()}
+    assert all(math.isclose(got[k], ref.score(t), rel_tol=1e-9) for k, t in rows)
+    assert math.isclose(ref.p((("d",),), ("e",)), ref.d[2][0] / 2, rel_tol=1e-9)
