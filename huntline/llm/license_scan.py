@@ -4,8 +4,9 @@ A stretch of words that come from the vocabulary of the templates, with a word
 that speaks of licensing, is a candidate block. It is compressed alone and
 with each template as a raw zstandard dictionary: the template that makes it
 smallest in proportion is the likeliest. Templates are tried in that order, and
-one is confirmed by aligning the words: most of its words must be there, none
-with a digit may be missing (versions matter), and what differs is told. The
+one is confirmed by aligning the words around the longest run they share: most
+of its words must be there, none with a digit may be missing (versions matter),
+and what differs is told. Where that fails, the parts beside the run are tried. The
 rest of the block is scanned again, so neighbouring notices are all found.
 
 The filter on licensing words runs in the scan; only texts that pass it reach
@@ -103,20 +104,52 @@ class Scanner:
         ranked = sorted((len(c.compress(block)), -len(ws), name, ws) for name, ws, c in self.templates)
         mine = [w for w, _, _ in words]
         for size, _, name, ws in ranked:
-            match = [m for m in SequenceMatcher(None, ws, mine, autojunk=False).get_matching_blocks() if m.size]
-            if not match:
-                continue
-            x, y = match[0].b, match[-1].b + match[-1].size
-            same = sum(m.size for m in match)
-            here = {i for m in match for i in range(m.a, m.a + m.size)}
-            missing = [w for i, w in enumerate(ws) if i not in here]
-            there = {i for m in match for i in range(m.b, m.b + m.size)}
-            added = [mine[i] for i in range(x, y) if i not in there]
-            if same < self.share * len(ws) or len(added) > (1 - self.share) * len(ws) + self.gap or any(c.isdigit() for w in missing for c in w):
+            found = self.align(ws, mine)
+            if found:
+                x, y, same, missing, added = found
+                return x, y, (name, words[x][1], words[y - 1][2], plain, size, 1 - size / plain, same / len(ws), missing, added)
+        return None
+
+    def align(self, ws: list[str], mine: list[str]) -> tuple[int, int, int, list[str], list[str]] | None:
+        """Where the template is in a block: around the longest matching run, or else around one before or after it."""
+        lost, more = (1 - self.share) * len(ws), (1 - self.share) * len(ws) + self.gap
+        least = (len(ws) - lost) / (lost + more + 1)  # so few missing and added words leave a run of this length
+        whole, todo = SequenceMatcher(None, ws, mine, autojunk=False), [(0, len(mine))]
+        while todo:
+            lo, hi = todo.pop()
+            m = whole.find_longest_match(0, len(ws), lo, hi)
+            if m.size < max(1, least):
                 continue
-            return x, y, (name, words[x][1], words[y - 1][2], plain, size, 1 - size / plain, same / len(ws), missing, added)
+            begin = m.b - m.a - int(more)
+            found = self.tight(ws, mine, max(0, begin), min(len(mine), begin + len(ws) + 2 * int(more)))
+            _, _, same, missing, added = found
+            if same >= self.share * len(ws) and len(added) <= more and not any(c.isdigit() for w in missing for c in w):
+                return found
+            todo += [(m.b + m.size, hi), (lo, m.b)]
         return None
 
+    @staticmethod
+    def tight(ws: list[str], mine: list[str], x: int, y: int) -> tuple[int, int, int, list[str], list[str]]:
+        """The alignment within mine[x:y], its ends moved inwards while that drops more added words than it loses."""
+
+        def within(x: int, y: int) -> tuple[int, int, int, list[str], list[str]]:
+            match = [m for m in SequenceMatcher(None, ws, mine[x:y], autojunk=False).get_matching_blocks() if m.size]
+            if not match:
+                return x, x, 0, ws, []
+            here = {i for m in match for i in range(m.a, m.a + m.size)}
+            there = {x + i for m in match for i in range(m.b, m.b + m.size)}
+            begin, end = min(there), max(there) + 1
+            return begin, end, len(here), [w for i, w in enumerate(ws) if i not in here], [mine[i] for i in range(begin, end) if i not in there]
+
+        worth = lambda r: r[2] - len(r[4])
+        best = within(x, y)
+        while best[2]:
+            inner = max(within(best[0] + 1, best[1]), within(best[0], best[1] - 1), key=worth)
+            if worth(inner) <= worth(best):
+                break
+            best = inner
+        return best
+
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scanner = Scanner()

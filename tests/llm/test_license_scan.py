@@ -41,3 +41,15 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, begin int")
     assert sorted((str(r.doc_id), r.license, r.begin) for r in license_scan.scan(docs).collect()) == [("3", "MIT", 250000), ("3", "MIT", 250000), ("None", "MIT", 0)]
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_reworded_notice_after_common_words():
+    scan = lambda t: [(h[0], t[h[1] : h[2]], h[7], h[8]) for h in license_scan.Scanner().scan(t)]
+    notice = "this code is licensed under the GNU General Public License, version 3"
+    want = [("GPL-3.0", notice, ["work"], ["code"])]
+    assert scan(notice) == want
+    assert scan("of this software in source form and " + notice) == want
+    assert scan(notice + " and of this software in source form and") == want
+    assert scan("of this software and the gnu general public license version or " + notice) == want
+    both = "of this software in source form and " + notice + ". Released under the MIT License."
+    assert sorted(h[0] for h in scan(both)) == ["GPL-3.0", "MIT"]
