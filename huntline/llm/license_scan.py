@@ -1,7 +1,7 @@
 """License notices in texts, by conditional compression.
 
-A stretch of words that come from the vocabulary of the templates, with a word
-that speaks of licensing, is a candidate block. It is compressed alone and
+A stretch of words that come from the vocabulary of the templates, with one of
+their rare words (`marks`), is a candidate block. It is compressed alone and
 with each template as a raw zstandard dictionary: the template that makes it
 smallest in proportion is the likeliest. Templates are tried in that order, and
 one is confirmed by aligning the words around the longest run they share: most
@@ -9,7 +9,7 @@ of its words must be there, none with a digit may be missing (versions matter),
 and what differs is told. Where that fails, the parts beside the run are tried. The
 rest of the block is scanned again, so neighbouring notices are all found.
 
-The filter on licensing words runs in the scan; only texts that pass it reach
+The filter on the rare words runs in the scan; only texts that pass it reach
 Python.
 
 Defined results: null, empty and blank texts have no notice; repeated rows and
@@ -44,8 +44,33 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-SPEAKS = r"(?i)licen[sc]e|redistribut|permission"
+SPDX = (
+    "MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MPL-2.0", "EPL-1.0", "EPL-2.0", "Unlicense", "CC0-1.0", "Zlib", "BSL-1.0",
+    "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-ND-4.0",
+)
+# Wordings too short to be reworded: all words, nothing between them.
+TAGS = (
+    *[(name, f"SPDX-License-Identifier: {name}") for name in SPDX],
+    *[(name, name) for name in SPDX if name.startswith("CC")],
+    ("ISC", "under the ISC License"), ("Unlicense", "under the Unlicense"),
+    ("Public-Domain", "released into the public domain"), ("Public-Domain", "dedicated to the public domain"), ("Public-Domain", "is in the public domain"),
+)
+RESERVED = (("All-Rights-Reserved", "All rights reserved."),)
+TELLING = frozenset("lesser affero nc nd sa".split())  # words that make it another license: neither missing nor added
+NAMES = frozenset("apache bsd eclipse gnu isc mit mozilla unencumbered".split())  # never missing
 SHARE = 0.8
 GAP = 2
 WORD = re.compile(r"[^\x00-\x2D\x2F\x3A-\x60\x7B-\x7F]+")  # letters, digits, full stops, characters beyond ASCII
@@ -65,15 +90,30 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def marks(templates: tuple[tuple[str, str], ...] = TEMPLATES, tags: tuple[tuple[str, str], ...] = TAGS, share: float = SHARE) -> set[str]:
+    """Words of the templates of which every notice has one: of each template the longest words, one more than may be missing."""
+    out: set[str] = set()
+    for wording, lost in [*[(t, 1 - share) for _, t in templates], *[(t, 0) for _, t in tags]]:
+        ws = {w for w, _, _ in tokens(wording)}
+        need = int(lost * len(tokens(wording)) + 1e-9) + 1
+        out |= set(sorted(ws, key=lambda w: (-len(w), w))[:need])
+    return out
+
+
+def speaks(words: set[str]) -> str:
+    return r"(?i)(?<![a-z0-9])(" + "|".join(re.escape(w) for w in sorted(words)) + r")(?![a-z0-9])"
+
+
 class Scanner:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, share: float = SHARE, gap: int = GAP):
-        self.share, self.gap, self.speaks = share, gap, re.compile(SPEAKS)
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, tags: tuple[tuple[str, str], ...] = TAGS, share: float = SHARE, gap: int = GAP):
+        self.share, self.gap, self.marks = share, gap, marks(templates, tags, share)
         self.plain = zstandard.ZstdCompressor(level=19)
         self.templates = []
         for name, text in templates:
             raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, [w for w, _, _ in tokens(text)], zstandard.ZstdCompressor(level=19, dict_data=raw)))
-        self.vocabulary = {w for _, ws, _ in self.templates for w in ws}
+        self.tags = sorted(((name, [w for w, _, _ in tokens(text)], text.lower().encode()) for name, text in tags), key=lambda t: -len(t[1]))
+        self.vocabulary = {w for _, ws, _ in [*self.templates, *self.tags] for w in ws}
 
     def blocks(self, words: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
         """Stretches of words from the vocabulary, at most `gap` others between two of them, that speak of licensing."""
@@ -82,7 +122,7 @@ class Scanner:
         for at in range(1, len(known) + 1):
             if at == len(known) or known[at] - known[at - 1] > self.gap + 1:
                 a, b = known[begin], known[at - 1] + 1
-                if any(self.speaks.search(w) for w, _, _ in words[a:b]):
+                if any(w in self.marks for w, _, _ in words[a:b]):
                     yield a, b
                 begin = at
 
@@ -95,7 +135,7 @@ class Scanner:
             if found:
                 x, y, row = found
                 yield row
-                todo += [(p, q) for p, q in ((a, a + x), (a + y, b)) if q - p > 1 and any(self.speaks.search(w) for w, _, _ in words[p:q])]
+                todo += [(p, q) for p, q in ((a, a + x), (a + y, b)) if q - p > 1 and any(w in self.marks for w, _, _ in words[p:q])]
 
     def best(self, words: list[tuple[str, int, int]], text: str) -> tuple[int, int, tuple] | None:
         """The first template, by how much it helps to compress the block, whose wording is there."""
@@ -108,6 +148,13 @@ class Scanner:
             if found:
                 x, y, same, missing, added = found
                 return x, y, (name, words[x][1], words[y - 1][2], plain, size, 1 - size / plain, same / len(ws), missing, added)
+        for name, ws, text_ in self.tags:
+            x = next((i for i in range(len(mine) - len(ws) + 1) if mine[i : i + len(ws)] == ws), None)
+            if x is not None:
+                raw = zstandard.ZstdCompressionDict(text_, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size = len(zstandard.ZstdCompressor(level=19, dict_data=raw).compress(block))
+                y = x + len(ws)
+                return x, y, (name, words[x][1], words[y - 1][2], plain, size, 1 - size / plain, 1.0, [], [])
         return None
 
     def align(self, ws: list[str], mine: list[str]) -> tuple[int, int, int, list[str], list[str]] | None:
@@ -123,11 +170,16 @@ class Scanner:
             begin = m.b - m.a - int(more)
             found = self.tight(ws, mine, max(0, begin), min(len(mine), begin + len(ws) + 2 * int(more)))
             _, _, same, missing, added = found
-            if same >= self.share * len(ws) and len(added) <= more and not any(c.isdigit() for w in missing for c in w):
+            if same >= self.share * len(ws) and len(added) <= more and not self.another(missing, added):
                 return found
             todo += [(m.b + m.size, hi), (lo, m.b)]
         return None
 
+    @staticmethod
+    def another(missing: list[str], added: list[str]) -> bool:
+        """Whether what differs makes it another license or version."""
+        return any(w in TELLING or w in NAMES or any(c.isdigit() for c in w) for w in missing) or any(w in TELLING for w in added)
+
     @staticmethod
     def tight(ws: list[str], mine: list[str], x: int, y: int) -> tuple[int, int, int, list[str], list[str]]:
         """The alignment within mine[x:y], its ends moved inwards while that drops more added words than it loses."""
@@ -151,8 +203,8 @@ class Scanner:
         return best
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner()
+def _scan(batches: Iterator[pa.RecordBatch], templates: tuple[tuple[str, str], ...], tags: tuple[tuple[str, str], ...]) -> Iterator[pa.RecordBatch]:
+    scanner = Scanner(templates, tags)
     types = [pa.int64(), pa.string(), *[pa.int32()] * 4, pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
     names = ["key", "license", "begin", "end", "plain_size", "conditional_size", "reduction", "share", "missing", "added"]
     for batch in pieces(batches, "text"):
@@ -161,7 +213,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, tags: tuple[tuple[str, str], ...] = TAGS) -> DataFrame:
     """One row per notice: license, characters [begin, end), sizes, share of the template found, words missing and added."""
-    some = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(SPEAKS))
-    return some.mapInArrow(_scan, RESULT).withColumnRenamed("key", key)
+    some = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(speaks(marks(templates, tags))))
+    return some.mapInArrow(lambda b: _scan(b, templates, tags), RESULT).withColumnRenamed("key", key)

@@ -53,3 +53,30 @@ def test_reworded_notice_after_common_words():
     assert scan("of this software and the gnu general public license version or " + notice) == want
     both = "of this software in source form and " + notice + ". Released under the MIT License."
     assert sorted(h[0] for h in scan(both)) == ["GPL-3.0", "MIT"]
+
+
+OTHERS = {
+    "SPDX-License-Identifier: MIT": "MIT", "// spdx-license-identifier: LGPL-2.1-or-later": "LGPL-2.1", "SPDX-License-Identifier: CC-BY-NC-ND-4.0": "CC-BY-NC-ND-4.0",
+    "Texte et images: CC BY 4.0": "CC-BY-4.0", "photo (cc by-sa 4.0)": "CC-BY-SA-4.0", "CC0 1.0": "CC0-1.0",
+    "We dedicated to the public domain what is here": "Public-Domain", "The map is in the public domain.": "Public-Domain",
+    "The code is licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+    "Our server is licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+    "Licensed under the BSD 2-clause license": "BSD-2-Clause", "Use it under the ISC licence or under the ISC license.": "ISC",
+    "This program and the materials are made available under the terms of the Eclipse Public License v. 2.0": "EPL-2.0",
+    "This is free and unencumbered software, released into the public domain": "Unlicense",
+}
+
+
+def test_other_licenses(spark):
+    scan = lambda t: [h[0] for h in license_scan.Scanner().scan(t)]
+    assert {t: scan(t) for t in OTHERS} == {t: [name] for t, name in OTHERS.items()}
+    for t in ("SPDX-License-Identifier: Artistic-2.0", "Licensed under CC BY-NC-ND 3.0", "the public domain", "a domain in the public eye"):
+        assert scan(t) == []
+    docs = spark.createDataFrame(list(enumerate(OTHERS)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in license_scan.scan(docs).collect()) == list(range(len(OTHERS)))
+
+
+def test_reserved_rights(spark):
+    docs = spark.createDataFrame([(1, "some words.\nAll rights reserved."), (2, "all rights are reserved"), (3, "Released under the MIT License. ALL RIGHTS RESERVED")], "doc_id long, text string")
+    got = license_scan.scan(docs, tags=license_scan.TAGS + license_scan.RESERVED).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(1, "All-Rights-Reserved"), (3, "All-Rights-Reserved"), (3, "MIT")]
