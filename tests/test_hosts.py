@@ -70,3 +70,15 @@ def test_ancestors_reach_the_root_and_stop_in_a_cycle(spark, depth):
     got = {r.uuid: r.ancestors for r in enrich.ancestors(spark.createDataFrame(rows, "uuid long, parent_uuid long, name string")).collect()}
     assert got[depth - 1] == [f"p{i}" for i in range(depth - 2, -1, -1)]
     assert (got[1000], got[1001], got[1002], got[1003], got[1004]) == (["y", "z"], ["z"], ["y"], [], [])
+
+
+def test_stale_walks_unpaired_events_and_reused_marks(spark):
+    at = lambda ms: dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
+    events = [("stale", 1, 20_000), ("alone", 1, 0), ("alone", 2, 10_000), ("chain", 1, 0), ("chain", 2, 450), ("reused", 1, 0), ("reused", 2, 60_000), ("late", 1, 0), ("twice", 1, 0), ("twice", 2, 0)]
+    walks = [("stale", 10_000, "old"), ("stale", 20_000, "s"), ("alone", 10_000, "a"), ("chain", 900, "c"), ("reused", 100, "r1"), ("reused", 59_800, "r2"), ("late", 501, "l"), ("twice", 500, "t")]
+    e = spark.createDataFrame([(h, s, at(t), "n", 7, {"k": "v"}) for h, s, t in events], "host string, seq long, ts timestamp, name string, stack_id long, params map<string,string>")
+    w = spark.createDataFrame([(h, 7, at(t), c) for h, t, c in walks], "host string, stack_id long, ts timestamp, callstack string")
+    got = enrich.pair_callstack(e, w)
+    assert got.columns == [*e.columns, "callstack"]
+    assert sorted((r.host, r.seq, r.callstack or "") for r in got.collect()) == [
+        ("alone", 1, ""), ("alone", 2, "a"), ("chain", 1, ""), ("chain", 2, "c"), ("late", 1, ""), ("reused", 1, "r1"), ("reused", 2, "r2"), ("stale", 1, "s"), ("twice", 1, "t"), ("twice", 2, "")]
