@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, katz, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, sql, substring_dedup, token_files
+from . import decontamination, katz, license_scan, line_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, spelling, sql, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,15 @@ def op10(spark, folder):
 @query("op5_license_scans")
 def op5(spark, folder):
     return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query("op13_line_dedup", sql.LINE_DEDUP)
+def op13(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = line_dedup.kept(docs, line_dedup.bitmaps(docs), n_lines="n_lines", n_dropped="n_dropped")
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op11_spelling_variants")
+def op11(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
