@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, katz, license_scan, line_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, spelling, sql, substring_dedup, token_files
+from . import decontamination, katz, license_scan, line_dedup, mixing, negatives, quality_classifier, quality_rules, sharding, simhash, spelling, sql, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +112,10 @@ def op13(spark, folder):
 @query("op11_spelling_variants")
 def op11(spark, folder):
     return spelling.spelling_variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_hard_negatives", sql.HARD_NEGATIVES)
+def op12(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
