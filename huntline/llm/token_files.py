@@ -26,15 +26,16 @@ themselves; an empty table gives an empty manifest; extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ HEADER = struct.Struct("<4sHH")
 LENGTH, CRC, KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q")
 FILE_BYTES = 32 << 20
 CACHED_WORDS = 500_000
+#: Texts are encoded in pieces of about so many bytes, so that frequent words are looked up once for many texts.
+PIECE_BYTES = 2 << 20
 MANIFEST = "part int, file string, index string, records long, ids long, width int"
 
 
@@ -82,82 +85,118 @@ class TextEncoder:
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for ids in self.ids([t.decode() for t in texts]):
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Packed ids of each text of an array of strings without nulls."""
+        for ids in self.ids(texts.to_pylist()):
             yield self.pack(ids)
 
 
+#: What a tokenizer must say of itself for its words to be encoded one by one (fixed values of the file format).
+APART_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+APART_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+APART_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def words_apart(path: str) -> bool:
+    """Whether the ids of a text are those of its words: from the tokenizer's own description, never by name."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = (told.get("normalizer") or {}).get("normalizers"), (told.get("pre_tokenizer") or {}).get("pretokenizers")
+    model = told.get("model") or {}
+    plain_tokens = all(not t["content"].strip() or t["content"].startswith("<|") for t in told.get("added_tokens") or [])
+    return steps == (APART_NORMALIZERS, [APART_SPLIT, APART_BYTES]) and model.get("type") == "BPE" and not model.get("dropout") and plain_tokens
+
+
 class WordEncoder(TextEncoder):
     """Encodes texts word by word, remembering the packed ids of recent words.
 
     For tokenizers that lower-case, drop white space, split letters from
-    punctuation and never merge across these: the ids of a text are then those
-    of its words, one after the other. Two generations of the memory bound it
-    and keep frequent words.
+    punctuation and never merge across these (`words_apart`): the ids of a text
+    are then those of its words, one after the other. Two generations of the
+    memory bound it and keep frequent words.
 
-    Words not in memory: plain lower-case letters with a tail of punctuation go
+    Words not in memory: lower-case Latin letters with a tail of punctuation go
     straight to the tokenizer's model, letters and tail each by itself; all
     others go through the whole tokenizer, a few dozen in one text, kept apart
     by a control character that is a token of its own.
     """
 
-    PLAIN = re.compile(rb"([a-z]+)([.,;:!?|]*)")
+    #: ASCII and Latin-1 letters that are lower case, then punctuation but the apostrophe, which may begin a suffix.
+    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
     APART = "\x01"
     TOGETHER = 50
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         super().__init__(path)
-        self.cached, self.new, self.old = cached, {}, {}
+        self.cached, self.new, self.old, self.parts = cached, {}, {}, {}
         (self.apart,) = self.ids([self.APART])[0]
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+        self.code = "H" if self.width == 2 else "I"
+        self.tokenize = self.tokenizer.model.tokenize
 
-    def _plain(self, word: bytes) -> bytes:
-        ids = self.new.get(word)
-        if ids is None:
-            ids = self.new[word] = self.pack([t.id for t in self.tokenizer.model.tokenize(word.decode())])
-        return ids
-
-    def _tail(self, tail: bytes) -> bytes:
-        ids = self.new.get(tail)
-        if ids is None:
-            ids = self.new[tail] = self.pack(self.ids([tail.decode()])[0])
-        return ids
-
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.new) > self.cached:
             self.old, self.new = self.new, {}
-        others = []
-        for w in [w for w in words if w not in self.new]:
-            ids = self.old.get(w)
-            if ids is not None:
-                self.new[w] = ids
-            elif b"<|" not in w and (m := self.PLAIN.fullmatch(w.lower())):
-                self.new[w] = self._plain(m[1]) + self._tail(m[2]) if m[2] else self._plain(m[1])
-            else:
-                others.append(w)
+        if len(self.parts) > self.cached:
+            self.parts = {}
+        new, old, parts, plain, others = self.new, self.old, self.parts, self.PLAIN.fullmatch, []
+        tokenize, letters, code = self.tokenize, self.letters, self.code
+        new.setdefault(b"", b"")  # before and after white space at the ends of a text
+        for w in words:
+            if w in new:
+                continue
+            ids = old.get(w)
+            if ids is None:
+                m = plain(w)
+                if m is None or b"<|" in w:
+                    others.append(w)
+                    continue
+                head, tail = m.groups()
+                ids = parts.get(head)
+                if ids is None:
+                    spelt = head.decode() if head.isascii() else head.decode().translate(letters)
+                    ids = parts[head] = array(code, [t.id for t in tokenize(spelt)]).tobytes()
+                if tail:
+                    end = parts.get(tail)
+                    if end is None:
+                        end = parts[tail] = self.pack(self.ids([tail.decode()])[0])
+                    ids += end
+            new[w] = ids
         # A special token or the control character inside a word: by itself.
         alone = [w for w in others if b"<|" in w or b"\x01" in w]
         for w, ids in zip(alone, self.ids([w.decode() for w in alone]), strict=True):
-            self.new[w] = self.pack(ids)
-        rest = [w for w in others if w not in self.new]
+            new[w] = self.pack(ids)
+        rest = [w for w in others if w not in new]
         lots = [rest[i : i + self.TOGETHER] for i in range(0, len(rest), self.TOGETHER)]
         for lot, ids in zip(lots, self.ids([f" {self.APART} ".join(w.decode() for w in lot) for lot in lots]), strict=True):
             packed = np.array(ids, self.dtype)
             for w, part in zip(lot, np.split(packed, np.flatnonzero(packed == self.apart)), strict=True):
-                self.new[w] = (part if w is lot[0] else part[1:]).tobytes()
+                new[w] = (part if w is lot[0] else part[1:]).tobytes()
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
         # The tokenizer lower-cases anyway; special tokens are matched before it does.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self._learn(set(chain.from_iterable(split)))
-        known = self.new.__getitem__
-        for ws in split:
-            yield b"".join(map(known, ws))
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().cast(pa.binary()).dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        self._learn(words)
+        packed = list(map(self.new.__getitem__, words))
+        # The ids of all different words in one array, gathered in the order of the texts.
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        pool, begins = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(sizes) - sizes
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        ids = pool[np.repeat(begins[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *np.asarray(split.value_lengths())])].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield ids[a:b].tobytes()
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, word_level: bool) -> TextEncoder:
+def encoder(path: str, word_level: bool | None) -> TextEncoder:
     """One encoder per Python worker, so that tasks share its memory."""
-    return WordEncoder(path) if word_level else TextEncoder(path)
+    return WordEncoder(path) if (words_apart(path) if word_level is None else word_level) else TextEncoder(path)
 
 
 def frame(key: int | None, ids: bytes) -> bytes:
@@ -166,20 +205,19 @@ def frame(key: int | None, ids: bytes) -> bytes:
     return b"".join((length, CRC.pack(masked_crc(length)), payload, CRC.pack(masked_crc(payload))))
 
 
-def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, word_level: bool) -> Iterator[pa.RecordBatch]:
+def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, word_level: bool | None) -> Iterator[pa.RecordBatch]:
     tool = encoder(tokenizer, word_level)
     width, end, offsets, total, at = tool.width, tool.pack([end_id]), [], 0, HEADER.size
     store, root = open_folder(folder)
     store.create_dir(root, recursive=True)
     name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
     out = None
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE_BYTES):
         if out is None:
             out = store.open_output_stream(posixpath.join(root, f"{name}.rec"))
             out.write(HEADER.pack(MAGIC, 1, width))
-        raw = pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist()
         frames = []
-        for k, ids in zip(batch.column("key").to_pylist(), tool.encode(raw), strict=True):
+        for k, ids in zip(batch.column("key").to_pylist(), tool.encode(pc.fill_null(batch.column("text"), "")), strict=True):
             frames.append(frame(k, ids + end))
             offsets.append(at)
             at += len(frames[-1])
@@ -195,8 +233,11 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
 
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text", word_level: bool = True, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes the token files of docs and returns their manifest (one row per file, in key order of ``part``)."""
+def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, key: str = "doc_id", text: str = "text", word_level: bool | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the token files of docs and returns their manifest (one row per file, in key order of ``part``).
+
+    word_level: whether words may be encoded one by one; by default the tokenizer's file decides.
+    """
     folder = folder or shared_folder(docs.sparkSession, "tokens")
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -35,8 +36,24 @@ def test_words_encode_like_whole_texts(small):
     texts = [*ODD, " ".join(ODD), "", " ", *pq.read_table(f"{small}/documents.parquet").column("text").to_pylist()[:60]]
     want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
     for _ in range(2):
-        assert list(enc.encode([t.encode() for t in texts])) == want
-    assert list(token_files.TextEncoder(tokenizer_path()).encode([t.encode() for t in texts])) == want
+        assert list(enc.encode(pa.array(texts))) == want
+    assert list(token_files.TextEncoder(tokenizer_path()).encode(pa.array(texts))) == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_each_tokenizer_gives_what_the_library_gives(spark, name):
+    texts = [*ODD, "It's we'll DON'T  a b c", "plain lower words, and tails!!! été,,, ß÷ñ"]
+    manifest = token_files.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer_path(name), 2)
+    tok = Tokenizer.from_file(tokenizer_path(name))
+    want = [zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for t in texts]
+    assert [r.ids_crc32 for r in token_files.read(manifest).orderBy("key").collect()] == want
+    assert token_files.words_apart(tokenizer_path(name)) == (name == "word_bpe_49k.json")
+
+
+def test_latin_words_with_tails(small):
+    tok, enc = Tokenizer.from_file(tokenizer_path()), token_files.WordEncoder(tokenizer_path())
+    words = [f"{a}{c}{b}{t}" for c in map(chr, range(0xA0, 0x180)) for a in ("", "x", "é") for b in ("", "z") for t in ("", "###", ".&&&", "'s", ",'", "<|>", "~`^", "́")]
+    assert list(enc.encode(pa.array(words))) == [np.array(tok.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in words]
 
 
 def test_odd_rows_and_single_records(spark):
