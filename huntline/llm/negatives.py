@@ -22,7 +22,7 @@ whose score lies between `low` and `high` hundredths of the positive's score.
    their limits from the positives' scores.
 
 Each task answers with at most k rows for each anchor and limit. Nothing is
-approximate. The driver holds one number for each group (`group_rows` rows).
+approximate. The driver holds a few numbers for each group (`group_rows` rows).
 
 Defined results: rows with a null id or label, a null or empty vector, or a null
 or non-finite component take no part; a repeated row (same id, label and vector)
@@ -164,8 +164,8 @@ _BUCKET_TYPE = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("longes
                           ("labels", pa.binary()), ("points", pa.binary()), ("lists", pa.binary())])
 
 
-#: ((range, part of it), greatest length) of each group, longest first.
-Groups = list[tuple[tuple[int, int], float]]
+#: Greatest length in each group, longest first: the number of a group is its place.
+Groups = list[float]
 
 
 def index(points: DataFrame, bucket_rows: int = BUCKET_ROWS, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, Groups]:
@@ -173,11 +173,19 @@ def index(points: DataFrame, bucket_rows: int = BUCKET_ROWS, group_rows: int = G
     groups = max(1, -(-points.count() // group_rows))
     ranges = points.repartitionByRange(groups, F.col("norm").desc(), "id", "row").sortWithinPartitions(F.col("norm").desc(), "id", "row")
     table = saved(ranges.mapInArrow(lambda b: _buckets(b, bucket_rows), BUCKET), "buckets")
-    # Range bounds are sampled, so a range may be a little larger than a group.
+    # Range bounds are sampled: a range may hold more than a group should, or much less.
     per_group = max(1, group_rows // bucket_rows)
-    table = table.withColumn("grp", F.struct("part", F.floor((F.col("bucket") - 1) / per_group).cast("int").alias("sub")))
-    longest = table.groupBy("grp").agg(F.max("longest").alias("longest")).orderBy("grp").collect()
-    return table, [((r.grp.part, r.grp.sub), r.longest) for r in longest]
+    table = table.withColumn("sub", F.floor((F.col("bucket") - 1) / per_group).cast("int"))
+    lots = table.groupBy("part", "sub").agg(F.max("longest").alias("longest"), F.sum("rows").alias("rows")).orderBy("part", "sub").collect()
+    places, longest, held = [], [], group_rows
+    for lot in lots:
+        if held + lot.rows > group_rows:
+            longest.append(lot.longest)
+            held = 0
+        held += lot.rows
+        places.append((lot.part, lot.sub, len(longest) - 1))
+    placed = points.sparkSession.createDataFrame(places, "part int, sub int, grp int")
+    return table.join(F.broadcast(placed), ["part", "sub"]), longest
 
 
 # --- search ----------------------------------------------------------------
@@ -188,9 +196,7 @@ FOUND = "row long, slot int, id long, score double"
 
 def _routed(batches: Iterator[pa.RecordBatch], groups: Groups, only: slice) -> Iterator[pa.RecordBatch]:
     """Each anchor once for every group whose longest row may reach its lowest limit."""
-    parts = np.array([g[0][0] for g in groups[only]], np.int32)
-    subs = np.array([g[0][1] for g in groups[only]], np.int32)
-    longest = np.array([g[1] for g in groups[only]])
+    numbers, longest = np.arange(len(groups), dtype=np.int32)[only], np.array(groups[only])
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             piece = batch.slice(a, 256)
@@ -198,7 +204,7 @@ def _routed(batches: Iterator[pa.RecordBatch], groups: Groups, only: slice) -> I
             reach = np.asarray(piece.column("norm"))[:, None] * longest[None, :] * (1 + 1e-9) >= lowest[:, None]
             at, grp = np.nonzero(reach | (lowest <= 0)[:, None])
             out = piece.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(parts[grp]), pa.array(subs[grp]), *out.columns], ["part", "sub", *out.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[grp]), *out.columns], ["grp", *out.schema.names])
 
 
 class _Best:
@@ -293,9 +299,9 @@ def _search(table: pa.Table, buckets: list[Bucket], same: bool, k: int, focus: i
 
 def search(queries: DataFrame, table: DataFrame, groups: Groups, same: bool, k: int, blocks: int, only: slice = slice(None), focus: int = FOCUS) -> DataFrame:
     """(row, slot, id, score): for each query (QUERY) and pair of limits, at most k rows of each group, the best among them."""
-    routed = queries.mapInArrow(lambda b: _routed(b, groups, only), f"part int, sub int, {QUERY}").withColumn("block", F.pmod(F.col("row"), F.lit(blocks).cast("long")))
-    keys = ["part", "sub", "block"]
-    copies = table.select(F.col("grp.part").alias("part"), F.col("grp.sub").alias("sub"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "longest", "dim", "kind", "ids", "labels", "points", "lists")
+    routed = queries.mapInArrow(lambda b: _routed(b, groups, only), f"grp int, {QUERY}").withColumn("block", F.pmod(F.col("row"), F.lit(blocks).cast("long")))
+    keys = ["grp", "block"]
+    copies = table.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "longest", "dim", "kind", "ids", "labels", "points", "lists")
 
     def task(index: pa.Table, anchors: pa.Table) -> pa.Table:
         return _search(anchors, [Bucket.read(r) for r in index.to_pylist()] if anchors.num_rows else [], same, k, focus)
