@@ -9,9 +9,14 @@ finished sequence is reported and its rows are spent.
 Execution: rows that match no step are dropped at the scan; the rest is
 grouped by (rule, key) and folded by a JVM-side aggregate over the time-sorted
 rows. A key with more rows than one task should hold is cut into slices of
-bounded size. Slices are folded in parallel from a guessed (idle) state and
-only those whose true entry state turns out different are folded again, until
-nothing changes; the result is the same as folding the key in one go.
+bounded size, ranges of its rows in order. Each slice is first summed up as a
+function of the state that enters it; a tree of compositions gives every slice
+its true entry (see ``slices``), and then each is folded once. Rounds grow with
+the logarithm of the number of slices, whatever states run through them.
+Sequences with bound fields keep lists in their state, which has no such sum:
+their slices are folded from a guessed (idle) state, and those whose entry
+turns out different are folded again until nothing changes. Either way the
+result is the same as folding the key in one go.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from pyspark.sql import types as T
 from ..durations import micros
 from ..functions.logic import keep_where, true_or_false
 from ..session import durable
+from . import slices
 
 MAX_SPAN = micros("4h")
 MAX_STEPS = 5
@@ -34,6 +40,9 @@ MAX_STEPS = 5
 ROWS_PER_SLICE = 2_000
 SLICES_BEFORE_CUT = 5
 BINS_PER_SLICE = 16
+# Slices that one task cuts, and blocks that one step of the tree takes together.
+SLICES_PER_PART = 64
+BLOCKS_PER_STEP = 64
 BROADCAST_ROWS = 100_000
 
 Predicate = Callable[[DataFrame], Column]
@@ -343,7 +352,8 @@ def _match_group(df: DataFrame, specs: list[SequenceSpec], ts: str, seq: str, ke
         if n_hot <= BROADCAST_ROWS:
             hot = F.broadcast(hot)
         cold = tagged.join(hot.select("rule", "key"), ["rule", "key"], "left_anti")
-        found = _fold_whole(cold, fold).unionByName(_fold_sliced(tagged, hot, fold, limit))
+        sliced = _fold_repaired if fold.bound else _fold_sliced
+        found = _fold_whole(cold, fold).unionByName(sliced(tagged, hot, fold, limit))
     return _report(found, fold, df, keep)
 
 
@@ -357,6 +367,51 @@ def _fold_whole(tagged: DataFrame, fold: Fold) -> DataFrame:
 
 
 def _fold_sliced(tagged: DataFrame, hot: DataFrame, fold: Fold, limit: int) -> DataFrame:
+    """Matches of hot keys: each slice folded once from its true entry."""
+    rules = [slices.Rule(len(s.steps), s.ordered, s.span == "total", s.span_us) for s in fold.specs]
+    chunk = ["rule", "key", "part", "slice"]
+    parts = -(-hot.agg(F.sum("n")).first()[0] // (limit * SLICES_PER_PART))
+    rows = tagged.join(hot.select("rule", "key"), ["rule", "key"], "left_semi").select("rule", "key", "item")
+    in_order = ["rule", "key", "item.ts", "item.seq"]
+    # Bounds of the ranges are sampled, so a burst of any width is spread like other rows; rows of equal time stay together.
+    ranges = rows.repartitionByRange(parts, *in_order[:3]).sortWithinPartitions(*in_order)
+    kind = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("slice", T.IntegerType())])
+    grouped = durable(ranges.mapInArrow(lambda b: slices.cut(b, limit), kind).groupBy(*chunk).agg(_sorted_items()))
+    entry = _entries(grouped, rules, parts)
+
+    # A state names its events by slice and row; here they are fetched. Only open states have any: at most one event a step.
+    named = entry.where("filled != 0").select(*chunk, F.posexplode("refs").alias("no", "ref"))
+    home = grouped.select("rule", "key", F.col("part").alias("_part"), F.col("slice").alias("_slice"), F.col("items").alias("_items"))
+    at_home = (named["rule"] == home["rule"]) & (named["key"] == home["key"]) & (F.col("ref.part") == F.col("_part")) & (F.col("ref.slice") == F.col("_slice"))
+    fetched = named.join(home, at_home).select(*[named[c] for c in chunk], F.struct("no", F.get("_items", F.col("ref.row")).alias("item")).alias("x"))
+    slots = fetched.groupBy(*chunk).agg(F.sort_array(F.collect_list("x")).alias("x")).select(*chunk, F.transform("x", lambda x: x["item"]).alias("slots"))
+    opened = entry.where("filled != 0").select(*chunk, "filled", "entered", "started").join(slots, chunk)
+    state = F.struct("filled", "entered", "started", F.col("entered").alias("last"), "slots")
+    begun = grouped.join(opened, chunk, "left").select("rule", "key", "items", F.when(F.col("filled").isNotNull(), state).otherwise(fold.idle()).alias("entry"))
+    return begun.select("rule", "key", fold.run(F.col("items"), F.col("entry"), F.col("rule"))["matches"].alias("matches"))
+
+
+def _entries(grouped: DataFrame, rules: list[slices.Rule], parts: int) -> DataFrame:
+    """State that enters each slice (``slices.ENTRY``): effects are composed up a tree, entries handed down it."""
+    of = lambda name: F.transform("items", lambda x: x[name]).alias(name)
+    seen = grouped.select("rule", "key", "part", "slice", of("ts"), of("mask"), of("ends"))
+    blocks = durable(seen.mapInArrow(lambda b: slices.effects(b, rules), slices.EFFECT)).withColumn("block", F.col("part"))
+    levels, wide = [blocks], parts
+    while wide > 1:
+        taken = blocks.groupBy("rule", "key", "block").applyInArrow(lambda k, t: slices.composed(t, rules, k[2].as_py()), slices.EFFECT)
+        blocks = durable(taken).withColumn("block", F.floor(F.col("part") / BLOCKS_PER_STEP).cast("int"))
+        levels.append(blocks)
+        wide = -(-wide // BLOCKS_PER_STEP)
+    # The blocks of the last level are all of a key's rows, which begin idle.
+    entry = grouped.sparkSession.createDataFrame([], slices.ENTRY)
+    for blocks in reversed(levels):
+        entry = durable(blocks.groupBy("rule", "key", "block").cogroup(entry.groupBy("rule", "key", "part")).applyInArrow(
+            lambda t, e: slices.entered(t, e, rules), slices.ENTRY))
+    return entry
+
+
+def _fold_repaired(tagged: DataFrame, hot: DataFrame, fold: Fold, limit: int) -> DataFrame:
+    """Matches of hot keys of a sequence with bound fields: slices folded from a guess, and again where it was wrong."""
     keys, chunk = ["rule", "key"], ["rule", "key", "slice"]
     bins = F.ceil(F.col("n") / limit) * BINS_PER_SLICE
     bin_of = F.floor((F.col("item.ts") - F.col("t0")) * bins / (F.col("t1") - F.col("t0") + 1)).alias("bin")
