@@ -14,7 +14,7 @@ from ..durations import micros
 from ..functions.callstack import UNBACKED
 from ..functions.paths import base, map_device_path, registry_key
 from ..session import durable
-from .asof import asof_join, last_at_or_before, nearest_below_join, pair_latest, range_join
+from .asof import Source, asof_join, last_at_or_before, lookups, nearest_below_join, pair_latest
 
 PROCESS_GRACE = "5s"
 SET_VALUE_TTL = "2m"
@@ -24,6 +24,10 @@ STACK_TTL = "500ms"
 # --- processes -------------------------------------------------------------------------------------
 
 
+def _micro(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def process_uuid(host: Column, pid: Column, start_time: Column) -> Column:
     """Identifier that does not repeat when the system reuses a pid."""
     return F.xxhash64(host, pid, start_time)
@@ -168,19 +172,13 @@ def enrich_file_path(events: DataFrame, opened: DataFrame, closed: DataFrame, ha
     ``opened``: host, file_object, ts, path, type; ``closed``: host, file_object, ts;
     ``handles``: host, file_object, ts, path. Events carry file_key and file_object.
     """
-    def lookup(df: DataFrame, by: str, out: str, states: DataFrame, ends: DataFrame | None, columns: dict[str, str]) -> DataFrame:
-        renamed = states.select("host", F.col("file_object").alias(by), "ts", *[F.col(s).alias(d) for s, d in columns.items()])
-        over = None if ends is None else ends.select("host", F.col("file_object").alias(by), "ts")
-        return asof_join(df, renamed, ["host", by], "ts", list(columns.values()), close=over)
-
-    out = lookup(events, "file_key", "k", opened, closed, {"path": "_kp", "type": "_kt"})
-    out = lookup(out, "file_object", "o", opened, closed, {"path": "_op", "type": "_ot"})
-    paths, drop = [F.col("_kp"), F.col("_op")], ["_kp", "_op", "_kt", "_ot"]
+    keys, at = ["host", "file_object"], _micro("ts")
+    sources = {"file": Source(opened, keys, at, ["path", "type"], ends=closed, ends_at=at)}
     if handles is not None:
-        out = lookup(out, "file_object", "h", handles, None, {"path": "_hp"})
-        paths.append(F.col("_hp"))
-        drop.append("_hp")
-    return out.select(*events.columns, F.coalesce(*paths).alias("file_path"), F.coalesce("_kt", "_ot").alias("file_type"))
+        sources["handle"] = Source(handles, keys, at, ["path"])
+    out = lookups(events, at, {"_key": ["host", "file_key"], "_object": keys}, sources)
+    paths = [F.col(f"{c}.path") for c in ("_key_file", "_object_file", "_object_handle") if c in out.columns]
+    return out.select(*events.columns, F.coalesce(*paths).alias("file_path"), F.coalesce("_key_file.type", "_object_file.type").alias("file_type"))
 
 
 def enrich_registry_path(events: DataFrame, kcbs: DataFrame, freed: DataFrame, handles: DataFrame | None = None,
@@ -279,14 +277,11 @@ def symbolize(frames: DataFrame, modules: DataFrame, exports: DataFrame, parent_
     process (``parent_key``), else the frame is unbacked. The symbol is the
     nearest export at or below the offset in the module.
     """
-    mods = modules.select("proc", F.col("base").alias("module_addr"), "size", F.col("path").alias("module"))
-    out = range_join(frames, mods, ["proc"], "addr", "module_addr", "size", ["module", "module_addr"], slice_width)
-    if parent_key:
-        theirs = mods.select(F.col("proc").alias(parent_key), F.col("module_addr").alias("_pbase"), "size",
-                             F.col("module").alias("_pmod"))
-        out = range_join(out, theirs, [parent_key], "addr", "_pbase", "size", ["_pmod", "_pbase"], slice_width)
-        out = (out.withColumn("module", F.coalesce("module", "_pmod"))
-               .withColumn("module_addr", F.coalesce("module_addr", "_pbase")).drop("_pmod", "_pbase"))
+    mods = modules.select("proc", F.col("base").alias("_base"), "size", F.col("path").alias("_path"))
+    asked = {"_own": ["proc"]} | ({"_parent": [parent_key]} if parent_key else {})
+    out = lookups(frames, F.col("addr"), asked, {"module": Source(mods, ["proc"], F.col("_base"), ["size", "_path"])}, slice_width)
+    holds = [F.when(F.col("addr") < F.col(f"{a}_module._from") + F.col(f"{a}_module.size"), F.col(f"{a}_module")) for a in asked]
+    out = out.withColumn("_m", F.coalesce(*holds)).select(*frames.columns, F.col("_m._path").alias("module"), F.col("_m._from").alias("module_addr"))
     out = out.withColumn("_rva", (F.col("addr") - F.col("module_addr")).cast("bigint"))
     names = exports.select("module", "rva", F.col("symbol").alias("_sym"), F.col("rva").alias("_srva"))
     out = nearest_below_join(out, names, ["module"], "_rva", "rva", ["_sym", "_srva"], slice_width)
@@ -314,15 +309,12 @@ def enrich_ports(events: DataFrame, ports: DataFrame) -> DataFrame:
 
 
 def enrich_names(events: DataFrame, ip_names: DataFrame, ttl: str = "30m") -> DataFrame:
-    """sip_names and dip_names known at event time; ``ip_names``: ip, names, valid_from."""
-    out = events
-    for side in ("sip", "dip"):
-        known = ip_names.select(F.col("ip").alias(side), F.col("valid_from"), F.col("valid_from").alias("_since"),
-                                F.col("names").alias(f"{side}_names"))
-        out = asof_join(out, known, [side], "ts", [f"{side}_names", "_since"], state_ts="valid_from")
-        fresh = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_since").cast("timestamp")) <= micros(ttl)
-        out = out.withColumn(f"{side}_names", F.when(fresh, F.col(f"{side}_names"))).drop("_since")
-    return out
+    """sip_names and dip_names that the event's host knew at event time; ``ip_names``: host, ip, names, valid_from."""
+    at = _micro("ts")
+    known = Source(ip_names, ["host", "ip"], _micro("valid_from"), ["names"])
+    out = lookups(events, at, {"_sip": ["host", "sip"], "_dip": ["host", "dip"]}, {"name": known})
+    fresh = lambda side: F.when(at - F.col(f"_{side}_name._from") <= micros(ttl), F.col(f"_{side}_name.names")).alias(f"{side}_names")
+    return out.select(*events.columns, fresh("sip"), fresh("dip"))
 
 
 def trusted_signature(kind: Column, level: Column) -> Column:
@@ -355,15 +347,15 @@ def match_intel(df: DataFrame, drivers: DataFrame) -> DataFrame:
 
 
 def enrich_file_meta(events: DataFrame, meta: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
-    """File facts by path as of event time, only for successful creating dispositions.
+    """File facts by host and path as of event time, only for successful creating dispositions.
 
-    ``meta``: path, valid_from, is_dll, is_driver, is_exec; ``dropped``: path, ts of overwrite, delete or rename.
+    ``meta``: host, path, valid_from, is_dll, is_driver, is_exec; ``dropped``: host, path, ts of overwrite, delete or rename.
     """
     facts = ["is_dll", "is_driver", "is_exec"]
     keyed = events.withColumn("path", F.lower("file_path"))
     dim = meta.withColumn("path", F.lower("path"))
     gone = None if dropped is None else dropped.withColumn("path", F.lower("path"))
-    found = asof_join(keyed, dim, ["path"], "ts", facts, state_ts="valid_from", close=gone, close_ts="ts")
+    found = asof_join(keyed, dim, ["host", "path"], "ts", facts, state_ts="valid_from", close=gone, close_ts="ts")
     creating = (F.col("name") == "CreateFile") & (F.col("operation") == "CREATE") & (F.coalesce("status", F.lit("Success")) == "Success")
     return found.select(*events.columns, *[F.coalesce(F.when(creating, F.col(f)), F.lit(False)).alias(f) for f in facts])
 

@@ -191,13 +191,13 @@ def j11(spark, sf):
 @query("j12_ip_names", ev_sql("""
 SELECT e.seq, CASE WHEN epoch_us(e.ts) - epoch_us(s.ts) <= 86400000000 THEN s.n END AS sip_names, CASE WHEN epoch_us(e.ts) - epoch_us(d.ts) <= 86400000000 THEN d.n END AS dip_names
 FROM (SELECT *, '10.0.0.' || (seq % 20) AS s, '10.0.0.' || (k % 20) AS d FROM ev WHERE category = 'net') e
- ASOF LEFT JOIN (SELECT '10.0.0.' || (seq % 20) AS ip, ts, image AS n FROM ev WHERE event_type = 'view') s ON e.s = s.ip AND e.ts >= s.ts
- ASOF LEFT JOIN (SELECT '10.0.0.' || (seq % 20) AS ip, ts, image AS n FROM ev WHERE event_type = 'view') d ON e.d = d.ip AND e.ts >= d.ts"""))
+ ASOF LEFT JOIN (SELECT host, '10.0.0.' || (seq % 20) AS ip, ts, image AS n FROM ev WHERE event_type = 'view') s ON e.host = s.host AND e.s = s.ip AND e.ts >= s.ts
+ ASOF LEFT JOIN (SELECT host, '10.0.0.' || (seq % 20) AS ip, ts, image AS n FROM ev WHERE event_type = 'view') d ON e.host = d.host AND e.d = d.ip AND e.ts >= d.ts"""))
 def j12(spark, sf):
     df = telemetry(spark, sf)
-    known = df.where("event_type = 'view'").select(F.concat(F.lit("10.0.0."), (F.col("seq") % 20).cast("string")).alias("ip"), F.col("ts").alias("valid_from"),
+    known = df.where("event_type = 'view'").select("host", F.concat(F.lit("10.0.0."), (F.col("seq") % 20).cast("string")).alias("ip"), F.col("ts").alias("valid_from"),
                                                    F.regexp_extract("path", r"([^\\]*)$", 1).alias("names"))
-    asked = df.where("category = 'net'").select("seq", "ts", F.concat(F.lit("10.0.0."), (F.col("seq") % 20).cast("string")).alias("sip"),
+    asked = df.where("category = 'net'").select("seq", "host", "ts", F.concat(F.lit("10.0.0."), (F.col("seq") % 20).cast("string")).alias("sip"),
                                                 F.concat(F.lit("10.0.0."), (F.col("k") % 20).cast("string")).alias("dip"))
     return enrich.enrich_names(asked, known, ttl="1d").select("seq", "sip_names", "dip_names")
 
@@ -256,15 +256,15 @@ def j16(spark, sf):
 @query("j20_file_metadata", ev_sql("""
 SELECT seq, creating AND (dts IS NULL OR dts < mts) AND coalesce(mk % 2 = 0, false) AS is_dll, creating AND (dts IS NULL OR dts < mts) AND coalesce(mk % 3 = 0, false) AS is_exec FROM (
  SELECT e.seq, e.name = 'CreateFile' AND e.disposition = 'CREATE' AND e.status = 'Success' AS creating, m.k AS mk, m.ts AS mts, d.ts AS dts FROM ev e
- ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') m ON 'f' || (e.pid % 50) = 'f' || (m.pid % 50) AND e.ts >= m.ts
- ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'error') d ON 'f' || (e.pid % 50) = 'f' || (d.pid % 50) AND e.ts > d.ts)"""))
+ ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') m ON e.host = m.host AND 'f' || (e.pid % 50) = 'f' || (m.pid % 50) AND e.ts >= m.ts
+ ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'error') d ON e.host = d.host AND 'f' || (e.pid % 50) = 'f' || (d.pid % 50) AND e.ts > d.ts)"""))
 def j20(spark, sf):
     df = telemetry(spark, sf)
     file = F.concat(F.lit("F"), (F.col("pid") % 50).cast("string"))
-    events = df.select("seq", "ts", "name", file.alias("file_path"), F.col("params")["create_disposition"].alias("operation"), F.col("params")["status"].alias("status"))
-    meta = df.where("event_type = 'view'").select(F.lower(file).alias("path"), F.col("ts").alias("valid_from"), (F.col("k") % 2 == 0).alias("is_dll"),
+    events = df.select("seq", "host", "ts", "name", file.alias("file_path"), F.col("params")["create_disposition"].alias("operation"), F.col("params")["status"].alias("status"))
+    meta = df.where("event_type = 'view'").select("host", F.lower(file).alias("path"), F.col("ts").alias("valid_from"), (F.col("k") % 2 == 0).alias("is_dll"),
                                                   F.lit(False).alias("is_driver"), (F.col("k") % 3 == 0).alias("is_exec"))
-    dropped = df.where("event_type = 'error'").select(file.alias("path"), "ts")
+    dropped = df.where("event_type = 'error'").select("host", file.alias("path"), "ts")
     return enrich.enrich_file_meta(events, meta, dropped).select("seq", "is_dll", "is_exec")
 
 
