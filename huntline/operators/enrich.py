@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..durations import micros
 from ..functions.callstack import UNBACKED
 from ..functions.paths import base, map_device_path, registry_key
 from ..session import durable
 from .asof import Source, asof_join, last_at_or_before, lookups, nearest_below_join, pair_latest
+from .sweep import running_sets
 
 PROCESS_GRACE = "5s"
 SET_VALUE_TTL = "2m"
@@ -128,39 +130,35 @@ def _spread_nulls(key: str) -> Column:
     return F.when(F.col(key).isNull(), F.pmod(F.hash("id"), F.lit(4096)) + 1).otherwise(F.lit(0))
 
 
-def members_asof(events: DataFrame, opens: DataFrame, closes: DataFrame, keys: list[str], member: list[str],
-                 bucket: str | int = "1h") -> DataFrame:
-    """``members``: the collection elements open at event time.
+def members_asof(events: DataFrame, opens: DataFrame, closes: DataFrame, keys: list[str], member: list[str]) -> DataFrame:
+    """``members``: the collection elements open at event time (at one time an open row wins over a close row).
 
-    An open row ends at the next close row of the same member. Interval and
-    event meet in fixed time buckets (equi-join plus exact bounds), so a hot
-    process is spread over its buckets. Members still open at the end of the
-    data extend to the last bucket that has events.
+    A sweep: events and change points are partitioned by ranges of (key, time)
+    and sorted, and each task keeps the running set of the key it is at. What is
+    open where a key goes on into the next range is a snapshot, made from one
+    row for each member a range changes. There are no event-member or
+    interval-bucket rows: the plan holds events, changes and one snapshot for
+    each range. A key may hold any share of the rows.
     """
-    width = micros(bucket)
-    ended = asof_next(opens, closes, [*keys, *member])
-    event_rows = events.select(*keys, F.col("seq").alias("_seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"))
-    event_rows = event_rows.withColumn("_b", F.floor(F.col("_t") / width))
-    horizon = event_rows.agg(F.max("_b")).scalar()
-    spans = (ended.withColumn("_b0", F.floor(F.col("_lo") / width))
-             .withColumn("_b1", F.least(F.coalesce(F.floor(F.col("_hi") / width), horizon), horizon))
-             .where("_b0 <= _b1").withColumn("_b", F.explode(F.sequence("_b0", "_b1"))))
-    open_now = event_rows.join(spans, [*keys, "_b"]).where("_lo <= _t and (_hi is null or _t < _hi)")
-    grouped = open_now.groupBy(*keys, "_seq").agg(F.sort_array(F.collect_set(F.struct(*member))).alias("members"))
-    return events.join(grouped.withColumnRenamed("_seq", "seq"), [*keys, "seq"], "left").withColumn(
-        "members", F.coalesce("members", F.array()))
-
-
-def asof_next(opens: DataFrame, closes: DataFrame, keys: list[str]) -> DataFrame:
-    """Open rows as intervals ``[_lo, _hi)``: ended by the next close or the next open of the same member."""
-    micro = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = (opens.select(*keys, micro("ts").alias("_lo"), F.lit(0).alias("_k"))
-            .unionByName(closes.select(*keys, micro("ts").alias("_lo"), F.lit(1).alias("_k"))))
-    # Time runs backwards so that "next" becomes "latest before", with slices for hot members.
-    back = rows.where("_k = 0").withColumn("_p", -F.col("_lo"))
-    nexts = rows.withColumn("_q", -F.col("_lo") + 1)
-    found = last_at_or_before(back, nexts, keys, F.col("_p"), F.col("_q"), ["_lo"])
-    return found.select(*keys, "_lo", F.col("_st._lo").alias("_hi"))
+    at = _micro("ts")
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    point = lambda df, opened: df.where(known).select(*keys, F.struct(*member).alias("_member"), at.alias("_pos"), F.lit(opened).alias("_open"))
+    changes = point(opens, True).unionByName(point(closes, False)).groupBy(*keys, "_member", "_pos").agg(F.bool_or("_open").alias("_open"))
+    rows = changes.withColumn("_tag", F.lit(0)).unionByName(events.select(*keys, at.alias("_pos"), F.lit(1).alias("_tag"), F.struct(*events.columns).alias("_row")), allowMissingColumns=True)
+    ranges = durable(rows.repartitionByRange(*keys, "_pos", "_tag").withColumn("_part", F.spark_partition_id()))
+
+    net = ranges.where("_tag = 0").groupBy(*keys, "_member", "_part").agg(F.max_by("_open", "_pos").alias("_open"))
+    changed = F.lead("_part").over(Window.partitionBy(*keys, "_member").orderBy("_part"))
+    reach = ranges.groupBy(*keys).agg(F.max("_part").alias("_last"))
+    open_ends = net.withColumn("_next", changed).where("_open").join(reach, keys).withColumn("_to", F.least(F.coalesce("_next", "_last"), "_last")).where("_part < _to")
+    first = F.lit(-(1 << 63)).cast("bigint")
+    snapshots = open_ends.select(*keys, "_member", "_open", first.alias("_pos"), F.lit(0).alias("_tag"), F.explode(F.sequence(F.col("_part") + 1, "_to")).alias("_part"))
+    together = ranges.unionByName(snapshots, allowMissingColumns=True).repartition("_part").sortWithinPartitions("_part", *keys, "_pos", "_tag")
+    kind = T.StructType([together.schema["_row"], T.StructField("members", T.ArrayType(together.schema["_member"].dataType))])
+    swept = together.mapInArrow(lambda batches: running_sets(batches, ["_part", *keys]), kind)
+    return swept.select("_row.*", F.coalesce(F.sort_array("members"), F.array().cast(kind["members"].dataType)).alias("members"))
 
 
 # --- files, registry, stacks -----------------------------------------------------------------------

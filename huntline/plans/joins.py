@@ -221,7 +221,7 @@ def j14(spark, sf):
     df = telemetry(spark, sf).withColumn("member", F.concat(F.lit("m"), (F.col("k") % 4).cast("string")))
     opens, closes = df.where("event_type = 'click'"), df.where("event_type = 'view'")
     events = df.where("event_type = 'purchase'").select("seq", "host", "pid", "ts")
-    out = enrich.members_asof(events, opens, closes, ["host", "pid"], ["member"], bucket="1d")
+    out = enrich.members_asof(events, opens, closes, ["host", "pid"], ["member"])
     return out.select("seq", F.array_join(F.transform("members", lambda m: m["member"]), ",").alias("members"))
 
 
