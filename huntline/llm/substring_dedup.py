@@ -45,6 +45,8 @@ WINDOW = 50
 CELL_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 1 << 17
+#: Greatest accuracy of the quantiles that bound the cells; beyond it cells differ more in size.
+MOST_ACCURATE = 1 << 30
 RESULT = "key long, n_words long, removed array<struct<begin:int,end:int>>, kept string"
 
 
@@ -68,21 +70,23 @@ def unpack(block: bytes) -> np.ndarray:
 def cells(docs: DataFrame, key: str, text: str, cell_bytes: int) -> tuple[DataFrame, int]:
     """(key, text, cell, part), cells in the order of the keys, and the bytes of text in all.
 
-    The driver holds the cell bounds: one number per cell.
+    The driver holds the cell bounds, one number per cell; the sketch they come from is merged by tasks.
     """
-    from pyspark.ml.feature import Bucketizer
-
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     volume = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-volume // cell_bytes))
-    cuts = [int(q) for q in (base.approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else [])]
+    # Quantiles and comparisons stay whole numbers: keys above 2^53 have no doubles of their own.
+    cuts = base.agg(F.percentile_approx("key", [i / n for i in range(1, n)], min(10 * n, MOST_ACCURATE))).first()[0] or [] if n > 1 else []
     parts = {q: cuts.count(q) + 1 for q in set(cuts) if cuts.count(q) > 1} if len(set(cuts)) < len(cuts) else {}
     # Keys that fill several cells get a cell of their own, in parts.
-    bounds = sorted({*cuts, *(q + 1 for q in parts)})
-    dealt = base.withColumn("at", F.lit(0))
-    if bounds:
-        splits = [-float("inf"), *map(float, bounds), float("inf")]
-        dealt = Bucketizer(splits=splits, inputCol="number", outputCol="at").transform(base.withColumn("number", F.coalesce(F.col("key").cast("double"), F.lit(0.0))))
+    bounds = np.array(sorted({*cuts, *(q + 1 for q in parts if q < (1 << 63) - 1)}), np.int64)
+
+    def deal(batches):
+        for batch in batches:
+            at = np.searchsorted(bounds, np.asarray(pc.fill_null(batch.column("key"), 0)), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], ["key", "text", "at"])
+
+    dealt = base.mapInArrow(deal, "key long, text string, at int")
     part = F.lit(0)
     if parts:
         crowded = docs.sparkSession.createDataFrame(list(parts.items()), "crowded long, parts int")

@@ -45,3 +45,13 @@ def test_packing_is_exact():
 def test_empty_table(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").limit(0)
     assert substring_dedup.remove_repeats(docs).count() == 0
+
+
+@pytest.mark.parametrize("place", [lambda i: 2**60 + i, lambda i: 2**60 + i // 20, lambda i: (-1) ** i * (2**63 - 1 - i), lambda i: 2**63 - 1])
+def test_keys_that_no_double_holds(spark, place):
+    """Whole-number keys above 2^53, unique and repeated, that fill many cells."""
+    rows = [(place(i), t) for i, (_, t) in enumerate(corpus(90)[:90])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = substring_dedup.remove_repeats(docs, window=6, cell_bytes=700, bucket_bytes=2000).collect()
+    want = sorted((str(k), *w) for (k, _), w in zip(rows, brute.without_repeats(rows, 6), strict=True))
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in out) == want
