@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.callstack import hex_address
 from ..functions.scalars import strip_markdown
 from ..functions.template import interpolate
+from ..session import durable
+from .enrich import ancestors, enrich_parent, enrich_process, process_ends, process_states
 from .rules import Rule
 
 # Spellings of each severity.
@@ -87,7 +89,9 @@ def alert_verbose(title: Column, text: Column, severity: Column, events: Column,
 
 def alert_json(alerts: DataFrame) -> DataFrame:
     """alert_id and the JSON document of the alert; optional parts are left out when empty."""
-    have = set(alerts.schema["events"].dataType.elementType.names)
+    kinds = alerts.schema["events"].dataType.elementType
+    have = set(kinds.names)
+    inner = set(kinds["ps"].dataType.names) if "ps" in have else set()
 
     def event(e: Column) -> Column:
         parts = [e[c].alias(c) for c in ("name", "category") if c in have]
@@ -98,7 +102,7 @@ def alert_json(alerts: DataFrame) -> DataFrame:
             parts.append(F.transform(F.reverse(e["callstack"]), lambda f: F.concat(
                 hex_address(f["addr"]), F.lit(" "), f["module"], F.lit("!"), f["symbol"])).alias("callstack"))
         if "ps" in have:
-            parts.append(process_json(e["ps"]).alias("proc"))
+            parts.append(process_json(e["ps"], inner).alias("proc"))
         return F.struct(*parts)
 
     document = F.struct(F.col("rule_id").alias("id"), "title", "severity",
@@ -108,12 +112,30 @@ def alert_json(alerts: DataFrame) -> DataFrame:
     return alerts.select("alert_id", F.to_json(document, {"ignoreNullFields": "true"}).alias("json"))
 
 
-def process_json(ps: Column) -> Column:
-    return F.when(ps.isNotNull(), F.struct(
-        *[ps[c].alias(c) for c in ("pid", "ppid", "name", "exe", "cmdline")], ps["parent"]["name"].alias("parent_name"),
-        ps["parent"]["cmdline"].alias("parent_cmdline"),
-        *[ps[c].alias(c) for c in ("cwd", "sid", "username", "domain", "session_id", "integrity_level", "is_wow64",
-                                   "is_packaged", "is_protected", "ancestors")]))
+PROCESS_FACTS = ("cwd", "sid", "username", "domain", "session_id", "integrity_level", "is_wow64", "is_packaged", "is_protected", "ancestors")
+
+
+def process_json(ps: Column, have: set[str] | None = None) -> Column:
+    """Process part of an alert's event; ``have``: fields of ps, if not all of them."""
+    has = lambda c: have is None or c in have
+    parts = [ps[c].alias(c) for c in ("pid", "ppid", "name", "exe", "cmdline") if has(c)]
+    if has("parent"):
+        parts += [ps["parent"]["name"].alias("parent_name"), ps["parent"]["cmdline"].alias("parent_cmdline")]
+    return F.when(ps.isNotNull(), F.struct(*parts, *[ps[c].alias(c) for c in PROCESS_FACTS if has(c)]))
+
+
+def with_process(events: DataFrame) -> DataFrame:
+    """``ps`` of each event: process state at event time, with its parent's state and the names of its ancestors.
+
+    Parents and ancestors are found once for each process start, then carried by
+    the state, so events meet them in one as-of join.
+    """
+    states, ends = process_states(events), process_ends(events)
+    born = durable(enrich_parent(states, ends))
+    chains = ancestors(born.select(F.col("ps.uuid").alias("uuid"), F.col("parent.uuid").alias("parent_uuid"), F.col("ps.name").alias("name")))
+    whole = born.join(chains.withColumnRenamed("uuid", "_u"), F.col("ps.uuid") == F.col("_u"), "left")
+    ps = F.col("ps").withField("parent", F.col("parent")).withField("ancestors", F.coalesce("ancestors", F.array().cast("array<string>")))
+    return enrich_process(events, whole.select("host", "pid", "valid_from", "state_seq", ps.alias("ps")), ends)
 
 
 def unique_pids(alerts: DataFrame) -> DataFrame:

@@ -48,6 +48,48 @@ st AS (SELECT *, list_transform(fs, lambda f: {'addr': f.addr, 'off': f.off, 'sy
     'name': regexp_extract(f.module, '([^\\]*)$', 1)}) AS s FROM fr)"""
 
 
+# All parameters of the adapter's events, as a list of key and value in key order.
+PARAMS = EV + r""",
+evp AS (SELECT *, list_filter([
+    {'k': 'cmdline', 'v': CASE WHEN event_type = 'error' THEN '"' || path || '" -k ' || k END},
+    {'k': 'create_disposition', 'v': CASE WHEN event_type = 'click' THEN disposition END},
+    {'k': 'data', 'v': CASE WHEN event_type = 'signup' THEN 'd' || k END},
+    {'k': 'dip', 'v': CASE WHEN event_type = 'purchase' THEN dip END},
+    {'k': 'dport', 'v': CASE WHEN event_type = 'purchase' THEN CAST(dport AS VARCHAR) END},
+    {'k': 'exe', 'v': CASE WHEN event_type = 'error' THEN path END},
+    {'k': 'file_object', 'v': CASE WHEN category = 'file' THEN CAST(seq % 97 AS VARCHAR) END},
+    {'k': 'file_path', 'v': CASE WHEN category = 'file' THEN path END},
+    {'k': 'io_size', 'v': CASE WHEN event_type = 'view' THEN CAST(k AS VARCHAR) END},
+    {'k': 'k', 'v': CAST(k AS VARCHAR)},
+    {'k': 'key_path', 'v': CASE WHEN event_type = 'signup' THEN key_path END},
+    {'k': 'name', 'v': CASE WHEN event_type = 'error' THEN image END},
+    {'k': 'pid', 'v': CAST(pid AS VARCHAR)},
+    {'k': 'ppid', 'v': CASE WHEN event_type = 'error' THEN CAST(ppid AS VARCHAR) END},
+    {'k': 'real_ppid', 'v': CASE WHEN event_type = 'error' THEN CAST(real_ppid AS VARCHAR) END},
+    {'k': 'sip', 'v': CASE WHEN event_type = 'purchase' THEN sip END},
+    {'k': 'size', 'v': CASE WHEN event_type = 'purchase' THEN CAST(k AS VARCHAR) END},
+    {'k': 'sport', 'v': CASE WHEN event_type = 'purchase' THEN CAST(sport AS VARCHAR) END},
+    {'k': 'status', 'v': status},
+    {'k': 'username', 'v': CASE WHEN event_type = 'error' THEN 'user' || (pid % 9) END},
+    {'k': 'value_type', 'v': CASE WHEN event_type = 'signup' THEN CASE WHEN seq % 3 = 0 THEN 'REG_BINARY' ELSE 'REG_SZ' END END}],
+  lambda e: e.v IS NOT NULL) AS ps FROM ev)"""
+
+
+def params_sql(body: str, ctes: str = "") -> str:
+    """SQL over evp: the adapter's columns and ps, the events' parameters."""
+    return f"WITH {PARAMS.strip()}{', ' + ctes if ctes else ''} {body}"
+
+
+def json_text(value: str) -> str:
+    """SQL of a JSON string."""
+    return f"""'"' || replace(replace({value}, '\\', '\\\\'), '"', '\\"') || '"'"""
+
+
+def json_params(entries: str) -> str:
+    """SQL of the JSON object of a list of parameters."""
+    return f"""'{{' || array_to_string(list_transform({entries}, lambda e: '"' || e.k || '":' || {json_text('e.v')}), ',') || '}}'"""
+
+
 def query(name: str, sql: str | None = None):
     """Register a query, with SQL when it can be expressed."""
     def register(fn: Query) -> Query:

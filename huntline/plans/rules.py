@@ -13,7 +13,7 @@ from ..operators.rules import Rule, Test
 from ..operators.sequences import SequenceSpec, step
 from ..schema import event_catalog
 from ..sources.tables import table, telemetry, wide_telemetry, with_stack
-from .registry import ev_sql, query, st_sql
+from .registry import ev_sql, json_params, json_text, params_sql, query, st_sql
 from .sequences import FOUR, HOUR, TWO, automaton_sql, kind, source, typed
 
 
@@ -124,14 +124,32 @@ def k4(spark, sf):
                                      F.array_join(F.transform("events", lambda e: e["seq"].cast("string")), ",").alias("seqs"))
 
 
-@query("k4_alert_json", _s1_sql(f"""
+# The state of a process as SQL: its last start at or before the event on that host, the parent's at the child's start, and the names of all ancestors.
+_PROC = """started AS (SELECT * FROM evp WHERE name = 'CreateProcess'),
+ linked AS (SELECT c.*, p.seq AS up FROM started c ASOF LEFT JOIN started p ON c.host = p.host AND c.ppid = p.pid AND c.ts >= p.ts),
+ chain AS (SELECT l.seq AS id, p.image AS name, p.up, 1 AS n, [l.seq, p.seq] AS seen FROM linked l JOIN linked p ON l.up = p.seq AND p.seq <> l.seq
+  UNION ALL SELECT c.id, p.image, p.up, c.n + 1, list_append(c.seen, p.seq) FROM chain c JOIN linked p ON c.up = p.seq AND NOT list_contains(c.seen, p.seq)),
+ older AS (SELECT id, string_agg('"' || name || '"', ',' ORDER BY n) AS names FROM chain GROUP BY id),
+ proc AS (SELECT l.*, p.image AS parent_image, p.path AS parent_path, p.k AS parent_k, coalesce(o.names, '') AS ancestors FROM linked l LEFT JOIN linked p ON l.up = p.seq LEFT JOIN older o ON o.id = l.seq),
+ whole AS (SELECT e.seq AS id, e.name AS n, e.category AS c, e.ts AS t, e.ps AS params, e.pid AS own, p.* FROM evp e ASOF LEFT JOIN proc p ON e.host = p.host AND e.pid = p.pid AND e.ts >= p.ts)"""
+
+
+def _event_json(e: str) -> str:
+    cmd = lambda path, k: f"""'"\\"' || replace({path}, '\\', '\\\\') || '\\" -k ' || {k} || '"'"""
+    proc = f"""CASE WHEN {e}.seq IS NULL THEN '{{"pid":' || {e}.own || '}}' ELSE '{{"pid":' || {e}.pid || ',"ppid":' || {e}.ppid || ',"name":"' || {e}.image || '","exe":' || {json_text(e + '.path')}
+ || ',"cmdline":' || {cmd(e + '.path', e + '.k')} || CASE WHEN {e}.parent_image IS NULL THEN '' ELSE ',"parent_name":"' || {e}.parent_image || '","parent_cmdline":' || {cmd(e + '.parent_path', e + '.parent_k')} END
+ || ',"username":"user' || ({e}.pid % 9) || '","ancestors":[' || {e}.ancestors || ']}}' END"""
+    return f"""'{{"name":"' || {e}.n || '","category":"' || {e}.c || '","timestamp":"' || strftime({e}.t, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","params":' || {json_params(e + '.params')} || ',"proc":' || {proc} || '}}'"""
+
+
+@query("k4_alert_json", params_sql(f"""
 SELECT x.seq AS first_seq, '{{"id":"s1","title":"error then purchase","severity":"high","text":"error of ' || x.pid || ' then purchase worth ' || y.k || ', see %3.evt.pid","description":"","labels":{{"tactic.name":"Impact"}},"events":['
- || '{{"name":"CreateProcess","timestamp":"' || strftime(x.ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"}},{{"name":"Connect","timestamp":"' || strftime(y.ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"}}]}}' AS json FROM {_S1_JOIN}"""))
+ || {_event_json('v')} || ',' || {_event_json('w')} || ']}}' AS json FROM {_S1_JOIN} JOIN whole v ON v.id = x.seq JOIN whole w ON w.id = y.seq""", _S1 + ", " + _PROC).replace("WITH ", "WITH RECURSIVE ", 1))
 def k4b(spark, sf):
-    slim = K.match_sequences(telemetry(spark, sf), SEQ_RULES[:1], keep=KEEP)
-    built = A.build_alerts(slim, SEQ_RULES).withColumn("first_seq", F.get("events", F.lit(0))["seq"])
-    built = built.withColumn("events", F.transform("events", lambda e: F.struct(e["name"].alias("name"), e["ts"].alias("ts"))))
-    return A.alert_json(built.withColumn("alert_id", F.col("first_seq"))).select(F.col("alert_id").alias("first_seq"), "json")
+    df = A.with_process(telemetry(spark, sf))
+    built = A.build_alerts(K.match_sequences(df, SEQ_RULES[:1], keep=[*KEEP, "category", "ps"]), SEQ_RULES)
+    built = built.withColumn("alert_id", F.get("events", F.lit(0))["seq"])
+    return A.alert_json(built).select(F.col("alert_id").alias("first_seq"), "json")
 
 
 @query("k4_alert_long_text", _s1_sql(f"""
@@ -286,32 +304,40 @@ def _params(df):
     return params_text(F.col("params"), "snake", "=")
 
 
-def _base(spark, sf):
-    return telemetry(spark, sf).withColumn("params", F.map_filter("params", lambda k, _: k.isin("k", "pid", "status")))
+def _listed(entries: str) -> str:
+    return f"array_to_string(list_transform({entries}, lambda e: e.k || '=' || e.v), ', ')"
+
+
+_REMOVED = "list_filter(ps, lambda e: e.k NOT IN ('pid', 'file_path'))"
+_RENAMED = """list_sort(list_transform(list_filter(ps, lambda e: e.k <> 'pid'),
+ lambda e: {'k': CASE e.k WHEN 'k' THEN 'level' WHEN 'status' THEN 'pid' WHEN 'exe' THEN 'an_exe' ELSE e.k END, 'v': e.v}))"""
+_REPLACED = r"""list_transform(ps, lambda e: {'k': e.k, 'v': CASE e.k WHEN 'k' THEN replace(e.v, '1', 'one')
+ WHEN 'status' THEN replace(replace(e.v, 'Success', 'ok'), 'denied', 'no') WHEN 'file_path' THEN replace(e.v, 'C:\Users\', '%HOME%\') ELSE e.v END})"""
+_TRIMMED = """list_transform(ps, lambda e: {'k': e.k, 'v': CASE WHEN e.k = 'status' THEN CASE WHEN e.v = 'Success' THEN 'cess' ELSE 'Access den' END
+ WHEN e.k IN ('file_path', 'exe') THEN regexp_replace(e.v, '[.]exe$', '') ELSE e.v END})"""
 
 
-@query("r1_remove_params", ev_sql("SELECT seq, 'k=' || k || ', status=' || status AS p FROM ev"))
+@query("r1_remove_params", params_sql(f"SELECT seq, {_listed(_REMOVED)} AS p FROM evp"))
 def r1(spark, sf):
-    df = R.remove_params(_base(spark, sf), ["pid", "absent"])
+    df = R.remove_params(telemetry(spark, sf), ["pid", "file_path", "absent"])
     return df.select("seq", _params(df).alias("p"))
 
 
-@query("r2_rename_params", ev_sql("SELECT seq, 'level=' || k || ', pid=' || status AS p FROM ev"))
+@query("r2_rename_params", params_sql(f"SELECT seq, {_listed(_RENAMED)} AS p FROM evp"))
 def r2(spark, sf):
-    df = R.rename_params(_base(spark, sf), [("k", "level"), ("status", "pid"), ("absent", "x")])
+    df = R.rename_params(telemetry(spark, sf), [("k", "level"), ("status", "pid"), ("exe", "an_exe"), ("absent", "x")])
     return df.select("seq", _params(df).alias("p"))
 
 
-@query("r3_replace_params", ev_sql("SELECT seq, 'k=' || replace(CAST(k AS VARCHAR), '1', 'one') || ', pid=' || pid || ', status=' || replace(replace(status, 'Success', 'ok'), 'denied', 'no') AS p FROM ev"))
+@query("r3_replace_params", params_sql(f"SELECT seq, {_listed(_REPLACED)} AS p FROM evp"))
 def r3(spark, sf):
-    df = R.replace_params(_base(spark, sf), [("k", "1", "one"), ("status", "Success", "ok"), ("status", "denied", "no")])
+    df = R.replace_params(telemetry(spark, sf), [("k", "1", "one"), ("status", "Success", "ok"), ("status", "denied", "no"), ("file_path", "C:\\Users\\", "%HOME%\\")])
     return df.select("seq", _params(df).alias("p"))
 
 
-@query("r4_trim_params", ev_sql("""
-SELECT seq, 'k=' || k || ', pid=' || pid || ', status=' || CASE WHEN status = 'Success' THEN 'cess' ELSE 'Access den' END AS p FROM ev"""))
+@query("r4_trim_params", params_sql(f"SELECT seq, {_listed(_TRIMMED)} AS p FROM evp"))
 def r4(spark, sf):
-    df = R.trim_params(_base(spark, sf), [("status", "Suc")], [("status", "ied"), ("k", "zz")])
+    df = R.trim_params(telemetry(spark, sf), [("status", "Suc")], [("status", "ied"), ("k", "zz"), ("file_path", ".exe"), ("exe", ".exe")])
     return df.select("seq", _params(df).alias("p"))
 
 

@@ -9,7 +9,7 @@ from ..functions.template import target_name
 from ..operators.reports import capture_stats
 from ..sources import capture, events, sinks
 from ..sources.tables import telemetry, wide_telemetry
-from .registry import ev_sql, query, scratch
+from .registry import ev_sql, json_params, params_sql, query, scratch
 
 NTZ = "timestamp_ntz"
 
@@ -56,32 +56,26 @@ def s4(spark, sf):
     return df.where(keep).select("seq", "pid", "k")
 
 
-# Parameters whose text does not need JSON escapes, the same for all events.
-def _plain(spark, sf):
-    df = telemetry(spark, sf)
-    return df.withColumn("params", F.map_filter("params", lambda k, _: k.isin("k", "pid", "status")))
-
-
-_JSON = r"""'{"seq":' || seq || ',"pid":' || pid || ',"tid":' || tid || ',"cpu":' || cpu || ',"name":"' || name || '","category":"' || category
+_JSON = rf"""'{{"seq":' || seq || ',"pid":' || pid || ',"tid":' || tid || ',"cpu":' || cpu || ',"name":"' || name || '","category":"' || category
  || '","description":"' || event_type || ' event","host":"' || host || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')
- || '","params":{"k":"' || k || '","pid":"' || pid || '","status":"' || status || '"},"meta":{"src":"' || event_type || '"}}'"""
+ || '","params":' || {json_params('ps')} || ',"meta":{{"src":"' || event_type || '"}}}}'"""
 
 
-@query("s5_capture_write", ev_sql(f"""
-SELECT category, count(*) AS n, CAST(sum(length({_JSON})) AS BIGINT) AS bytes FROM ev GROUP BY category"""))
+@query("s5_capture_write", params_sql(f"""
+SELECT category, count(*) AS n, CAST(sum(length({_JSON})) AS BIGINT) AS bytes FROM evp GROUP BY category"""))
 def s5(spark, sf):
     path = scratch(spark, "capture")
-    df = _plain(spark, sf)
+    df = telemetry(spark, sf)
     capture.write_capture(df, None, path)
     back = spark.read.parquet(f"{path}/events")
     return back.groupBy("category").agg(F.count("*").alias("n"), F.sum(capture.event_size(back)).alias("bytes"))
 
 
-@query("s5_capture_statistics", ev_sql(f"""
+@query("s5_capture_statistics", params_sql(f"""
 SELECT count(*) AS events, CAST(sum(length({_JSON})) AS BIGINT) AS bytes, count(*) FILTER (name = 'CreateProcess') AS processes,
- CAST(0 AS BIGINT) AS handles FROM ev"""))
+ CAST(0 AS BIGINT) AS handles FROM evp"""))
 def s5b(spark, sf):
-    df = _plain(spark, sf)
+    df = telemetry(spark, sf)
     return capture_stats(df, capture.event_size(df))
 
 
@@ -94,15 +88,15 @@ def s6(spark, sf):
     return capture.replay_capture(spark, path, where=lambda d: F.col("category") == "file").select("seq", "name", "pid")
 
 
-@query("s7_event_json", ev_sql(f"SELECT seq, {_JSON} AS json FROM ev"))
+@query("s7_event_json", params_sql(f"SELECT seq, {_JSON} AS json FROM evp"))
 def s7(spark, sf):
-    return events.to_event_json(_plain(spark, sf)).select("seq", "json")
+    return events.to_event_json(telemetry(spark, sf)).select("seq", "json")
 
 
-@query("s8_batch_json", ev_sql(f"""
-SELECT seq // 250 AS batch_id, '[' || string_agg({_JSON} || chr(10), ',' ORDER BY seq) || ']' AS json FROM ev GROUP BY seq // 250"""))
+@query("s8_batch_json", params_sql(f"""
+SELECT seq // 250 AS batch_id, '[' || string_agg({_JSON} || chr(10), ',' ORDER BY seq) || ']' AS json FROM evp GROUP BY seq // 250"""))
 def s8(spark, sf):
-    return events.to_batch_json(_plain(spark, sf), F.floor(F.col("seq") / 250))
+    return events.to_batch_json(telemetry(spark, sf), F.floor(F.col("seq") / 250))
 
 
 @query("s9_pretty_lines", ev_sql("""
@@ -112,11 +106,12 @@ def s9(spark, sf):
     return events.format_events(telemetry(spark, sf), template).select("seq", "line")
 
 
-@query("s10_params_text", ev_sql("""
-SELECT seq, 'k=' || k || ', pid=' || pid || ', status=' || status AS snake, 'K: ' || k || ', Pid: ' || pid || ', Status: ' || status AS pascal FROM ev"""))
+@query("s10_params_text", params_sql("""
+SELECT seq, array_to_string(list_transform(ps, lambda e: e.k || '=' || e.v), ', ') AS snake,
+ array_to_string(list_transform(ps, lambda e: array_to_string(list_transform(string_split(e.k, '_'), lambda w: upper(w[1]) || w[2:]), '') || ': ' || e.v), ', ') AS pascal FROM evp"""))
 def s10(spark, sf):
     p = F.col("params")
-    return _plain(spark, sf).select("seq", params_text(p, "snake", "=").alias("snake"), params_text(p, "pascal", ": ").alias("pascal"))
+    return telemetry(spark, sf).select("seq", params_text(p, "snake", "=").alias("snake"), params_text(p, "pascal", ": ").alias("pascal"))
 
 
 @query("s10_params_text_full", ev_sql("""
