@@ -108,12 +108,15 @@ def j6(spark, sf):
     return enrich.enrich_registry_path(events, base, freed, handles).select("seq", "key_path")
 
 
-@query("j7_set_value_pairing", ev_sql("""
+SET_VALUE_SQL = """
 SELECT l.seq, CASE WHEN m.seq IS NOT NULL THEN m.right_seq END AS right_seq FROM (SELECT * FROM ev WHERE event_type = 'purchase') l LEFT JOIN (
  SELECT right_seq, min_by(seq, (ts, seq)) AS seq FROM (
   SELECT l.seq, l.ts, r.seq AS right_seq, l.pid % 2 = 0 OR r.seq % 2 = l.seq % 2 AS same, epoch_us(l.ts) - epoch_us(r.ts) <= 28800000000 AS fresh
   FROM (SELECT * FROM ev WHERE event_type = 'purchase') l ASOF JOIN (SELECT * FROM ev WHERE event_type = 'signup') r ON l.host = r.host AND l.pid = r.pid AND l.ts >= r.ts
-  WHERE l.seq % 2 = r.seq % 2) WHERE fresh GROUP BY right_seq) m ON l.seq = m.seq"""))
+  WHERE l.seq % 2 = r.seq % 2) WHERE fresh GROUP BY right_seq) m ON l.seq = m.seq"""
+
+
+@query("j7_set_value_pairing", ev_sql(SET_VALUE_SQL))
 def j7(spark, sf):
     df = telemetry(spark, sf)
     parity = (F.col("seq") % 2).alias("value_name")

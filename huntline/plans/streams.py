@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators.transforms import transform_events
 from ..sources.sinks import file_writer, sink, transforming
 from ..streaming.asof import asof_stream
-from ..streaming.joins import pair_callstack_stream, windowed_counts
+from ..streaming.joins import pair_callstack_stream, pair_set_value_stream, windowed_counts
 from ..streaming.run import END_SEQ, WHOLE_TABLE, drain, event_stream
 from ..streaming.sequence import sequence_stream
+from .joins import SET_VALUE_SQL
 from .registry import ev_sql, query, scratch
 from .sequences import HOUR, TWO, sequence_sql, seqs, source, typed
 
@@ -55,8 +56,8 @@ def q13(spark, sf):
 def q14(spark, sf):
     late = F.expr("make_dt_interval(0, 0, 0, CAST(pmod(seq, 5) AS DECIMAL(18,6)) * 0.2)")
     end = scratch(spark, "end")
-    events = event_stream(spark, sf, end=end).select("seq", "ts", F.col("seq").alias("stack_id"))
-    walks = event_stream(spark, sf, end=end).select(F.col("seq").alias("stack_id"), (F.col("ts") + late).alias("ts"),
+    events = event_stream(spark, sf, end=end).select("seq", "host", "ts", F.col("seq").alias("stack_id"))
+    walks = event_stream(spark, sf, end=end).select("host", F.col("seq").alias("stack_id"), (F.col("ts") + late).alias("ts"),
                                                     F.concat(F.lit("stack"), F.col("seq").cast("string")).alias("callstack"))
     out = drain(pair_callstack_stream(events, walks, delay=WHOLE_TABLE), scratch(spark, "stacks"), source=sf, end=end)
     return out.where(F.col("seq") != END_SEQ).select("seq", F.col("callstack").alias("stack"))
@@ -84,3 +85,17 @@ def j1_stream(spark, sf):
     starts = event_stream(spark, sf, end=end).where("name = 'CreateProcess'").select("host", "pid", "seq", "ts", F.col("k").alias("started_k"))
     out = drain(asof_stream(events, starts, ["host", "pid"], ["started_k"], "6h", watermark=WHOLE_TABLE), scratch(spark, "process"), source=sf, end=end)
     return out.where(F.col("seq") != END_SEQ).select("seq", "started_k")
+
+
+@query("j7_set_value_stream", ev_sql(SET_VALUE_SQL))
+def j7_stream(spark, sf):
+    """Internal writes pair one to one with value writes of the same process on a stream, eight hours to live."""
+    end = scratch(spark, "end")
+    df = event_stream(spark, sf, end=end)
+    parity = F.pmod("seq", F.lit(2)).alias("value_name")
+    # The marker that ends the stream stands among the writes, so that it moves the watermark.
+    left = df.where(F.col("event_type").isin("purchase") | (F.col("seq") == END_SEQ)).select("seq", "host", "pid", "ts", parity)
+    right = event_stream(spark, sf, end=end).where((F.col("event_type") == "signup") | (F.col("seq") == END_SEQ)).select(
+        "seq", "host", "pid", "ts", parity, F.lit("REG_SZ").alias("value_type"), F.col("seq").cast("string").alias("data"))
+    out = drain(pair_set_value_stream(left, right, ttl="8h", delay=WHOLE_TABLE), scratch(spark, "values"), source=sf, end=end)
+    return out.where(F.col("seq") != END_SEQ).select("seq", F.col("data").cast("long").alias("right_seq"))

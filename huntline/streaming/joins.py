@@ -1,30 +1,25 @@
-"""Stream-stream pairings: bounded by watermarks, unmatched rows are released when the bound has passed."""
+"""Pairings and windows on streams, bounded by watermarks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pairing import pair_stream
 
-def pair_callstack_stream(events: DataFrame, walks: DataFrame, within: str = "500 milliseconds", delay: str = "1 second") -> DataFrame:
-    """Events with the stack of the same mark in either arrival order; without a stack once the bound is over."""
-    left = events.withWatermark("ts", delay)
-    right = walks.select(F.col("stack_id").alias("_id"), F.col("ts").alias("_wts"), "callstack").withWatermark("_wts", delay)
-    near = (F.col("_wts") >= F.col("ts") - F.expr(f"INTERVAL {within}")) & (F.col("_wts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
-    return left.join(right, (F.col("stack_id") == F.col("_id")) & near, "leftOuter").drop("_id", "_wts")
 
+def pair_callstack_stream(events: DataFrame, walks: DataFrame, within: str = "500ms", delay: str = "1 second") -> DataFrame:
+    """Events with the stack of their host's walk of the same mark, in either arrival order; without a stack once the bound is over.
 
-def pair_set_value_stream(events: DataFrame, internal: DataFrame, ttl: str = "2 minutes", delay: str = "10 seconds") -> DataFrame:
-    """Candidate pairs of value writes and internal writes of the same process and value name within the TTL.
-
-    One-to-one choice among candidates happens downstream, by event, on bounded micro-batches.
+    One walk per event and one event per walk: each takes the oldest that waits
+    on the other side, as in batch.
     """
-    left = events.withWatermark("ts", delay)
-    right = internal.select(F.col("host").alias("_h"), F.col("pid").alias("_p"), F.col("value_name").alias("_n"), F.col("ts").alias("_its"),
-                            "value_type", "data").withWatermark("_its", delay)
-    same = (F.col("host") == F.col("_h")) & (F.col("pid") == F.col("_p")) & (F.col("value_name") == F.col("_n"))
-    fresh = (F.col("_its") <= F.col("ts")) & (F.col("_its") >= F.col("ts") - F.expr(f"INTERVAL {ttl}"))
-    return left.join(right, same & fresh, "leftOuter").drop("_h", "_p", "_n")
+    return pair_stream(events, walks, ["host", "stack_id"], ["callstack"], within, newest=False, watermark=delay)
+
+
+def pair_set_value_stream(events: DataFrame, internal: DataFrame, ttl: str = "2m", delay: str = "10 seconds") -> DataFrame:
+    """Value writes with the newest internal write of the same host and process before them, if fresh, of the same name and not used yet."""
+    return pair_stream(events, internal, ["host", "pid"], ["value_type", "data"], ttl, newest=True, same="value_name", watermark=delay)
 
 
 def windowed_counts(events: DataFrame, key: str, every: str, delay: str = "1 minute") -> DataFrame:

@@ -175,29 +175,60 @@ def test_stream_sequences_equal_batch(spark, small, split_folder, tmp_path):
 
 
 def test_stream_set_value_pairs(spark, small, split_folder, tmp_path):
-    df = stream_of(spark, split_folder, small)
-    writes = df.where("event_type = 'purchase'").select("seq", "host", "pid", "ts", (F.col("seq") % 2).alias("value_name"))
-    internal = df.where("event_type = 'signup'").select("host", "pid", "ts", (F.col("seq") % 2).alias("value_name"), F.lit("REG_SZ").alias("value_type"),
-                                                        F.col("seq").cast("string").alias("data"))
-    out = drain(pair_set_value_stream(writes, internal, ttl="8 hours", delay="0 seconds"), str(tmp_path / "p"))
-    pairs = {(r.seq, int(r.data)) for r in out.collect() if r.data is not None}
-    batch = telemetry(spark, small)
-    a = batch.where("event_type = 'purchase'").select("seq", "host", "pid", "ts").toPandas()
-    b = batch.where("event_type = 'signup'").select("seq", "host", "pid", "ts").toPandas()
-    both = a.merge(b, on=["host", "pid"], suffixes=("", "_b"))
-    near = both[(both.ts_b <= both.ts) & (both.ts - both.ts_b <= pd.Timedelta(hours=8)) & (both.seq % 2 == both.seq_b % 2)]
-    assert pairs and pairs == set(zip(near.seq, near.seq_b))
+    """Over time-ordered files with a bounded watermark: the pairs of the batch operator, each internal write used once."""
+    def sides(df):
+        writes = df.where("event_type = 'purchase'").select("seq", "host", "pid", "ts", (F.col("seq") % 2).alias("value_name"))
+        internal = df.where("event_type = 'signup'").select("seq", "host", "pid", "ts", (F.col("seq") % 2).alias("value_name"), F.lit("REG_SZ").alias("value_type"),
+                                                            F.col("seq").cast("string").alias("data"))
+        return writes, internal
+    out = drain(pair_set_value_stream(*sides(stream_of(spark, split_folder, small)), ttl="8h", delay="1 minute"), str(tmp_path / "p"))
+    got = {r.seq: r.data for r in out.collect()}
+    want = {r.seq: r.data for r in pair_latest(*sides(telemetry(spark, small)), ["host", "pid"], "ts", "8h", ["data"], same=["value_name"]).collect()}
+    assert any(got.values()) and len(got) > 0.9 * len(want)  # the last writes wait for the watermark
+    assert all(want[s] == d for s, d in got.items())
+    assert len([d for d in got.values() if d]) == len({d for d in got.values() if d})
+
+
+def test_stream_pairing_keeps_hosts_apart_and_uses_marks_once(spark, tmp_path):
+    at = lambda ms: START + timedelta(milliseconds=ms)
+    events = [("a", 1, at(0), 7), ("a", 2, at(100), 7), ("b", 3, at(0), 7), ("b", 4, at(60_000), 7), ("c", 5, at(0), None), ("d", 6, at(0), 7), ("late", 9, at(600_000), 8)]
+    walks = [("a", at(10), 7, "s1"), ("a", at(20), 7, "s2"), ("a", at(30), 7, "s3"), ("b", at(59_800), 7, "b2"), ("d", at(501), 7, "too late"), ("late", at(600_000), 8, "x")]
+    e, w = str(tmp_path / "e"), str(tmp_path / "w")
+    spark.createDataFrame(events, "host string, seq long, ts timestamp, stack_id long").write.parquet(e)
+    spark.createDataFrame(walks, "host string, ts timestamp, stack_id long, callstack string").write.parquet(w)
+    stream = lambda path: spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    out = drain(pair_callstack_stream(stream(e), stream(w), delay="1 second"), str(tmp_path / "o"))
+    assert {(r.host, r.seq, r.callstack) for r in out.collect()} >= {("a", 1, "s1"), ("a", 2, "s2"), ("b", 3, None), ("b", 4, "b2"), ("c", 5, None), ("d", 6, None)}
+    assert out.where("seq < 9").count() == 6
 
 
 def test_stream_pairing_releases_unmatched(spark, small, split_folder, tmp_path):
     df = stream_of(spark, split_folder, small)
-    events = df.select("seq", "ts", F.col("seq").alias("stack_id"))
-    walks = df.where("seq % 2 = 0").select(F.col("seq").alias("stack_id"), "ts", F.lit("st").alias("callstack"))
+    events = df.select("seq", "host", "ts", F.col("seq").alias("stack_id"))
+    walks = df.where("seq % 2 = 0").select("host", F.col("seq").alias("stack_id"), "ts", F.lit("st").alias("callstack"))
     out = drain(pair_callstack_stream(events, walks, delay="0 seconds"), str(tmp_path / "c"))
     seen = {r.seq: r.callstack for r in out.collect()}
     assert len(seen) >= 990 and all((s == "st") == (i % 2 == 0) for i, s in seen.items())
 
 
+def test_stream_pairs_one_by_one_like_the_batch():
+    """Any split of rows into timer calls gives what one call gives."""
+    from huntline.streaming.pairing import LEFT, RIGHT, meet_newest, meet_oldest
+    rnd = random.Random(6)
+    for _ in range(200):
+        rows_ = sorted((rnd.randrange(60), rnd.choice([LEFT, RIGHT]), i, str(i % 2), f"p{i}") for i in range(30))
+        for meet in (meet_newest, meet_oldest):
+            whole = meet([], rows_, 9)
+            waiting, out = [], []
+            cut = sorted(rnd.randrange(31) for _ in range(4))
+            for a, b in zip([0, *cut], [*cut, 30]):
+                waiting, more = meet(waiting, rows_[a:b], 9)
+                out += more
+            assert (waiting, out) == whole
+            used = [f for _, f in out if f]
+            assert len(used) == len(set(used))
+
+
 def test_capture_round_trip(spark, small, tmp_path):
     path = str(tmp_path / "cap")
     df = telemetry(spark, small)
