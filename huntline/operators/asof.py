@@ -105,7 +105,7 @@ def _hot_keys(together: DataFrame, keys: list[str], limit: int) -> DataFrame | N
     counted = together.where(_present(keys)).groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("_pos").alias("_a"), F.max("_pos").alias("_b")).where(F.col("_n") > limit)
     pieces = F.ceil(F.col("_n") / limit)
-    hot = durable(counted.select(*keys, F.greatest(F.floor((F.col("_b") - F.col("_a")) / pieces), F.lit(1)).alias("_w")))
+    hot = durable(counted.select(*keys, F.greatest((F.col("_b").cast("double") - F.col("_a").cast("double")) / pieces, F.lit(1.0)).alias("_w")))
     found = hot.count()
     if found == 0:
         return None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.paths import map_device_path
-from ..operators import asof, enrich
+from ..operators import asof, enrich, networks
 from ..operators.reports import merge_sources
 from ..sources.tables import table, telemetry, wide_telemetry
 from .registry import ev_sql, query
@@ -296,3 +296,22 @@ def u1(spark, sf):
     events = telemetry(spark, sf).select(F.col("seq").alias("id"), F.col("event_type").alias("kind"))
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("kind"), F.col("o_totalprice").alias("price"))
     return merge_sources(events, orders)
+
+
+_NETS = """nets AS (SELECT min(o_orderkey) AS name, n, p FROM (SELECT o_orderkey, 24 - o_orderkey % 17 AS p, 167772160 + o_orderkey * 104729 % 262144 AS a,
+  (167772160 + o_orderkey * 104729 % 262144) // (1 << (32 - (24 - o_orderkey % 17))) AS n FROM orders) GROUP BY n, p)"""
+
+
+@query("x1_cidr_table", ev_sql("""
+SELECT e.seq, m.name FROM (SELECT seq, 167772160 + (pid % 4) * 65536 + seq // 250 % 250 * 256 + seq % 250 AS a FROM ev WHERE event_type = 'purchase') e LEFT JOIN (
+ SELECT seq, arg_max(name, p) AS name FROM (
+  SELECT x.seq, nets.name, nets.p FROM (SELECT seq, 167772160 + (pid % 4) * 65536 + seq // 250 % 250 * 256 + seq % 250 AS a FROM ev WHERE event_type = 'purchase') x
+  CROSS JOIN (SELECT DISTINCT p FROM nets) l JOIN nets ON nets.p = l.p AND nets.n = x.a // (1 << (32 - l.p))) GROUP BY seq) m ON e.seq = m.seq""", _NETS))
+def x1_table(spark, sf):
+    """The network of each address out of a table of overlapping networks, one for each order."""
+    key = F.col("o_orderkey")
+    at = F.lit(167772160) + key * 104729 % 262144
+    text = F.concat_ws(".", *[(F.floor(at / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0)])
+    nets = table(spark, sf, "orders").select(F.concat(text, F.lit("/"), (24 - key % 17).cast("string")).alias("network"), key.alias("name"))
+    df = telemetry(spark, sf).where("event_type = 'purchase'").select("seq", F.col("params")["dip"].alias("dip"))
+    return networks.match_networks(df, "dip", nets).select("seq", F.col("network_name").alias("name"))
