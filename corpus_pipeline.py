@@ -2,6 +2,17 @@
 
 Every stage but the last returns the columns of documents, so stages can be
 written, read again and run on their own.
+
+Defined results, by stage: a null, empty or blank text fails the quality rules
+and is gone after the first stage; run on its own, near-duplicates treats such
+texts as equal texts (one stays), decontamination keeps them, mixing gives them
+no copies (they have no words), sharding places them like any other row. Rows
+with one key are rows of their own for quality, decontamination, mixing and
+sharding; repeated texts are near-duplicates of each other, of which one row
+stays. A null key or source is a value like any other. Very long texts are
+worked on whole. An empty table gives an empty result. Extra columns stay as
+they are, whatever their names; the last stage adds shard and slot, and leaves out
+earlier columns named shard, slot or bucket.
 """
 
 from __future__ import annotations
