@@ -218,6 +218,13 @@ def intersects(arr: Column, values) -> Column:
     return true_or_false(F.size(F.array_except(rhs, arr)) == 0)
 
 
+def common(arr: Column, values, fold: bool = False) -> Column:
+    """The array's members that are among the values, each once, sorted; ``fold`` takes no notice of case."""
+    wanted = [v.lower() for v in values] if fold else list(values)
+    hits = F.filter(F.coalesce(arr, F.array().cast("array<string>")), lambda x: (F.lower(x) if fold else x).isin(wanted))
+    return F.sort_array(F.array_distinct(hits))
+
+
 def iintersects(arr: Column, values) -> Column:
     return intersects(F.transform(arr, F.lower), [v.lower() for v in as_list(values)])
 

@@ -56,6 +56,11 @@ def top(df: DataFrame, by: str, n: int, ties: list[str] = ()) -> DataFrame:
     return df.orderBy(F.desc(by), *ties).limit(n)
 
 
+def sort_rows(df: DataFrame, by: list[str], descending: bool = False) -> DataFrame:
+    """All rows in order of some columns (missing values last): a sort over ranges, for reports that are shown whole."""
+    return df.orderBy(*[F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in by])
+
+
 def sort_events(col: Column) -> Column:
     """Events of a match in time order."""
     return F.sort_array(col)

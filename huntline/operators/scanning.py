@@ -9,7 +9,7 @@ from ..functions import callstack as cs
 from ..functions.fields import field
 from ..functions.logic import and_, or_, true_or_false
 from ..functions.paths import ext
-from ..functions.predicates import excluded
+from ..functions.predicates import excluded, matches
 from .alerts import severity_from_score
 
 # Page and view protections that make a region worth scanning.
@@ -76,3 +76,8 @@ def scan_content(files: DataFrame, signatures: list[dict], content: str = "conte
         lambda h: h.isNotNull())
     return (files.select(*keep, F.explode(hits).alias("h"))
             .select(*keep, "h.signature", severity_from_score(F.col("h.score")).alias("severity")))
+
+
+def glob(listing: DataFrame, pattern: str, path: str = "path") -> DataFrame:
+    """Paths of a file listing that a wildcard pattern (``*``, ``?``) matches, each once."""
+    return listing.where(matches(F.col(path), pattern)).select(path).distinct()

@@ -112,6 +112,23 @@ class SequenceSpec:
         return any(s.bound is not None for s in self.steps)
 
 
+def sequence_problems(specs: DataFrame) -> DataFrame:
+    """``problem``: why a row is no valid sequence, NULL if it is one; the checks of SequenceSpec for definitions in a table.
+
+    ``steps``: number of steps, ``keyed_steps``: how many have a key of their
+    own, ``has_key``: whether the sequence has one, ``span_us``: maxspan or NULL,
+    ``used``/``known``: aliases that bound steps refer to, and those of earlier steps.
+    """
+    unknown = F.size(F.array_except("used", "known")) > 0
+    problem = (F.when(F.col("steps") < 2, "a sequence needs at least two steps")
+               .when(F.col("steps") > MAX_STEPS, f"at most {MAX_STEPS} steps are allowed")
+               .when(F.coalesce(F.col("span_us"), F.lit(MAX_SPAN)) > MAX_SPAN, "maxspan is above the 4h limit")
+               .when((F.col("keyed_steps") > 0) & (F.col("keyed_steps") < F.col("steps")), "either all steps have a key or none")
+               .when((F.col("keyed_steps") > 0) & F.col("has_key"), "a sequence key and step keys exclude each other")
+               .when(F.coalesce(unknown, F.lit(False)), "reference to an unknown alias"))
+    return specs.withColumn("problem", problem)
+
+
 # --- tagging ---------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.predicates import common
 from ..operators import reports as R
 from ..schema import EVENT_NAMES
 from ..sources.tables import table, telemetry, wide_telemetry
@@ -57,7 +58,7 @@ def w1(spark, sf):
 
 @query("t1_sort", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL ORDER BY n DESC")
 def t1(spark, sf):
-    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+    return R.sort_rows(table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")), ["n"], descending=True)
 
 
 @query("t2_top_rows", ev_sql("SELECT pid, count(*) AS n FROM ev GROUP BY pid ORDER BY n DESC, pid LIMIT 10"))
@@ -72,8 +73,8 @@ def t6(spark, sf):
 
 @query("u3_array_intersection", "SELECT p_partkey, array_to_string(list_sort(list_intersect(string_split(p_name, ' '), ['red', 'ring', 'bolt'])), ',') AS common FROM part")
 def u3(spark, sf):
-    hit = F.array_intersect(F.split("p_name", " "), F.array(F.lit("red"), F.lit("ring"), F.lit("bolt")))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.sort_array(hit), ",").alias("common"))
+    hit = common(F.split("p_name", " "), ["red", "ring", "bolt"])
+    return table(spark, sf, "part").select("p_partkey", F.array_join(hit, ",").alias("common"))
 
 
 @query("m1_report", ev_sql("""

@@ -257,9 +257,8 @@ def x23(spark, sf):
 
 @query("x24_glob", ev_sql("SELECT DISTINCT path FROM ev WHERE path LIKE 'C:%click\\__.exe' ESCAPE '\\'".replace("\\\\", "\\")))
 def x24(spark, sf):
-    from ..functions.predicates import matches
-    listing = telemetry(spark, sf).select("path").distinct()
-    return listing.where(matches(F.col("path"), "C:*click_?.exe"))
+    from ..operators.scanning import glob
+    return glob(telemetry(spark, sf), "C:*click_?.exe")
 
 
 @query("x22_get_reg_value", ev_sql("""

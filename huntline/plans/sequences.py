@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sequences as S
 from ..operators.reports import partial_breaches, dedup_partials, sort_events
-from ..operators.sequences import SequenceSpec, sequence_match, step
+from ..operators.sequences import SequenceSpec, sequence_match, sequence_problems, step
 from ..sources.tables import table, telemetry
 from .registry import ev_sql, query
 
@@ -221,3 +221,18 @@ def t4(spark, sf):
 def t5(spark, sf):
     # Slots above the bound are reported; their events stay.
     return partial_breaches(telemetry(spark, sf).withColumn("slot", F.col("seq") % 2), ["host", "slot"], 100)
+
+
+@query("q16_spec_validation", """
+SELECT p_partkey, CASE WHEN n < 2 THEN 'a sequence needs at least two steps' WHEN n > 5 THEN 'at most 5 steps are allowed' WHEN h > 4 THEN 'maxspan is above the 4h limit'
+ WHEN keyed > 0 AND keyed < n THEN 'either all steps have a key or none' WHEN keyed > 0 AND p_size % 2 = 0 THEN 'a sequence key and step keys exclude each other'
+ WHEN p_partkey % 5 > p_partkey % 3 THEN 'reference to an unknown alias' END AS problem
+FROM (SELECT *, p_size % 7 AS n, nullif(p_partkey % 6, 0) AS h, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE p_size % 7 - (p_partkey // 2) % 2 END AS keyed FROM part)""")
+def q16(spark, sf):
+    """Definitions of sequences in a table, each with the first reason why it is not valid."""
+    n, at = F.col("p_size") % 7, F.col("p_partkey")
+    names = lambda c: F.slice(F.array(*[F.lit(f"e{i}") for i in range(1, 6)]), 1, c.cast("int"))
+    specs = table(spark, sf, "part").select(
+        at, n.alias("steps"), (F.nullif(at % 6, F.lit(0)) * HOUR).alias("span_us"), F.when(at % 2 == 0, F.lit(0)).otherwise(n - F.floor(at / 2) % 2).alias("keyed_steps"),
+        (F.col("p_size") % 2 == 0).alias("has_key"), names(at % 5).alias("used"), names(at % 3).alias("known"))
+    return sequence_problems(specs).select("p_partkey", "problem")
