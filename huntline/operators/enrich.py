@@ -16,7 +16,7 @@ from ..functions.callstack import UNBACKED
 from ..functions.paths import base, map_device_path, registry_key
 from ..session import durable
 from .asof import Source, asof_join, last_at_or_before, lookups, nearest_below_join, pair_latest
-from .sweep import running_sets
+from .sweep import pairs_in_order, running_sets
 
 PROCESS_GRACE = "5s"
 SET_VALUE_TTL = "2m"
@@ -222,40 +222,18 @@ def pair_callstack(events: DataFrame, walks: DataFrame, surrogates: bool = False
 
     In time order, each row takes the oldest waiting row of the other side that
     is within the bound; stale walks and events without one do not shift others.
+    Rows stream by in sorted order; only those within the bound are held.
 
     With ``surrogates`` a process start that got no stack takes the one of the
     latest remote thread creation into its parent (``real_ppid``).
     """
-    limit = F.lit(micros(within))
-    # Rows of a host and mark that stand further apart than the bound cannot pair, nor can rows on both sides of such a gap.
     e = events.where("host is not null and stack_id is not null").select(
         "host", "stack_id", F.unix_micros("ts").alias("_t"), F.col("seq").alias("_seq"), F.struct(*events.columns).alias("_event"), F.lit(None).cast("string").alias("_stack"))
     w = walks.where("host is not null and stack_id is not null").select("host", "stack_id", F.unix_micros("ts").alias("_t"), F.col("callstack").alias("_stack"))
-    by_time = Window.partitionBy("host", "stack_id").orderBy("_t", "_seq", "_stack")
-    rows = e.unionByName(w, allowMissingColumns=True).withColumn("_turn", F.row_number().over(by_time))
-    rows = rows.withColumn("_gap", F.coalesce((F.col("_t") - F.lag("_t").over(by_time) > limit).cast("int"), F.lit(0)))
-    rows = rows.withColumn("_run", F.sum("_gap").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.groupBy("host", "stack_id", "_run").agg(F.collect_list(F.struct("_turn", "_t", "_event", "_stack")).alias("_rows"))
-    runs = runs.withColumn("_rows", F.array_sort("_rows", lambda x, y: x["_turn"] - y["_turn"]))
-    one = "struct<_turn:int,_t:bigint,_event:" + e.schema["_event"].dataType.simpleString() + ",_stack:string>"
-    pairs = f"array<struct<event:{e.schema['_event'].dataType.simpleString()},callstack:string>>"
-    pair = lambda x, stack: F.struct(x["_event"].alias("event"), stack.alias("callstack"))
-    none = F.lit(None).cast("string")
-    alone = lambda xs: F.transform(F.filter(xs, lambda x: x["_event"].isNotNull()), lambda x: pair(x, none))
-
-    def meet(state, row):
-        """The oldest waiting row of the other side that is still within the bound is taken; what waits is of one side."""
-        fresh = F.filter(state["wait"], lambda x: row["_t"] - x["_t"] <= limit)
-        late = alone(F.filter(state["wait"], lambda x: row["_t"] - x["_t"] > limit))
-        head = F.get(fresh, F.lit(0))
-        meets = (F.size(fresh) > 0) & (head["_event"].isNull() != row["_event"].isNull())
-        both = F.when(row["_event"].isNull(), pair(head, row["_stack"])).otherwise(pair(row, head["_stack"]))
-        return F.struct(F.when(meets, F.slice(fresh, 2, F.greatest(F.size(fresh) - 1, F.lit(0)))).otherwise(F.concat(fresh, F.array(row))).cast(f"array<{one}>").alias("wait"),
-                        F.concat(state["out"], late, F.when(meets, F.array(both)).otherwise(F.array().cast(pairs))).cast(pairs).alias("out"))
-
-    start = F.struct(F.array().cast(f"array<{one}>").alias("wait"), F.array().cast(pairs).alias("out"))
-    ended = runs.select(F.explode(F.aggregate("_rows", start, meet, lambda s: F.concat(s["out"], alone(s["wait"])))).alias("_pair"))
-    found = ended.select("_pair.event.*", "_pair.callstack")
+    rows = e.unionByName(w, allowMissingColumns=True).repartition("host", "stack_id").sortWithinPartitions("host", "stack_id", "_t", "_seq", "_stack")
+    kind = T.StructType([e.schema["_event"], T.StructField("callstack", T.StringType())])
+    bound = micros(within)
+    found = rows.mapInArrow(lambda batches: pairs_in_order(batches, ["host", "stack_id"], bound), kind).select("_event.*", "callstack")
     out = found.unionByName(events.where("host is null or stack_id is null"), allowMissingColumns=True)
     if not surrogates:
         return out
