@@ -13,10 +13,12 @@ bounded size, ranges of its rows in order. Each slice is first summed up as a
 function of the state that enters it; a tree of compositions gives every slice
 its true entry (see ``slices``), and then each is folded once. Rounds grow with
 the logarithm of the number of slices, whatever states run through them.
-Sequences with bound fields keep lists in their state, which has no such sum:
-their slices are folded from a guessed (idle) state, and those whose entry
-turns out different are folded again until nothing changes. Either way the
-result is the same as folding the key in one go.
+Steps that ask for equal values (``same``) hold pending events by value (see
+``bound``): rows stream by in order, in parts cut wherever a key pauses for
+longer than the lifetime. Other conditions on earlier events keep lists in the
+state, which have no such sum: their slices are folded from a guessed (idle)
+state, and those whose entry turns out different are folded again until nothing
+changes. Either way the result is the same as folding the key in one go.
 """
 
 from __future__ import annotations
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..durations import micros
-from ..functions.logic import keep_where, true_or_false
+from ..functions.logic import and_, keep_where, true_or_false
 from ..session import durable
-from . import slices
+from . import bound, slices
 
 MAX_SPAN = micros("4h")
 MAX_STEPS = 5
@@ -51,17 +53,31 @@ Bound = Callable[[Column, dict[str, Column]], Column]
 
 @dataclass(frozen=True)
 class Step:
-    """One step: ``pred`` over the event, optionally ``bound`` over (event, earlier aliased events)."""
+    """One step: ``pred`` over the event, optionally ``bound`` over (event, earlier aliased events).
+
+    ``same`` pairs fields of the event with fields of one earlier aliased event that must be equal.
+    """
 
     pred: Predicate
     by: tuple[str, ...] | None = None
     alias: str | None = None
     bound: Bound | None = None
     uses: tuple[str, ...] = ()
+    same: tuple[tuple[str, str], ...] = ()
 
 
-def step(pred: Predicate, by=None, alias: str | None = None, bound: Bound | None = None, uses=()) -> Step:
-    return Step(pred, _names(by), alias, bound, tuple(uses))
+def step(pred: Predicate, by=None, alias: str | None = None, bound: Bound | None = None, uses=(), same: dict[str, str] | None = None) -> Step:
+    """A step; ``same={"path": "e1.path"}`` asks for an event of step ``e1`` with an equal path (missing values equal nothing)."""
+    if not same:
+        return Step(pred, _names(by), alias, bound, tuple(uses))
+    if bound is not None or uses:
+        raise ValueError("a step asks for equal values or has a condition of its own, not both")
+    aliases = {there.split(".", 1)[0] for there in same.values()}
+    if len(aliases) != 1:
+        raise ValueError("equal values are asked of one earlier step")
+    earlier = aliases.pop()
+    pairs = tuple((here, there.split(".", 1)[1]) for here, there in same.items())
+    return Step(pred, _names(by), alias, lambda cur, b: and_(*[cur[h] == b[earlier][t] for h, t in pairs]), (earlier,), pairs)
 
 
 def _names(by) -> tuple[str, ...] | None:
@@ -111,6 +127,17 @@ class SequenceSpec:
     def is_bound(self) -> bool:
         return any(s.bound is not None for s in self.steps)
 
+    @property
+    def by_value(self) -> bool:
+        """Whether all conditions on earlier events are equalities, which the fold by value takes."""
+        return self.is_bound and self.ordered and all(s.same for s in self.steps if s.bound is not None)
+
+    @property
+    def terms(self) -> bound.Terms:
+        order = {s.alias: i for i, s in enumerate(self.steps) if s.alias}
+        asks = tuple((i, order[s.uses[0]]) for i, s in enumerate(self.steps) if s.same)
+        return bound.Terms(len(self.steps), self.span == "total", self.span_us, asks)
+
 
 def sequence_problems(specs: DataFrame) -> DataFrame:
     """``problem``: why a row is no valid sequence, NULL if it is one; the checks of SequenceSpec for definitions in a table.
@@ -363,7 +390,9 @@ def _match_group(df: DataFrame, specs: list[SequenceSpec], ts: str, seq: str, ke
     # One small job; a hot key has more than 5 * ``limit`` rows, which bounds the list by rows / (5 * limit).
     hot = durable(hot)
     n_hot = hot.count()
-    if n_hot == 0:
+    if fold.bound and fold.bound.by_value:
+        found = _fold_by_value(tagged, hot if n_hot else None, fold.bound)
+    elif n_hot == 0:
         found = _fold_whole(tagged, fold)
     else:
         if n_hot <= BROADCAST_ROWS:
@@ -427,6 +456,51 @@ def _entries(grouped: DataFrame, rules: list[slices.Rule], parts: int) -> DataFr
     return entry
 
 
+def asked_values(spec: SequenceSpec, item: Column, types: dict[str, T.DataType]) -> tuple[Column, Column]:
+    """For each step with ``same``: the values it asks for, and those that an event has to offer it, as text; NULL where one is missing."""
+    def text(name: str) -> Column:
+        # Zero has two signs in floating point.
+        return (item[name] + F.lit(0.0) if isinstance(types[name], (T.DoubleType, T.FloatType)) else item[name]).cast("string")
+
+    def joined(names: list[str]) -> Column:
+        values = [text(n) for n in names]
+        known = and_(*[v.isNotNull() for v in values])
+        return F.when(known, values[0] if len(values) == 1 else F.to_json(F.array(*values)))
+
+    asking = [s for s in spec.steps if s.same]
+    for here, there in {pair for s in asking for pair in s.same}:
+        if types[here] != types[there]:
+            raise ValueError(f"{spec.name}: {here} and {there} have different types")
+    return F.array(*[joined([h for h, _ in s.same]) for s in asking]), F.array(*[joined([t for _, t in s.same]) for s in asking])
+
+
+def _fold_by_value(tagged: DataFrame, hot: DataFrame | None, spec: SequenceSpec) -> DataFrame:
+    """Matches of a sequence that asks for equal values: rows stream by in order, pending events held by value.
+
+    A hot key is cut where it pauses: nothing stays open over a stretch of time
+    as long as the lifetime without any row, so what follows begins idle. A key
+    that never pauses is one stream through one task, which holds its open state.
+    """
+    types = {f.name: f.dataType for f in tagged.schema["item"].dataType}
+    wants, haves = asked_values(spec, F.col("item"), types)
+    stretch = F.floor(F.col("item.ts") / max(spec.span_us, 1))
+    rows = tagged.withColumns({"stretch": stretch, "wants": wants, "haves": haves})
+    if hot is None:
+        rows = rows.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        # Stretches that hold a row are few: the time a key covers by the lifetime.
+        in_order = Window.partitionBy("rule", "key").orderBy("stretch")
+        held = rows.join(hot.select("rule", "key"), ["rule", "key"], "left_semi").groupBy("rule", "key", "stretch").agg(F.count(F.lit(1)).alias("n"))
+        paused = F.when(F.col("stretch") - F.lag("stretch").over(in_order) > 1, 1).otherwise(0)
+        parts = held.withColumn("paused", paused).select("rule", "key", "stretch", F.sum("paused").over(in_order).alias("part"))
+        rows = rows.join(parts, ["rule", "key", "stretch"], "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+    place = ["rule", "key", "part"]
+    ordered = rows.select(*place, "item", "wants", "haves").repartition(*place).sortWithinPartitions(*place, "item")
+    kind = T.StructType([tagged.schema["rule"], tagged.schema["key"], T.StructField("m", T.ArrayType(tagged.schema["item"].dataType))])
+    terms = spec.terms
+    return ordered.mapInArrow(lambda batches: bound.matches(batches, terms), kind).select("rule", "key", F.array("m").alias("matches"))
+
+
 def _fold_repaired(tagged: DataFrame, hot: DataFrame, fold: Fold, limit: int) -> DataFrame:
     """Matches of hot keys of a sequence with bound fields: slices folded from a guess, and again where it was wrong."""
     keys, chunk = ["rule", "key"], ["rule", "key", "slice"]

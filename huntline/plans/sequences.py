@@ -137,6 +137,27 @@ def q5(spark, sf):
     return seqs(sequence_match(telemetry(spark, sf), spec, keep=["value"]))
 
 
+# A row must be younger than the last one that was taken; ties are many among the rows of a host.
+SAME_VALUE_SQL = ev_sql("SELECT key, found AS seqs FROM a WHERE found IS NOT NULL", f"""
+t AS (SELECT host AS key, seq, epoch_us(ts) AS t, k, event_type = 'error' AS e, row_number() OVER (PARTITION BY host ORDER BY ts, seq) AS rn FROM ev WHERE event_type IN ('error', 'purchase')),
+a AS (SELECT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS entered, CAST(0 AS BIGINT) AS last, CAST([] AS STRUCT(seq BIGINT, k BIGINT)[]) AS pend, CAST(NULL AS VARCHAR) AS found FROM (SELECT DISTINCT key FROM t)
+ UNION ALL
+ SELECT key, rn, CASE WHEN e AND len(p) = 0 THEN t ELSE entered END, CASE WHEN e AND young THEN t ELSE last END,
+  CASE WHEN len(fit) > 0 THEN [] WHEN e AND young THEN list_append(p, {{'seq': seq, 'k': k}}) ELSE p END, CASE WHEN len(fit) > 0 THEN fit[1].seq || ',' || seq END
+ FROM (SELECT *, CASE WHEN e OR NOT young THEN [] ELSE list_filter(p, lambda x: k = x.k) END AS fit
+  FROM (SELECT *, len(p) = 0 OR t > last AS young
+   FROM (SELECT t.key, t.rn, t.seq, t.t, t.k, t.e, a.entered, a.last, CASE WHEN len(a.pend) > 0 AND t.t - a.entered > {4 * HOUR} THEN [] ELSE a.pend END AS p
+    FROM a JOIN t ON a.key = t.key AND t.rn = a.rn + 1))))""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+SAME = SequenceSpec("purchase as in the error", [step(kind("error"), alias="e1"), step(kind("purchase"), same={"k": "e1.k"})], by="host", maxspan="4h")
+
+
+@query("q5_same_value", SAME_VALUE_SQL)
+def q5_same(spark, sf):
+    # Few keys hold all rows; a low row bound cuts each one where it pauses.
+    return seqs(sequence_match(telemetry(spark, sf), SAME, keep=["k"], rows_per_slice=40))
+
+
 @query("q6_maxspan_per_step", sequence_sql(source("host", typed("signup", "error", "purchase")), 3, HOUR // 2))
 def q6(spark, sf):
     spec = SequenceSpec("steps", [step(kind(n)) for n in ("signup", "error", "purchase")], by="host", maxspan="30m")

@@ -12,7 +12,7 @@ from ..streaming.run import END_SEQ, WHOLE_TABLE, drain, event_stream
 from ..streaming.sequence import sequence_stream
 from .joins import SET_VALUE_SQL
 from .registry import ev_sql, query, scratch
-from .sequences import HOUR, TWO, sequence_sql, seqs, source, typed
+from .sequences import HOUR, SAME, SAME_VALUE_SQL, TWO, sequence_sql, seqs, source, typed
 
 
 @query("q1_stream_sequence", sequence_sql(source("CAST(pid AS VARCHAR)", typed("error", "purchase")), 2, 12 * HOUR))
@@ -22,6 +22,14 @@ def q1_stream(spark, sf):
     return seqs(drain(found, scratch(spark, "sequence"), source=sf, end=end))
 
 
+@query("q5_stream_same_value", SAME_VALUE_SQL)
+def q5_stream(spark, sf):
+    """Steps that ask for an earlier event's value on a stream: pending events by value in the state store."""
+    end = scratch(spark, "end")
+    found = sequence_stream(event_stream(spark, sf, end=end), SAME, watermark=WHOLE_TABLE)
+    return seqs(drain(found, scratch(spark, "same"), source=sf, end=end))
+
+
 @query("q12_tumbling_window", ev_sql("""
 SELECT date_trunc('hour', ts) AS interval_start, host AS key, count(*) AS n FROM ev GROUP BY ALL"""))
 def q12(spark, sf):

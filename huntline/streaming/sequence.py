@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.sequences import SequenceSpec, tag_rows
+from ..operators import bound
+from ..operators.sequences import SequenceSpec, asked_values, tag_rows
 from ..schema import struct
 
 # The processor travels by value, so executors need no copy of this package.
@@ -26,6 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _L = T.LongType()
 ROW = struct(ts=_L, seq=_L, mask=T.IntegerType(), ends=T.BooleanType())
+ASKING_ROW = struct(ts=_L, seq=_L, mask=T.IntegerType(), ends=T.BooleanType(), wants=T.ArrayType(T.StringType()), haves=T.ArrayType(T.StringType()))
+OPEN = struct(filled=T.IntegerType(), entered=_L, started=_L, last=_L, times=T.ArrayType(_L), seqs=T.ArrayType(_L))
+VALUE, EVENT = struct(ask=T.IntegerType(), value=T.StringType()), struct(ts=_L, seq=_L)
 STATE = struct(filled=T.IntegerType(), entered=_L, started=_L, last=_L, times=T.ArrayType(_L), seqs=T.ArrayType(_L))
 OUTPUT = struct(rule=T.StringType(), key=T.StringType(), start_ts=T.TimestampType(), end_ts=T.TimestampType(),
                 events=T.ArrayType(struct(ts=T.TimestampType(), seq=_L)))
@@ -114,6 +118,79 @@ class SequenceProcessor(StatefulProcessor):
         pass
 
 
+class Stored:
+    """Pending events by value in the state store; what a call has looked up or put stays at hand until it ends."""
+
+    def __init__(self, store):
+        self.store, self.near = store, {}
+
+    def get(self, at: tuple[int, str]):
+        if at not in self.near:
+            self.near[at] = tuple(self.store.getValue(at)) if self.store.containsKey(at) else None
+        return self.near[at]
+
+    def __setitem__(self, at: tuple[int, str], event: tuple[int, int]) -> None:
+        self.near[at] = event
+        self.store.updateValue(at, event)
+
+    def clear(self) -> None:
+        self.near = {}
+        self.store.clear()
+
+
+class AskingProcessor(StatefulProcessor):
+    """A sequence whose steps ask for equal values. Rows wait in a map by second, pending events in one by value."""
+
+    def __init__(self, spec: SequenceSpec):
+        self.name, self.terms = spec.name, spec.terms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", struct(second=_L), struct(rows=T.ArrayType(ASKING_ROW)))
+        self.state = handle.getValueState("state", OPEN)
+        self.held = handle.getMapState("held", VALUE, EVENT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        fresh: dict[int, list] = {}
+        for pdf in rows:
+            for t, s, m, e, w, h in zip(pdf.ts, pdf.seq, pdf["mask"], pdf.ends, pdf.wants, pdf.haves):
+                fresh.setdefault(int(t) // 1_000_000, []).append((int(t), int(s), int(m), bool(e), list(w), list(h)))
+        for second, new in fresh.items():
+            old = [tuple(r) for r in self.waiting.getValue((second,))[0]] if self.waiting.containsKey((second,)) else []
+            self.waiting.updateValue((second,), (old + new,))
+            self.handle.registerTimer(max(second * 1000 + 999, mark + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        due = sorted(k[0] for k in self.waiting.keys() if k[0] * 1000 + 999 <= mark)
+        if not due:
+            return
+        filled, entered, started, last, times, seqs = self.state.get() if self.state.exists() else (0, 0, 0, 0, [], [])
+        now = bound.Open(self.terms, Stored(self.held), filled, entered, started, last, tuple(zip(times, seqs)))
+        out = []
+        for second in due:
+            rows = self.waiting.getValue((second,))[0]
+            self.waiting.removeKey((second,))
+            for ts, seq, mask, ends, wants, haves in sorted((tuple(r) for r in rows), key=lambda r: r[:4]):
+                found = now.take(ts, mask, ends, list(wants), list(haves), (ts, seq))
+                if found:
+                    out.append(sorted(found))
+        if now.filled:
+            self.state.update((now.filled, now.entered, now.started, now.last, [t for t, _ in now.first], [s for _, s in now.first]))
+        elif self.state.exists():
+            self.state.clear()
+        if out:
+            stamp = lambda t: pd.Timestamp(t, unit="us", tz="UTC")
+            yield pd.DataFrame({
+                "rule": [self.name] * len(out), "key": [key[1]] * len(out), "start_ts": [stamp(o[0][0]) for o in out], "end_ts": [stamp(o[-1][0]) for o in out],
+                "events": [[{"ts": stamp(t), "seq": s} for t, s in o] for o in out]})
+
+    def close(self) -> None:
+        pass
+
+
 class _Numbers:
     def __init__(self, spec: SequenceSpec):
         self.name, self.span, self.span_us, self.ordered, self.steps = spec.name, spec.span, spec.span_us, spec.ordered, [None] * len(spec.steps)
@@ -123,13 +200,26 @@ def sequence_stream(df: DataFrame, spec: SequenceSpec | list[SequenceSpec], wate
                     seq: str = "seq") -> DataFrame:
     """Streaming matches with the columns of the batch operator; events carry ts and seq.
 
-    Bound fields need the batch operator, whose fold evaluates column predicates over pending events.
+    A sequence whose steps ask for equal values stands alone. Other conditions on earlier events need the batch
+    operator, whose fold evaluates column predicates over pending events.
     """
     specs = spec if isinstance(spec, list) else [spec]
-    if any(s.is_bound for s in specs):
-        raise ValueError("sequences with bound fields run in batch or inside foreachBatch")
     use_state_store(df.sparkSession)
+    if len(specs) == 1 and specs[0].by_value:
+        return _asking_stream(df, specs[0], watermark, ts, seq)
+    if any(s.is_bound for s in specs):
+        raise ValueError("sequences with bound fields run in batch or inside foreachBatch; one that asks for equal values runs alone")
     tagged = tag_rows(df, specs, ts, seq, []).select(
         "rule", "key", "item.*", F.timestamp_micros(F.col("item.ts")).alias("event_time")).withWatermark("event_time", watermark)
     return tagged.groupBy("rule", "key").transformWithStateInPandas(
         statefulProcessor=SequenceProcessor(specs), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+
+
+def _asking_stream(df: DataFrame, spec: SequenceSpec, watermark: str, ts: str, seq: str) -> DataFrame:
+    fields = sorted({name for s in spec.steps for pair in s.same for name in pair})
+    rows = tag_rows(df, [spec], ts, seq, fields)
+    wants, haves = asked_values(spec, F.col("item"), {f.name: f.dataType for f in rows.schema["item"].dataType})
+    tagged = rows.select("rule", "key", *[F.col("item")[c].alias(c) for c in ("ts", "seq", "mask", "ends")], wants.alias("wants"), haves.alias("haves"),
+                         F.timestamp_micros(F.col("item.ts")).alias("event_time")).withWatermark("event_time", watermark)
+    return tagged.groupBy("rule", "key").transformWithStateInPandas(
+        statefulProcessor=AskingProcessor(spec), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
