@@ -1,12 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Test items are cut into windows of consecutive words. The training text is
-scanned twice: once to count how often each test term occurs, and once to store
-postings (term, document, position) of the terms that are among the two rarest
-of some window. The lists of these two, shifted by their offsets in the item,
-are intersected; what remains is compared word by word with the text of the
-document, so matches are exact. Common terms are stored only where a window
-has nothing rarer.
+Test items are cut into windows of consecutive words, and each different window
+is looked for once, whichever items have it. The training text is scanned twice:
+once to count how often each test term occurs, and once to store postings (term,
+document, position) of the terms that are among the two rarest of some window.
+The lists of these two, shifted by their offsets in the window, are intersected;
+at each place that remains the window is compared once with the text of the
+document, so matches are exact. Common terms are stored only where a window has
+nothing rarer. Where proximity is asked for, the two rarest terms of each item
+are looked for a few words apart in the same index.
 
 Postings of a frequent term are spread over the documents, never gathered by
 term. The side of the test set is broadcast while it has at most
@@ -69,73 +71,102 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def probes(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_key, term1, at1, term2, at2): for each window the two rarest terms and their places in the item.
+    """(gram_key, gram, items, term1, off1, term2, off2): each different window once, with the items that have it and its two rarest terms.
 
     A window with a term that never occurs is left out; one of a single word
-    has no second term. Windows of an item that agree give one row.
+    has no second term.
     """
     length = F.least(F.size("words"), F.lit(window))
-    windows = items.select("item_key", "words", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("begin"))
-    terms = windows.select("item_key", "begin", "length", F.posexplode(F.slice("words", F.col("begin") + 1, F.col("length"))).alias("offset", "term"))
-    ranked = terms.join(counts, "term").withColumn("rank", F.row_number().over(W.partitionBy("item_key", "begin").orderBy("n", "offset")))
+    begins = F.sequence(F.lit(0), F.size("words") - length)
+    windows = items.select("item", F.explode(F.array_distinct(F.transform(begins, lambda s: F.slice("words", s + 1, length)))).alias("gram"))
+    grams = windows.groupBy("gram").agg(F.collect_set("item").alias("items")).withColumn("gram_key", F.xxhash64("gram"))
+    terms = grams.select("gram_key", "gram", "items", F.posexplode("gram").alias("offset", "term")).join(counts, "term")
+    ranked = terms.withColumn("rank", F.row_number().over(W.partitionBy("gram_key", "gram").orderBy("n", "offset")))
     place = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
-    both = ranked.withColumn("at", F.col("begin") + F.col("offset")).groupBy("item_key", "begin").agg(
-        F.count(F.lit(1)).alias("known"), F.first("length").alias("length"),
-        place(1, "term").alias("term1"), place(1, "at").alias("at1"), place(2, "term").alias("term2"), place(2, "at").alias("at2"),
+    both = ranked.groupBy("gram_key", "gram").agg(
+        F.count(F.lit(1)).alias("known"), F.first("items").alias("items"),
+        place(1, "term").alias("term1"), place(1, "offset").alias("off1"), place(2, "term").alias("term2"), place(2, "offset").alias("off2"),
     )
-    return both.filter(F.col("known") == F.col("length")).select("item_key", "term1", "at1", "term2", "at2").distinct()
+    return both.filter(F.col("known") == F.size("gram")).drop("known")
+
+
+def rare_pairs(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pair, item, term1, term2): the two different terms of each item that are rarest in the texts (ties by term), of those that occur."""
+    terms = items.select("item_key", "item", F.explode(F.array_distinct("words")).alias("term")).join(counts, "term")
+    ranked = terms.withColumn("rank", F.row_number().over(W.partitionBy("item_key").orderBy("n", "term")))
+    place = lambda r: F.max(F.when(F.col("rank") == r, F.col("term")))
+    both = ranked.filter("rank <= 2").groupBy(F.col("item_key").alias("pair"), "item").agg(place(1).alias("term1"), place(2).alias("term2"))
+    return both.filter("term2 is not null")
 
 
 def candidates(index: DataFrame, probe: DataFrame) -> DataFrame:
-    """(doc, text_hash, item_key, diagonal): where the lists of both terms meet; diagonal is document minus item position."""
-    first = index.join(_small(probe.withColumnRenamed("term1", "term")), "term").withColumn("diagonal", F.col("position") - F.col("at1"))
+    """(doc, text_hash, gram_key, starts): where a window may begin in a document, as both its terms stand there at their offsets."""
+    asked = _small(probe.select("gram_key", F.col("term1").alias("term"), "off1", "term2", "off2"))
+    first = index.join(asked, "term").withColumn("start", F.col("position") - F.col("off1")).filter("start >= 0")
     alone = first.filter(F.col("term2").isNull())
-    wanted = first.filter(F.col("term2").isNotNull()).select("doc", "text_hash", "item_key", "diagonal", F.col("term2").alias("term"), (F.col("diagonal") + F.col("at2")).alias("position"))
+    wanted = first.filter(F.col("term2").isNotNull()).select("doc", "text_hash", "gram_key", "start", F.col("term2").alias("term"), (F.col("start") + F.col("off2")).alias("position"))
     second = index.withColumnRenamed("doc", "doc2")
     met = wanted.join(second, ["text_hash", "term", "position"]).filter(F.col("doc").eqNullSafe(F.col("doc2")))
-    columns = ["doc", "text_hash", "item_key", "diagonal"]
-    return alone.select(columns).union(met.select(columns)).distinct()
+    columns = ["doc", "text_hash", "gram_key", "start"]
+    return alone.select(columns).union(met.select(columns)).groupBy("doc", "text_hash", "gram_key").agg(F.collect_set("start").alias("starts"))
+
 
+def _hits(pieces: Column, found: Column) -> Column:
+    """Of each window (gram, items, starts) that occurs: its items, its length and where it begins. Each start is compared once."""
+    at = lambda c: F.filter(c["starts"], lambda s: F.slice(pieces, s + 1, F.size(c["gram"])) == c["gram"])
+    kept = F.transform(found, lambda c: F.struct(c["items"].alias("items"), F.size(c["gram"]).alias("length"), at(c).alias("starts")))
+    return F.filter(kept, lambda h: F.size(h["starts"]) > 0)
 
-def _hits(pieces: Column, found: Column, window: int) -> Column:
-    """Per candidate (item, words, diagonal): the item and the document positions inside its matching windows."""
 
-    def one(c: Column) -> Column:
-        length = F.least(F.size(c["words"]), F.lit(window))
-        fits = lambda s: (c["diagonal"] + s >= 0) & (F.slice(pieces, F.greatest(c["diagonal"] + s, F.lit(0)) + 1, length) == F.slice(c["words"], s + 1, length))
-        begins = F.filter(F.sequence(F.lit(0), F.size(c["words"]) - length), fits)
-        places = F.flatten(F.transform(begins, lambda s: F.sequence(c["diagonal"] + s, c["diagonal"] + s + length - 1)))
-        return F.struct(c["item"].alias("item"), F.array_distinct(places).alias("places"))
+def _covered(hits: Column) -> Column:
+    """Words that lie inside a window that occurs: the union of the stretches, in order of their begins."""
+    stretches = F.flatten(F.transform(hits, lambda h: F.transform(h["starts"], lambda s: F.struct(s.alias("begin"), (s + h["length"]).alias("end")))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    more = lambda a, x: F.greatest(x["end"] - F.greatest(x["begin"], a["end"]), F.lit(0)).cast("long")
+    return F.aggregate(F.sort_array(stretches), start, lambda a, x: F.struct((a["n"] + more(a, x)).alias("n"), F.greatest(a["end"], x["end"]).alias("end")), lambda a: a["n"])
 
-    return F.filter(F.transform(found, one), lambda h: F.size(h["places"]) > 0)
 
+def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None, slop: int | None = None) -> DataFrame:
+    """docs (doc, text_hash, kept columns) with ``n_words`` and ``hits``: each window found, with its items, length and begins.
 
-def matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """docs (doc, text_hash, kept columns) with ``n_words`` and ``hits`` (array of item and positions, one per passage found)."""
+    With ``slop``, also ``near``: the items whose two rarest terms stand at most
+    so many words apart somewhere in the document, in either order.
+    """
     texts = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     tests = saved(items_of(items, item, item_text), "items")
-    terms = tests.select(F.explode("words").alias("term"))
-    probe = saved(probes(tests, frequencies(texts, terms), window), "probes")
-    used = probe.select(F.col("term1").alias("term")).union(probe.select("term2").filter(F.col("term2").isNotNull()))
-    index = saved(postings(texts, used), "postings")
-    found = candidates(index, probe).join(_small(tests), "item_key")
-    per_doc = found.groupBy("text_hash", "doc").agg(F.collect_list(F.struct("item", "words", "diagonal")).alias("found"))
-    per_doc = per_doc.select(F.col("doc").alias("doc2"), F.col("text_hash").alias("hash2"), "found")
+    counts = frequencies(texts, tests.select(F.explode("words").alias("term")))
+    counts = counts if slop is None else saved(counts, "counts")
+    probe = saved(probes(tests, counts, window), "probes")
+    pairs = None if slop is None else saved(rare_pairs(tests, counts), "pairs")
+    used = probe.select(F.explode(F.array("term1", "term2")).alias("term"))
+    if pairs is not None:
+        used = used.union(pairs.select(F.explode(F.array("term1", "term2"))))
+    index = saved(postings(texts, used.filter(F.col("term").isNotNull())), "postings")
+    found = candidates(index, probe).join(_small(probe.select("gram_key", "gram", "items")), "gram_key")
+    told = found.select("text_hash", "doc", F.struct("gram", "items", "starts").alias("found"), F.lit(None).cast("string").alias("near"))
+    if pairs is not None:
+        close = proximity(index, pairs.drop("item"), slop).select("doc", "text_hash", "pair").distinct().join(_small(pairs.select("pair", "item")), "pair")
+        told = told.union(close.select("text_hash", "doc", F.lit(None).cast(told.schema["found"].dataType), "item"))
+    per_doc = told.groupBy(F.col("text_hash").alias("hash2"), F.col("doc").alias("doc2")).agg(F.collect_list("found").alias("found"), F.collect_set("near").alias("near"))
     rows = docs.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"), F.struct(*(keep or [])).alias("row") if keep else F.lit(None).alias("row"))
     joined = rows.join(per_doc, (F.col("text_hash") == F.col("hash2")) & F.col("doc").eqNullSafe(F.col("doc2")), "left")
-    nothing = F.array().cast("array<struct<item:string,places:array<int>>>")
-    seen = let(_pieces(F.col("text")), lambda p: F.struct(_count(p).cast("long").alias("n_words"), F.when(F.col("found").isNull(), nothing).otherwise(_hits(p, F.col("found"), window)).alias("hits")))
-    return joined.select("doc", "text_hash", "row", seen.alias("seen")).select("doc", "text_hash", "row", "seen.*")
+    nothing = F.array().cast("array<struct<items:array<string>,length:int,starts:array<int>>>")
+    seen = let(_pieces(F.col("text")), lambda p: F.struct(_count(p).cast("long").alias("n_words"), F.when(F.col("found").isNull(), nothing).otherwise(_hits(p, F.col("found"))).alias("hits")))
+    near = [] if slop is None else [F.coalesce("near", F.array().cast("array<string>")).alias("near")]
+    return joined.select("doc", "text_hash", "row", *near, seen.alias("seen")).select("doc", "text_hash", "row", *(["near"] if near else []), "seen.*")
 
 
 def verdicts(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, share: int = 20, **options) -> DataFrame:
-    """(doc, row, n_words, n_hit, n_items, items, contaminated): contaminated if a word is hit and hits are 1 in `share` words or more."""
+    """(doc, row, n_words, n_hit, n_items, items, contaminated): contaminated if a word is hit and hits are 1 in `share` words or more.
+
+    With ``slop``, also ``near`` (see ``matches``), which does not make a document contaminated.
+    """
     found = matches(docs, items, keep=keep, **options)
-    places = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["places"]))))
-    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
-    told = found.select("doc", "row", "n_words", F.struct(places.cast("long").alias("n_hit"), names.alias("items")).alias("t"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
+    near = [c for c in ("near",) if c in found.columns]
+    told = found.select("doc", "row", "n_words", *near, F.struct(_covered(F.col("hits")).alias("n_hit"), names.alias("items")).alias("t"))
     n_hit = F.col("t.n_hit")
-    return told.select("doc", "row", "n_words", "t.n_hit", F.size("t.items").cast("long").alias("n_items"), "t.items", ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return told.select("doc", "row", "n_words", "t.n_hit", F.size("t.items").cast("long").alias("n_items"), "t.items", *near, ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

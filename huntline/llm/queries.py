@@ -59,8 +59,8 @@ def op1(spark, folder):
 
 @query("op3_benchmark_decontamination", sql.DECONTAMINATION)
 def op3(spark, folder):
-    told = decontamination.verdicts(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return told.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    told = decontamination.verdicts(table(spark, folder, "documents"), table(spark, folder, "benchmark"), slop=8)
+    return told.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
 
 
 @query("op8_token_files")

@@ -30,10 +30,17 @@ win AS (SELECT DISTINCT item_id, l, ws[s:s + l - 1] AS g FROM (SELECT *, unnest(
 place AS (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS p FROM d, (SELECT DISTINCT l FROM win) WHERE len(ws) >= l),
 hit AS (SELECT doc_id, item_id, p, win.l FROM place JOIN win ON win.l = place.l AND win.g = place.ws[p:p + place.l - 1]),
 n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + l)) AS q FROM hit) GROUP BY doc_id),
-i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id)
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+term AS (SELECT DISTINCT item_id, unnest(ws) AS w FROM b),
+many AS (SELECT w, count(*) AS n FROM tok SEMI JOIN term USING (w) GROUP BY w),
+pair AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY n, w) AS r FROM term JOIN many USING (w)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, p, item_id FROM tok JOIN pair USING (w) WHERE r = 1) x
+  JOIN (SELECT doc_id, p AS q, item_id FROM tok JOIN pair USING (w) WHERE r = 2) y USING (doc_id, item_id) WHERE abs(p - q) <= 8 GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 SUBSTRING_DEDUP = r"""

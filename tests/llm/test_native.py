@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -147,3 +148,30 @@ def test_proximity(spark):
     index = decontamination.postings(docs, pairs.select(F.explode(F.array("term1", "term2")).alias("term")))
     got = sorted((str(r.doc), r.position1, r.position2) for r in decontamination.proximity(index, pairs, 3).collect())
     assert got == [("1", 0, 3), ("2", 1, 0), ("None", 0, 1), ("None", 2, 1)]
+
+
+def test_a_repeated_word_costs_a_comparison_for_each_place(spark):
+    docs = spark.createDataFrame([(1, "the " * 20_000), (2, "the " * 12), (3, "the " * 13 + "end")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "the " * 400), ("b", "the " * 14), ("c", "end")], "item_id string, text string")
+    began = time.monotonic()
+    got = {r.doc: (r.n_words, r.n_hit, r["items"]) for r in decontamination.verdicts(docs, items).collect()}
+    assert got == {1: (20_000, 20_000, ["a", "b"]), 2: (12, 0, []), 3: (14, 14, ["a", "b", "c"])}
+    assert time.monotonic() - began < 30
+
+
+def test_items_with_their_rarest_terms_near(spark):
+    rnd = random.Random(5)
+    words = [f"w{int(rnd.paretovariate(0.7)) % 60}" for _ in range(4000)]
+    docs = [(i, " ".join(words[i * 40:(i + 1) * 40])) for i in range(100)] + [(100, None), (101, "")]
+    items = [(f"i{j}", " ".join(rnd.choices(words + ["unseen"], k=rnd.choice([1, 3, 20])))) for j in range(30)]
+    counts = Counter(w for _, t in docs for w in (t or "").split())
+    want = {}
+    for name, text in items:
+        rare = sorted((w for w in set(text.split()) if counts[w]), key=lambda w: (counts[w], w))[:2]
+        for d, t in docs:
+            at = {w: [p for p, x in enumerate((t or "").split()) if x == w] for w in rare}
+            if len(rare) == 2 and any(abs(p - q) <= 4 for p in at[rare[0]] for q in at[rare[1]]):
+                want.setdefault(d, set()).add(name)
+    told = decontamination.verdicts(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), slop=4)
+    got = {r.doc: set(r.near) for r in told.collect()}
+    assert want and got == {d: want.get(d, set()) for d, _ in docs}
