@@ -60,15 +60,17 @@ def scan_content(files: DataFrame, signatures: list[dict], content: str = "conte
 
     A signature is ``{name, kind: text|hex|regex, patterns, require: any|all, score}``.
     The whole content is searched inside Spark expressions, one pass, no shuffle.
+    Texts and byte patterns without gaps are looked for in the bytes as they
+    are; ``??`` (any byte) makes an expression over one character for each byte.
     """
     def found(sig: dict) -> Column:
-        body = F.col(content)
+        body = F.col(content).cast("binary")
         if sig["kind"] == "hex":
-            # Even offsets only: two digits are one byte.
-            tests = [F.hex(body).rlike("^(..)*" + pat.upper().replace(" ", "").replace("??", "..")) for pat in sig["patterns"]]
+            tests = [_bytes_found(body, pat) for pat in sig["patterns"]]
+        elif sig["kind"] == "regex":
+            tests = [body.cast("string").rlike(pat) for pat in sig["patterns"]]
         else:
-            text = body.cast("string")
-            tests = [text.rlike(pat) if sig["kind"] == "regex" else text.contains(pat) for pat in sig["patterns"]]
+            tests = [F.contains(body, F.lit(pat.encode())) for pat in sig["patterns"]]
         return and_(*tests) if sig.get("require", "any") == "all" else or_(*tests)
 
     hits = F.filter(F.array(*[F.when(true_or_false(found(s)), F.struct(
@@ -78,6 +80,19 @@ def scan_content(files: DataFrame, signatures: list[dict], content: str = "conte
             .select(*keep, "h.signature", severity_from_score(F.col("h.score")).alias("severity")))
 
 
+def _bytes_found(body: Column, pattern: str) -> Column:
+    """Whether the bytes of a pattern like ``4d 5a ?? 00`` occur."""
+    digits = pattern.replace(" ", "")
+    if len(digits) % 2 or not digits:
+        raise ValueError(f"a byte pattern has two digits for each byte: {pattern!r}")
+    pairs = [digits[i:i + 2] for i in range(0, len(digits), 2)]
+    if "??" not in pairs:
+        return F.contains(body, F.lit(bytes.fromhex(digits)))
+    # Single-byte characters: what is matched is bytes, each place is tried once, nothing is doubled.
+    one = lambda pair: "." if pair == "??" else f"\\x{int(pair, 16):02x}"
+    return F.decode(body, "ISO-8859-1").rlike("(?s)" + "".join(map(one, pairs)))
+
+
 def glob(listing: DataFrame, pattern: str, path: str = "path") -> DataFrame:
     """Paths of a file listing that a wildcard pattern (``*``, ``?``) matches, each once."""
     return listing.where(matches(F.col(path), pattern)).select(path).distinct()

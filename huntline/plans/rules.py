@@ -219,6 +219,17 @@ def k5d(spark, sf):
     return scanning.scan_content(files, SIGNATURES, keep=["page_id"])
 
 
+@query("k5_byte_patterns", r"""
+SELECT page_id, 'gap' AS signature, 'critical' AS severity FROM pages WHERE regexp_matches(html, '<l[\s\S]>[\s\S]a')
+UNION ALL SELECT page_id, 'no gap', 'low' FROM pages WHERE contains(html, '<title>') OR contains(html, 'never there')""")
+def k5e(spark, sf):
+    """Byte patterns with and without gaps over whole contents."""
+    byte_signatures = [{"name": "gap", "kind": "hex", "patterns": ["3C 6c ?? 3e ?? 61"], "score": 85},
+                       {"name": "no gap", "kind": "hex", "patterns": ["3c7469746c653e", "6e 65 76 65 72 20 74 68 65 72 65"], "score": 30}]
+    files = table(spark, sf, "pages").withColumn("content", F.encode("html", "UTF-8"))
+    return scanning.scan_content(files, byte_signatures, keep=["page_id"])
+
+
 @query("x25_content_signature_function", "SELECT page_id, 'script' AS signature FROM pages WHERE contains(html, '<script>') AND contains(html, 'track(')")
 def x25(spark, sf):
     files = table(spark, sf, "pages").withColumn("content", F.encode("html", "UTF-8"))

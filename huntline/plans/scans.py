@@ -88,6 +88,24 @@ def s6(spark, sf):
     return capture.replay_capture(spark, path, where=lambda d: F.col("category") == "file").select("seq", "name", "pid")
 
 
+_REPLAYED = """o AS (SELECT host, seq % 97 AS obj, ts, max(path) AS path FROM ev WHERE event_type = 'click' GROUP BY ALL)"""
+
+
+@query("s6_replay_with_state", ev_sql("""
+SELECT e.seq, p.image AS ps_name, CASE WHEN e.event_type = 'click' THEN e.path ELSE coalesce(o.path, 'handle' || (e.seq % 97)) END AS file_path FROM (SELECT *, seq % 97 AS obj FROM ev WHERE category = 'file') e
+ ASOF LEFT JOIN (SELECT * FROM ev WHERE name = 'CreateProcess') p ON e.host = p.host AND e.pid = p.pid AND e.ts >= p.ts
+ ASOF LEFT JOIN o ON e.host = o.host AND e.obj = o.obj AND e.ts >= o.ts""", _REPLAYED))
+def s6b(spark, sf):
+    """Reads in the capture carry no path: it comes back from earlier creations and the handle snapshot, processes from their starts."""
+    path = scratch(spark, "state")
+    df = telemetry(spark, sf)
+    bare = F.when(F.col("event_type") == "view", F.map_filter("params", lambda k, v: k != "file_path")).otherwise(F.col("params"))
+    handles = df.select("host", (F.col("seq") % 97).alias("file_object")).distinct().withColumn("path", F.concat(F.lit("handle"), F.col("file_object").cast("string")))
+    capture.write_capture(df.withColumn("params", bare), handles, path)
+    replayed = capture.replay_with_state(spark, path, where=lambda d: F.col("category") == "file")
+    return replayed.select("seq", F.col("ps.name").alias("ps_name"), F.col("params")["file_path"].alias("file_path"))
+
+
 @query("s7_event_json", params_sql(f"SELECT seq, {_JSON} AS json FROM evp"))
 def s7(spark, sf):
     return events.to_event_json(telemetry(spark, sf)).select("seq", "json")
