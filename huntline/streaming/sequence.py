@@ -139,14 +139,19 @@ class Stored:
 
 
 class AskingProcessor(StatefulProcessor):
-    """A sequence whose steps ask for equal values. Rows wait in a map by second, pending events in one by value."""
+    """A sequence whose steps ask for equal values. Rows wait in a map by slices of time, pending events in one by value.
+
+    A slice goes through the automaton once the watermark has passed its end; one timer waits for the first of them.
+    """
+
+    SLICE_US = 1_000_000
 
     def __init__(self, spec: SequenceSpec):
         self.name, self.terms = spec.name, spec.terms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", struct(second=_L), struct(rows=T.ArrayType(ASKING_ROW)))
+        self.waiting = handle.getMapState("waiting", struct(slice=_L), struct(rows=T.ArrayType(ASKING_ROW)))
         self.state = handle.getValueState("state", OPEN)
         self.held = handle.getMapState("held", VALUE, EVENT)
 
@@ -155,24 +160,31 @@ class AskingProcessor(StatefulProcessor):
         fresh: dict[int, list] = {}
         for pdf in rows:
             for t, s, m, e, w, h in zip(pdf.ts, pdf.seq, pdf["mask"], pdf.ends, pdf.wants, pdf.haves):
-                fresh.setdefault(int(t) // 1_000_000, []).append((int(t), int(s), int(m), bool(e), list(w), list(h)))
-        for second, new in fresh.items():
-            old = [tuple(r) for r in self.waiting.getValue((second,))[0]] if self.waiting.containsKey((second,)) else []
-            self.waiting.updateValue((second,), (old + new,))
-            self.handle.registerTimer(max(second * 1000 + 999, mark + 1))
+                fresh.setdefault(int(t) // self.SLICE_US, []).append((int(t), int(s), int(m), bool(e), list(w), list(h)))
+        for part, new in fresh.items():
+            old = [tuple(r) for r in self.waiting.getValue((part,))[0]] if self.waiting.containsKey((part,)) else []
+            self.waiting.updateValue((part,), (old + new,))
+        self.handle.registerTimer(max(self._end(min(fresh)), mark + 1))
         return iter(())
 
+    def _end(self, part: int) -> int:
+        """Last millisecond of a slice."""
+        return (part + 1) * self.SLICE_US // 1000 - 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        due = sorted(k[0] for k in self.waiting.keys() if k[0] * 1000 + 999 <= mark)
+        parts = sorted(k[0] for k in self.waiting.keys())
+        due = [part for part in parts if self._end(part) <= mark]
+        if len(due) < len(parts):
+            self.handle.registerTimer(max(self._end(parts[len(due)]), mark + 1))
         if not due:
             return
         filled, entered, started, last, times, seqs = self.state.get() if self.state.exists() else (0, 0, 0, 0, [], [])
         now = bound.Open(self.terms, Stored(self.held), filled, entered, started, last, tuple(zip(times, seqs)))
         out = []
-        for second in due:
-            rows = self.waiting.getValue((second,))[0]
-            self.waiting.removeKey((second,))
+        for part in due:
+            rows = self.waiting.getValue((part,))[0]
+            self.waiting.removeKey((part,))
             for ts, seq, mask, ends, wants, haves in sorted((tuple(r) for r in rows), key=lambda r: r[:4]):
                 found = now.take(ts, mask, ends, list(wants), list(haves), (ts, seq))
                 if found:
