@@ -1,9 +1,10 @@
-"""Streaming form of sequence matching: one keyed state per (rule, key).
+"""Streaming form of sequence matching: one automaton per (rule, key).
 
-Rows wait in the key's buffer until the watermark has passed them, so that
-late arrivals inside the watermark are taken in event-time order; then they
-go through the same automaton as in batch. Buffer and automaton live in the
-RocksDB state store; a timer per key wakes it when the watermark moves.
+Rows wait until the watermark has passed them, so that late arrivals inside
+the watermark are taken in event-time order; then they go through the same
+automaton as in batch. Rows and automata live in the RocksDB state store, rows
+packed as blocks; keys share buckets, and a timer per bucket wakes it when the
+watermark moves. A sequence that asks for equal values has a state per key.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import sys
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import bound
 from ..operators.sequences import SequenceSpec, asked_values, tag_rows
 from ..schema import struct
+from .waiting import Kept, Waiting, bucket
 
 # The processor travels by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _L = T.LongType()
-ROW = struct(ts=_L, seq=_L, mask=T.IntegerType(), ends=T.BooleanType())
+ROW = pa.schema([("rule", pa.int32()), ("key", pa.string()), ("ts", pa.int64()), ("seq", pa.int64()), ("mask", pa.int32()), ("ends", pa.bool_())])
 ASKING_ROW = struct(ts=_L, seq=_L, mask=T.IntegerType(), ends=T.BooleanType(), wants=T.ArrayType(T.StringType()), haves=T.ArrayType(T.StringType()))
+ORDER = ["ts", "seq", "mask", "ends"]
+OWNER = struct(rule=T.IntegerType(), key=T.StringType())
 OPEN = struct(filled=T.IntegerType(), entered=_L, started=_L, last=_L, times=T.ArrayType(_L), seqs=T.ArrayType(_L))
 VALUE, EVENT = struct(ask=T.IntegerType(), value=T.StringType()), struct(ts=_L, seq=_L)
 STATE = struct(filled=T.IntegerType(), entered=_L, started=_L, last=_L, times=T.ArrayType(_L), seqs=T.ArrayType(_L))
@@ -67,52 +72,48 @@ def advance(state: tuple, row: tuple, spec: SequenceSpec) -> tuple[tuple, tuple
     return (filled, entered, started, last, times, seqs), None
 
 
+def _matches(found: list[tuple]) -> pd.DataFrame:
+    """Output of (rule, key, [(ts, seq), …])."""
+    stamp = lambda t: pd.Timestamp(t, unit="us", tz="UTC")
+    return pd.DataFrame({
+        "rule": [f[0] for f in found], "key": [f[1] for f in found], "start_ts": [stamp(f[2][0][0]) for f in found],
+        "end_ts": [stamp(f[2][-1][0]) for f in found], "events": [[{"ts": stamp(t), "seq": s} for t, s in f[2]] for f in found]})
+
+
 class SequenceProcessor(StatefulProcessor):
+    """Sequences of the keys of a bucket."""
+
     def __init__(self, specs: list[SequenceSpec]):
         # Only the plain numbers of a spec travel to the executors, not its predicates.
         self.specs = [_Numbers(s) for s in specs]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW)
-        self.state = handle.getValueState("state", STATE)
+        self.waiting = Waiting(handle, ROW, ORDER)
+        self.states = Kept(handle.getMapState("states", OWNER, STATE))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [(int(t), int(s), int(m), bool(e)) for pdf in rows for t, s, m, e in zip(pdf.ts, pdf.seq, pdf["mask"], pdf.ends)]
-        self.waiting.appendList(fresh)
-        first = min(t for t, *_ in fresh) // 1000
+        first = self.waiting.put_frames(rows) // 1000
         self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rule, name = int(key[0]), key[1]
-        spec = self.specs[rule]
         mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        due = [r for r in rows if r[0] // 1000 <= mark]
-        later = rows[len(due):]
-        state = tuple(self.state.get()) if self.state.exists() else IDLE
-        out = []
-        for row in due:
-            state, found = advance(state, row, spec)
-            if found:
-                times, seqs = found
-                out.append((spec.name, name, times[0], times[-1], [(t, s) for t, s in zip(times, seqs)]))
-        if state[0]:
-            self.state.update(state)
-        elif self.state.exists():
-            self.state.clear()
-        self.waiting.clear()
-        if later:
-            self.waiting.appendList(later)
-            self.handle.registerTimer(max(later[0][0] // 1000, mark + 1))
-        if not out:
-            return
-        stamp = lambda t: pd.Timestamp(t, unit="us", tz="UTC")
-        yield pd.DataFrame({
-            "rule": [o[0] for o in out], "key": [o[1] for o in out], "start_ts": [stamp(o[2]) for o in out],
-            "end_ts": [stamp(o[3]) for o in out],
-            "events": [[{"ts": stamp(t), "seq": s} for t, s in o[4]] for o in out]})
+        self.states.open()
+        for rows in self.waiting.due(mark):
+            out = []
+            for rule, name, *row in zip(*(rows.column(c).to_pylist() for c in ROW.names), strict=True):
+                spec = self.specs[rule]
+                state, found = advance(self.states.get((rule, name)) or IDLE, tuple(row), spec)
+                self.states.put((rule, name), state if state[0] else None)
+                if found:
+                    out.append((spec.name, name, list(zip(*found))))
+            if out:
+                yield _matches(out)
+        self.states.close()
+        first = self.waiting.first()
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000, mark + 1))
 
     def close(self) -> None:
         pass
@@ -222,8 +223,8 @@ def sequence_stream(df: DataFrame, spec: SequenceSpec | list[SequenceSpec], wate
     if any(s.is_bound for s in specs):
         raise ValueError("sequences with bound fields run in batch or inside foreachBatch; one that asks for equal values runs alone")
     tagged = tag_rows(df, specs, ts, seq, []).select(
-        "rule", "key", "item.*", F.timestamp_micros(F.col("item.ts")).alias("event_time")).withWatermark("event_time", watermark)
-    return tagged.groupBy("rule", "key").transformWithStateInPandas(
+        bucket(F.col("rule"), F.col("key")), "rule", "key", "item.*", F.timestamp_micros(F.col("item.ts")).alias("event_time")).withWatermark("event_time", watermark)
+    return tagged.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=SequenceProcessor(specs), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
