@@ -23,14 +23,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import bound
 from ..operators.sequences import SequenceSpec, asked_values, tag_rows
 from ..schema import struct
-from .waiting import Kept, Waiting, bucket
+from .waiting import NEAR, Kept, Waiting, bucket
 
 # The processor travels by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _L = T.LongType()
 ROW = pa.schema([("rule", pa.int32()), ("key", pa.string()), ("ts", pa.int64()), ("seq", pa.int64()), ("mask", pa.int32()), ("ends", pa.bool_())])
-ASKING_ROW = struct(ts=_L, seq=_L, mask=T.IntegerType(), ends=T.BooleanType(), wants=T.ArrayType(T.StringType()), haves=T.ArrayType(T.StringType()))
+ASKING_ROW = pa.schema([*list(ROW)[2:], ("wants", pa.list_(pa.string())), ("haves", pa.list_(pa.string()))])
 ORDER = ["ts", "seq", "mask", "ends"]
 OWNER = struct(rule=T.IntegerType(), key=T.StringType())
 OPEN = struct(filled=T.IntegerType(), entered=_L, started=_L, last=_L, times=T.ArrayType(_L), seqs=T.ArrayType(_L))
@@ -120,85 +120,75 @@ class SequenceProcessor(StatefulProcessor):
 
 
 class Stored:
-    """Pending events by value in the state store; what a call has looked up or put stays at hand until it ends."""
+    """Pending events by value in the state store. New ones stay at hand, up to a number, until the call ends: most are closed before."""
 
     def __init__(self, store):
-        self.store, self.near = store, {}
+        self.store, self.near, self.fresh, self.empty = store, {}, {}, not store.exists()
 
     def get(self, at: tuple[int, str]):
+        if self.empty or at in self.fresh:
+            return self.fresh.get(at)
         if at not in self.near:
+            if len(self.near) >= NEAR:
+                self.near = {}
             self.near[at] = tuple(self.store.getValue(at)) if self.store.containsKey(at) else None
         return self.near[at]
 
     def __setitem__(self, at: tuple[int, str], event: tuple[int, int]) -> None:
-        self.near[at] = event
-        self.store.updateValue(at, event)
+        self.fresh[at] = event
+        if len(self.fresh) >= NEAR:
+            self.write()
+
+    def write(self) -> None:
+        for at, event in self.fresh.items():
+            self.store.updateValue(at, event)
+        self.empty, self.near, self.fresh = self.empty and not self.fresh, {}, {}
 
     def clear(self) -> None:
-        self.near = {}
-        self.store.clear()
+        self.near, self.fresh = {}, {}
+        if not self.empty:
+            self.store.clear()
+            self.empty = True
 
 
 class AskingProcessor(StatefulProcessor):
-    """A sequence whose steps ask for equal values. Rows wait in a map by slices of time, pending events in one by value.
-
-    A slice goes through the automaton once the watermark has passed its end; one timer waits for the first of them.
-    """
-
-    SLICE_US = 1_000_000
+    """A sequence whose steps ask for equal values. Rows wait in blocks, pending events in a map by value; one timer waits for the first row."""
 
     def __init__(self, spec: SequenceSpec):
         self.name, self.terms = spec.name, spec.terms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", struct(slice=_L), struct(rows=T.ArrayType(ASKING_ROW)))
+        self.waiting = Waiting(handle, ASKING_ROW, ORDER)
         self.state = handle.getValueState("state", OPEN)
         self.held = handle.getMapState("held", VALUE, EVENT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        fresh: dict[int, list] = {}
-        for pdf in rows:
-            for t, s, m, e, w, h in zip(pdf.ts, pdf.seq, pdf["mask"], pdf.ends, pdf.wants, pdf.haves):
-                fresh.setdefault(int(t) // self.SLICE_US, []).append((int(t), int(s), int(m), bool(e), list(w), list(h)))
-        for part, new in fresh.items():
-            old = [tuple(r) for r in self.waiting.getValue((part,))[0]] if self.waiting.containsKey((part,)) else []
-            self.waiting.updateValue((part,), (old + new,))
-        self.handle.registerTimer(max(self._end(min(fresh)), mark + 1))
+        first = self.waiting.put_frames(rows) // 1000
+        self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
-    def _end(self, part: int) -> int:
-        """Last millisecond of a slice."""
-        return (part + 1) * self.SLICE_US // 1000 - 1
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        parts = sorted(k[0] for k in self.waiting.keys())
-        due = [part for part in parts if self._end(part) <= mark]
-        if len(due) < len(parts):
-            self.handle.registerTimer(max(self._end(parts[len(due)]), mark + 1))
-        if not due:
-            return
         filled, entered, started, last, times, seqs = self.state.get() if self.state.exists() else (0, 0, 0, 0, [], [])
-        now = bound.Open(self.terms, Stored(self.held), filled, entered, started, last, tuple(zip(times, seqs)))
-        out = []
-        for part in due:
-            rows = self.waiting.getValue((part,))[0]
-            self.waiting.removeKey((part,))
-            for ts, seq, mask, ends, wants, haves in sorted((tuple(r) for r in rows), key=lambda r: r[:4]):
-                found = now.take(ts, mask, ends, list(wants), list(haves), (ts, seq))
+        held = Stored(self.held)
+        now = bound.Open(self.terms, held, filled, entered, started, last, tuple(zip(times, seqs)))
+        for rows in self.waiting.due(mark):
+            out = []
+            for ts, seq, mask, ends, wants, haves in zip(*(rows.column(c).to_pylist() for c in ASKING_ROW.names), strict=True):
+                found = now.take(ts, mask, ends, wants, haves, (ts, seq))
                 if found:
-                    out.append(sorted(found))
+                    out.append((self.name, key[1], sorted(found)))
+            if out:
+                yield _matches(out)
+        held.write()
         if now.filled:
             self.state.update((now.filled, now.entered, now.started, now.last, [t for t, _ in now.first], [s for _, s in now.first]))
         elif self.state.exists():
             self.state.clear()
-        if out:
-            stamp = lambda t: pd.Timestamp(t, unit="us", tz="UTC")
-            yield pd.DataFrame({
-                "rule": [self.name] * len(out), "key": [key[1]] * len(out), "start_ts": [stamp(o[0][0]) for o in out], "end_ts": [stamp(o[-1][0]) for o in out],
-                "events": [[{"ts": stamp(t), "seq": s} for t, s in o] for o in out]})
+        first = self.waiting.first()
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000, mark + 1))
 
     def close(self) -> None:
         pass
